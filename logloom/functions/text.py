@@ -162,35 +162,44 @@ def _previous(arr: Column) -> Column:
     return F.slice(F.concat(F.array(F.lit("")), arr), 1, F.size(arr))
 
 
+def single_spaced(c) -> Column:
+    """Python ``" ".join(s.split())``: whitespace runs to one space, ends trimmed."""
+    return F.trim(squeeze_spaces(c))
+
+
+# Token-level rewrites on single-spaced text. ``(?<![^ ])`` anchors at a token
+# start and ``[^ ]*`` runs to its end; lookbehinds read the original input, so
+# "previous token" means the token before any rewrite, as in the reference.
+_AFTER_EQUALS = _u(r"(?<=(?:^| )==? )[^ ]+")
+_NUMBER_TOKEN = _u(r"(?<![^ ])[^\w ]*\d[^ ]*")
+_PATH_TOKEN = _u(r"(?<![^ ])[^\w ]*(?:file:|folder:)*/+[^ ][^ ]*")
+_SLOT_TOKEN = _u(r"(?<![^ ])[^ ]*?(?:\{\w+\}|<\*>)[^ ]*")
+_PUNCT_TOKEN = r"(?<![^ ])(?!<\*>(?![^ ]))[!-/:-@\[-`{-~]+(?![^ ])"
+
+
 def rule_label(c) -> Column:
     """F8 (correct_template): rule-based labelling of a message or response.
 
     Ordered rewrites, then per whitespace token: after an original ``=``/``==``
     token -> ``{unknown}``; a token starting with digits -> ``{number}``; a
     path-like token -> ``{file_path}``. Tokens are re-joined by one space.
+    Implemented as regex passes over the single-spaced text (no arrays).
     """
     c = _col(c)
     for pattern, repl in TEMPLATE_RULES:
         c = F.regexp_replace(c, _u(pattern), repl)
-    w = words(c)
-
-    def one(x, prev):
-        return (F.when(prev.isin("=", "=="), F.lit("{unknown}"))
-                .when(x.rlike(_u(r"^\W*\d")), F.lit("{number}"))
-                .when(x.rlike(_u(r"^\W*(file:|folder:)*/+\S")), F.lit("{file_path}"))
-                .otherwise(x))
-
-    return F.array_join(F.zip_with(w, _previous(w), one), " ")
+    c = single_spaced(c)
+    c = F.regexp_replace(c, _AFTER_EQUALS, "{unknown}")
+    c = F.regexp_replace(c, _NUMBER_TOKEN, "{number}")
+    return F.regexp_replace(c, _PATH_TOKEN, "{file_path}")
 
 
 def canonical_template(c) -> Column:
     """F9 (process_template): slots to ``<*>``, drop punctuation-only tokens,
     collapse adjacent ``<*>``, strip ``.``, ``"`` and spaces at the ends."""
-    w = words(c)
-    mapped = F.transform(
-        w, lambda x: F.when(x.rlike(_u(r"\{\w+\}")) | x.contains(WILDCARD), F.lit(WILDCARD)).otherwise(x))
-    kept = F.filter(mapped, lambda x: (x == WILDCARD) | (remove_punctuation(x) != ""))
-    s = F.regexp_replace(F.array_join(kept, " "), r"<\*>( <\*>)+", WILDCARD)
+    s = F.regexp_replace(single_spaced(c), _SLOT_TOKEN, WILDCARD)
+    s = single_spaced(F.regexp_replace(s, _PUNCT_TOKEN, ""))
+    s = F.regexp_replace(s, r"<\*>( <\*>)+", WILDCARD)
     return F.btrim(s, F.lit('." '))
 
 

@@ -12,7 +12,7 @@ listing the truth templates that count (the reference's ``filter_templates``).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.similarity import template_similarity
@@ -162,13 +162,49 @@ def similarity_accuracy(df: DataFrame, truth: str = "truth", parsed: str = "pars
 
 def evaluate(df: DataFrame, truth: str = "truth", parsed: str = "parsed",
              canonical: bool = True) -> DataFrame:
-    """GA, FGA, PA, PTA, RTA, FTA and counts per system (the result row's metrics)."""
+    """GA, PGA, RGA, FGA, PA, PTA, RTA, FTA and template counts per system.
+
+    One lineage: the pair aggregate (the only pass over the rows), then two
+    windows over the small pair table — per truth and per parsed template —
+    and a final per-system aggregate. No self-joins, so the row-level
+    projection runs once.
+    """
     if canonical:
         df = canonicalise(df, truth, parsed)
-    ga = grouping_accuracy(df, truth, parsed)
-    pa = parsing_accuracy(df, truth, parsed)
-    ta = template_accuracy(df, truth, parsed).drop("ground_templates", "identified_templates")
-    return ga.join(pa, "system").join(ta, "system")
+    pairs = template_pairs(df, truth, parsed)
+    has_truth = F.col("truth").isNotNull()
+    by_truth = Window.partitionBy("system", "truth")
+    by_parsed = Window.partitionBy("system", "parsed")
+    scored = pairs.select(
+        "system", "truth", "parsed", "n",
+        F.count(F.lit(1)).over(by_truth).alias("k_t"),
+        F.count("truth").over(by_parsed).alias("k_p"),
+        F.sum(F.when(has_truth, F.col("n"))).over(by_parsed).alias("rows_p"))
+    ga_hit = has_truth & (F.col("k_t") == 1) & (F.col("n") == F.col("rows_p"))
+    ta_hit = has_truth & (F.col("k_p") == 1) & (F.col("truth") == F.col("parsed"))
+    agg = scored.groupBy("system").agg(
+        F.sum(F.when(has_truth, F.col("n"))).alias("rows"),
+        F.sum("n").alias("all_rows"),
+        F.count_distinct("truth").alias("ground_templates"),
+        F.count_distinct(F.when(has_truth, F.col("parsed"))).alias("identified_templates"),
+        F.sum(F.when(ga_hit, F.col("n")).otherwise(0)).alias("good_rows"),
+        F.count(F.when(ga_hit, 1)).alias("good_groups"),
+        F.count(F.when(ta_hit, 1)).alias("good_t"),
+        F.sum(F.when(F.col("truth") == F.col("parsed"), F.col("n")).otherwise(0)).alias("pa_rows"))
+
+    def ratio(a, b):
+        return F.try_divide(F.col(a).cast("double"), F.col(b).cast("double"))
+
+    ga, pga, rga = ratio("good_rows", "rows"), ratio("good_groups", "identified_templates"), \
+        ratio("good_groups", "ground_templates")
+    pta, rta = ratio("good_t", "identified_templates"), ratio("good_t", "ground_templates")
+    return agg.select(
+        "system", F.col("rows").cast("bigint").alias("rows"),
+        F.col("ground_templates").cast("bigint").alias("ground_templates"),
+        F.col("identified_templates").cast("bigint").alias("identified_templates"),
+        _r(ga).alias("GA"), _r(pga).alias("PGA"), _r(rga).alias("RGA"), _r(_f1(pga, rga)).alias("FGA"),
+        _r(ratio("pa_rows", "all_rows")).alias("PA"),
+        _r(pta).alias("PTA"), _r(rta).alias("RTA"), _r(_f1(pta, rta)).alias("FTA"))
 
 
 def result_rows(metrics: DataFrame, run_stats: DataFrame | None = None) -> DataFrame:

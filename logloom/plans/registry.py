@@ -66,3 +66,271 @@ def queries() -> dict[str, Query]:
         "rule_label": q_rule_label,
         "canonical_template": q_canonical_template,
     }
+
+
+# ---------------------------------------------------------------------------
+# Per-row text operators (F3-F13) over the log view and the text tables.
+# ---------------------------------------------------------------------------
+from ..functions import similarity as S  # noqa: E402
+from ..operators import dedup as D  # noqa: E402
+from ..operators import metrics as Q  # noqa: E402
+from ..operators import sampling as SM  # noqa: E402
+from ..operators import tokens as TK  # noqa: E402
+from .rule_parse import rule_parse  # noqa: E402
+
+SEP = "\u0001"
+
+
+def _joined(arr):
+    return F.array_join(arr, SEP)
+
+
+def _per_row(expr_fn, normalise=False):
+    def q(spark, sf_dir):
+        src = _logs_and_texts(spark, sf_dir, normalise_logs=normalise)
+        return src.select("system", "seq", *expr_fn(F.col("Content")))
+    return q
+
+
+def _arr_out(arr_fn):
+    return lambda c: [_joined(arr_fn(c)).alias("value"), F.size(arr_fn(c)).cast("bigint").alias("n")]
+
+
+def _templates(spark, sf_dir):
+    """Truth templates of the log view and labelled templates of the examples."""
+    logs = fx.log_view(spark, sf_dir).select("system", "seq", F.col("EventTemplate").alias("Content"))
+    ex = fx.labelled_examples(spark, sf_dir).select(
+        F.concat(F.col("system"), F.lit("/labelled")).alias("system"), "seq", F.col("EventTemplate").alias("Content"))
+    return logs.unionByName(ex)
+
+
+def q_match_tokens(spark, sf_dir):
+    t = _templates(spark, sf_dir)
+    return t.select("system", "seq", _joined(T.match_tokens("Content")).alias("value"))
+
+
+def q_repair_response(spark, sf_dir):
+    lv = fx.labelled_log_view(spark, sf_dir)
+    msg = T.correct_message("Content")
+    return lv.select("system", "seq", T.repair_response(msg, F.col("Labelled")).alias("value"))
+
+
+def q_scoring_tokens(spark, sf_dir):
+    t = _templates(spark, sf_dir).unionByName(fx.text_view(spark, sf_dir))
+    return t.select("system", "seq", _joined(T.scoring_tokens("Content")).alias("value"),
+                    F.size(T.scoring_tokens("Content")).cast("bigint").alias("n"))
+
+
+def _norm_logs(spark, sf_dir):
+    lv = fx.log_view(spark, sf_dir)
+    return lv.select("system", "seq", T.correct_message("Content").alias("Content"),
+                     T.correct_message("EventTemplate").alias("EventTemplate"))
+
+
+def q_jaccard(spark, sf_dir):
+    lv = _norm_logs(spark, sf_dir)
+    return lv.select("system", "seq", F.round(S.jaccard(T.tokens("Content"), T.match_tokens("EventTemplate")), 6)
+                     .alias("similarity"))
+
+
+def q_char_jaccard(spark, sf_dir):
+    lv = _norm_logs(spark, sf_dir)
+    return lv.select("system", "seq", F.round(S.char_jaccard("Content", "EventTemplate"), 6).alias("similarity"))
+
+
+def q_edit_similarity(spark, sf_dir):
+    lv = _norm_logs(spark, sf_dir)
+    return lv.select("system", "seq", F.round(S.edit_similarity(T.star_digits("Content"),
+                                                                T.star_digits("EventTemplate")), 6).alias("similarity"))
+
+
+# ---------------------------------------------------------------------------
+# Dictionary, uncommon tokens, dedup, sampling
+# ---------------------------------------------------------------------------
+MIN_MESSAGES = 50
+
+
+def _dictionary(spark, sf_dir):
+    return TK.corpus_dictionary(fx.log_view(spark, sf_dir), "Content", MIN_MESSAGES)
+
+
+def _tokenised(spark, sf_dir):
+    return fx.log_view(spark, sf_dir).withColumn("tokens", T.message_tokens("Content"))
+
+
+def q_dictionary(spark, sf_dir):
+    return _dictionary(spark, sf_dir)
+
+
+def q_is_common(spark, sf_dir):
+    toks = _tokenised(spark, sf_dir).select(F.explode("tokens").alias("token")).distinct()
+    return TK.with_is_common(toks, "token", _dictionary(spark, sf_dir))
+
+
+def q_uncommon_tokens(spark, sf_dir):
+    u = TK.uncommon_tokens(_tokenised(spark, sf_dir), ["system", "seq"], "tokens", _dictionary(spark, sf_dir))
+    return u.select("system", "seq", _joined("uncommon").alias("value"), F.size("uncommon").cast("bigint").alias("n"),
+                    TK.literal_flag("tokens", "uncommon").alias("is_literal"))
+
+
+def q_distinct_uncommon_tokens(spark, sf_dir):
+    u = TK.uncommon_tokens(_tokenised(spark, sf_dir), ["system", "seq"], "tokens", _dictionary(spark, sf_dir),
+                           distinct=True)
+    return u.select("system", "seq", _joined("uncommon").alias("value"))
+
+
+def q_dedup_by_mask(spark, sf_dir):
+    d = D.dedup_by_mask(fx.log_view(spark, sf_dir))
+    return d.select("system", "seq", T.mask_message("Content").alias("masked"))
+
+
+def q_dedup_by_format(spark, sf_dir):
+    d = D.dedup_by_format(fx.log_view(spark, sf_dir))
+    return d.select("system", "seq", T.format_signature("Content").alias("signature"))
+
+
+def q_candidate_groups(spark, sf_dir):
+    g = D.candidate_groups(fx.log_view(spark, sf_dir), _dictionary(spark, sf_dir))
+    return g.select("system", "seq", _joined("uncommon").alias("uncommon"))
+
+
+def q_distinct_uncommon(spark, sf_dir):
+    g = D.candidate_groups(fx.log_view(spark, sf_dir), _dictionary(spark, sf_dir))
+    return D.distinct_uncommon(g)
+
+
+def q_prefix_sample(spark, sf_dir):
+    return SM.prefix_sample(fx.log_view(spark, sf_dir), 0.2).select("system", "seq")
+
+
+def q_head_per_system(spark, sf_dir):
+    return SM.head_per_system(fx.log_view(spark, sf_dir), 32).select("system", "seq", "Content")
+
+
+def _groups(spark, sf_dir, text=False):
+    src = fx.log_view(spark, sf_dir) if not text else fx.text_view(spark, sf_dir)
+    words = TK.corpus_dictionary(src, "Content", MIN_MESSAGES)
+    return D.candidate_groups(src, words)
+
+
+def q_token_clusters(spark, sf_dir):
+    return SM.token_clusters(_groups(spark, sf_dir))
+
+
+def q_text_token_clusters(spark, sf_dir):
+    return SM.token_clusters(_groups(spark, sf_dir, text=True))
+
+
+def q_cluster_positions(spark, sf_dir):
+    g = _groups(spark, sf_dir)
+    return SM.cluster_positions(g, SM.token_clusters(g))
+
+
+def q_contribution_scores(spark, sf_dir):
+    g = _groups(spark, sf_dir)
+    return SM.contribution_scores(g, SM.token_clusters(g))
+
+
+def q_diversified_sample(spark, sf_dir):
+    s = SM.sample_examples(fx.log_view(spark, sf_dir), _dictionary(spark, sf_dir), 32, fraction=0.2)
+    return s.select("system", "seq", "pick", T.correct_message("Content").alias("Content"),
+                    T.correct_message("EventTemplate").alias("EventTemplate"))
+
+
+# ---------------------------------------------------------------------------
+# Metric variants over the rule parse (Q3, Q5, Q7, Q8, Q9, Q10)
+# ---------------------------------------------------------------------------
+def _parsed(spark, sf_dir):
+    return rule_parse(fx.log_view(spark, sf_dir))
+
+
+def _stratum(parsed):
+    """Truth templates that carry at least one variable slot."""
+    return parsed.where(F.col("truth").contains("<*>")).select("system", F.col("truth").alias("template")).distinct()
+
+
+def q_grouping_accuracy(spark, sf_dir):
+    return Q.grouping_accuracy(_parsed(spark, sf_dir))
+
+
+def q_grouping_accuracy_stratified(spark, sf_dir):
+    p = _parsed(spark, sf_dir)
+    return Q.grouping_accuracy(p, stratum=_stratum(p))
+
+
+def q_parsing_accuracy_folded(spark, sf_dir):
+    return Q.parsing_accuracy(_parsed(spark, sf_dir), folded=True)
+
+
+def q_parsing_accuracy_stratified(spark, sf_dir):
+    p = _parsed(spark, sf_dir)
+    return Q.parsing_accuracy(p, stratum=_stratum(p))
+
+
+def q_template_accuracy(spark, sf_dir):
+    return Q.template_accuracy(_parsed(spark, sf_dir))
+
+
+def q_template_accuracy_folded(spark, sf_dir):
+    return Q.template_accuracy(_parsed(spark, sf_dir), folded=True)
+
+
+def q_template_accuracy_stratified(spark, sf_dir):
+    p = _parsed(spark, sf_dir)
+    return Q.template_accuracy(p, stratum=_stratum(p))
+
+
+def q_similarity_accuracy(spark, sf_dir):
+    return Q.similarity_accuracy(_parsed(spark, sf_dir))
+
+
+def q_result_rows(spark, sf_dir):
+    return Q.result_rows(Q.evaluate(_parsed(spark, sf_dir), canonical=False))
+
+
+_MORE: dict[str, Query] = {
+    "remove_punctuation": _per_row(lambda c: [T.remove_punctuation(c).alias("value")]),
+    "tokens": _per_row(_arr_out(T.tokens)),
+    "message_tokens": _per_row(_arr_out(T.message_tokens)),
+    "words": _per_row(_arr_out(T.words)),
+    "format_signature": _per_row(lambda c: [T.format_signature(c).alias("value")]),
+    "star_digits": _per_row(lambda c: [T.star_digits(c).alias("value")]),
+    "match_tokens": q_match_tokens,
+    "repair_response": q_repair_response,
+    "scoring_tokens": q_scoring_tokens,
+    "jaccard": q_jaccard,
+    "char_jaccard": q_char_jaccard,
+    "edit_similarity": q_edit_similarity,
+    "dictionary": q_dictionary,
+    "is_common": q_is_common,
+    "uncommon_tokens": q_uncommon_tokens,
+    "distinct_uncommon_tokens": q_distinct_uncommon_tokens,
+    "dedup_by_mask": q_dedup_by_mask,
+    "dedup_by_format": q_dedup_by_format,
+    "candidate_groups": q_candidate_groups,
+    "distinct_uncommon": q_distinct_uncommon,
+    "prefix_sample": q_prefix_sample,
+    "head_per_system": q_head_per_system,
+    "token_clusters": q_token_clusters,
+    "text_token_clusters": q_text_token_clusters,
+    "cluster_positions": q_cluster_positions,
+    "contribution_scores": q_contribution_scores,
+    "diversified_sample": q_diversified_sample,
+    "grouping_accuracy": q_grouping_accuracy,
+    "grouping_accuracy_stratified": q_grouping_accuracy_stratified,
+    "parsing_accuracy_folded": q_parsing_accuracy_folded,
+    "parsing_accuracy_stratified": q_parsing_accuracy_stratified,
+    "template_accuracy": q_template_accuracy,
+    "template_accuracy_folded": q_template_accuracy_folded,
+    "template_accuracy_stratified": q_template_accuracy_stratified,
+    "similarity_accuracy": q_similarity_accuracy,
+    "result_rows": q_result_rows,
+}
+
+_BASE = queries
+
+
+def queries() -> dict[str, Query]:  # noqa: F811
+    out = _BASE()
+    out.update(_MORE)
+    return out

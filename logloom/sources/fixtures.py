@@ -95,8 +95,19 @@ def text_view_sql(documents="documents", conversations="conversations", pages="p
             .replace("{conversations}", conversations).replace("{pages}", pages))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin the rows over the cluster's cores when a scan yields fewer
+    partitions than cores (one-row-group files). Large inputs already split
+    into many scan tasks and pass through untouched, so no shuffle is added
+    at scale; per-row regex work is CPU-bound, so small scans gain from it."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def _spark_sql(spark: SparkSession, sf_dir: str, text: str, names) -> DataFrame:
@@ -121,6 +132,12 @@ def log_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _spark_sql(spark, sf_dir, _spark_text(text, _LOG_TABLES), _LOG_TABLES)
 
 
+def labelled_log_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``system, seq, Content, EventTemplate, Labelled`` for every message."""
+    text = "SELECT system, seq, Content, EventTemplate, Labelled FROM ({branches}) b".replace("{branches}", _BRANCHES_SQL)
+    return _spark_sql(spark, sf_dir, _spark_text(text, _LOG_TABLES), _LOG_TABLES)
+
+
 def labelled_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First message by ``seq`` of every branch, with its ``{label}`` template."""
     text = EXAMPLES_SQL.replace("{branches}", _BRANCHES_SQL)
