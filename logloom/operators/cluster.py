@@ -9,10 +9,12 @@ its earliest similar leader. We compute it without ever comparing all pairs:
 1. Items collapse to character-set signatures (equal sets have similarity 1,
    so only the first item of a signature can lead, and all items of a
    signature land in the same cluster).
-2. Similar signature pairs come from a prefix-filtered equi-join: characters
-   ordered rare-first, each signature emits its first
-   ``|x| - ceil(t|x|) + 1`` characters, and pairs must share one of them and
-   pass the length band ``t|x| <= |y| <= |x|/t`` before the exact check.
+2. Similar signature pairs come from exact equi-join blocking: small sets
+   meet on their intersection through deletion neighbourhoods (a set with
+   Jaccard >= t to another loses at most ``floor(|x|(1-t)/t)`` elements to
+   reach the intersection); large sets meet on a shared prefix character
+   (rare first, prefix ``|x| - ceil(t|x|) + 1``). Candidates pass the length
+   band ``t|x| <= |y| <= |x|/t`` and then the exact check.
 3. Rounds decide nodes: one with an earlier leader neighbour becomes a member;
    one whose earlier neighbours are all members becomes a leader. The status
    table is checkpointed every round (lineage stays flat).
@@ -24,9 +26,13 @@ rational form of ``threshold``.
 from __future__ import annotations
 
 from fractions import Fraction
+from itertools import combinations
+
+import pandas as pd
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from ..functions.similarity import characters
 from ..session import cut_lineage
@@ -46,32 +52,76 @@ def signatures(items: DataFrame, partition: list[str], item: str, order: str) ->
             .select(*partition, "sig", F.size("sig").alias("n"), F.col("f.o").alias("o"), F.col("f.first").alias("first")))
 
 
-def similar_signature_pairs(sigs: DataFrame, partition: list[str], threshold: float = 0.8) -> DataFrame:
-    """Edges (a -> b), a earlier than b, between signatures with Jaccard >= threshold."""
-    num, den = _ratio(threshold)
+SMALL_SET = 12
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _deletion_keys(sig: pd.Series, k: pd.Series) -> pd.Series:
+    """All subsets of a sorted character set missing at most ``k`` characters,
+    each as a ``\u0001``-joined string (small sets only; <= 299 keys at 12)."""
+    out = []
+    for chars, kk in zip(sig, k):
+        chars = list(chars)
+        n = len(chars)
+        keys = []
+        for j in range(int(kk) + 1):
+            for drop in combinations(range(n), j):
+                keys.append("\u0001".join(c for i, c in enumerate(chars) if i not in drop))
+        out.append(keys)
+    return pd.Series(out)
+
+
+def _prefix_candidates(sigs: DataFrame, partition: list[str], num: int, den: int) -> DataFrame:
+    """Candidate pairs sharing a prefix character (rare characters first)."""
     chars = sigs.select(*partition, "o", F.explode("sig").alias("ch"))
     freq = chars.groupBy(*partition, "ch").agg(F.count(F.lit(1)).alias("df"))
-    # global order: rare characters first, ties by character
     rank = freq.withColumn("rk", F.row_number().over(Window.partitionBy(*partition).orderBy("df", "ch")))
     ranked = (chars.join(rank.select(*partition, "ch", "rk"), [*partition, "ch"])
               .groupBy(*partition, "o").agg(F.array_sort(F.collect_list(F.struct("rk", "ch"))).alias("rc")))
-    # prefix length |x| - ceil(t|x|) + 1 with t = num/den
     n = F.size("rc")
     plen = n - F.floor((n * num + den - 1) / den).cast("int") + 1
     pref = ranked.select(*partition, "o", F.explode(F.slice("rc", 1, plen)).alias("p")).select(
-        *partition, "o", F.col("p.ch").alias("ch"))
+        *partition, "o", F.col("p.ch").alias("key"))
+    return pref
+
+
+def similar_signature_pairs(sigs: DataFrame, partition: list[str], threshold: float = 0.8) -> DataFrame:
+    """Edges (a -> b), a earlier than b, between signatures with Jaccard >= threshold.
+
+    Exact blocking in two parts. Two sets with Jaccard >= t each lose at most
+    ``floor(|x|(1-t)/t)`` elements to reach their intersection, so small sets
+    (<= ``SMALL_SET`` characters) emit their deletion neighbourhood and pairs
+    meet on the intersection as an equi-join key. Pairs involving a larger
+    set (both then have >= ``t*(SMALL_SET+1)`` characters) meet on a shared
+    prefix character, which is selective for long sets.
+    """
+    num, den = _ratio(threshold)
+    k = F.floor(F.col("n") * (den - num) / num).cast("int")
+    small = sigs.where(F.col("n") <= SMALL_SET)
+    small_keys = small.select(*partition, "o", F.explode(_deletion_keys("sig", k)).alias("key"))
+    large_min = -(-(SMALL_SET + 1) * num // den)
+    large_keys = _prefix_candidates(sigs.where(F.col("n") >= large_min), partition, num, den)
     meta = sigs.select(*partition, "o", "n", "sig")
-    a = pref.join(meta, [*partition, "o"]).select(*partition, "ch", F.col("o").alias("oa"), F.col("n").alias("na"),
-                                                  F.col("sig").alias("sa"))
-    b = pref.join(meta, [*partition, "o"]).select(*partition, "ch", F.col("o").alias("ob"), F.col("n").alias("nb"),
-                                                  F.col("sig").alias("sb"))
-    cand = (a.join(b, [*partition, "ch"])
-            .where((F.col("oa") < F.col("ob"))
-                   & (F.col("nb") * den >= F.col("na") * num) & (F.col("na") * den >= F.col("nb") * num))
-            .select(*partition, "oa", "ob", "sa", "sb").dropDuplicates([*partition, "oa", "ob"]))
+
+    def pairs(keys: DataFrame, need_large: bool) -> DataFrame:
+        a = keys.select(*partition, "key", F.col("o").alias("oa"))
+        b = keys.select(*partition, "key", F.col("o").alias("ob"))
+        p = a.join(b, [*partition, "key"]).where(F.col("oa") < F.col("ob")).select(*partition, "oa", "ob")
+        p = p.dropDuplicates([*partition, "oa", "ob"])
+        p = (p.join(meta.select(*partition, F.col("o").alias("oa"), F.col("n").alias("na"), F.col("sig").alias("sa")),
+                    [*partition, "oa"])
+             .join(meta.select(*partition, F.col("o").alias("ob"), F.col("n").alias("nb"), F.col("sig").alias("sb")),
+                   [*partition, "ob"]))
+        if need_large:
+            p = p.where(F.greatest("na", "nb") > SMALL_SET)
+        return p
+
+    cand = pairs(small_keys, False).unionByName(pairs(large_keys, True))
+    cand = cand.where((F.col("nb") * den >= F.col("na") * num) & (F.col("na") * den >= F.col("nb") * num))
     inter = F.size(F.array_intersect("sa", "sb"))
     union = F.size("sa") + F.size("sb") - inter
-    return cand.where((union > 0) & (inter * den >= union * num)).select(*partition, "oa", "ob")
+    return (cand.where((union > 0) & (inter * den >= union * num)).select(*partition, "oa", "ob")
+            .dropDuplicates([*partition, "oa", "ob"]))
 
 
 def leader_cluster(items: DataFrame, item: str, order: str | None = None, partition: list[str] | None = None,
