@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from ..functions.similarity import characters
-from ..session import cut_lineage
+from ..session import Stepper, cut_lineage
 
 
 def _ratio(threshold: float) -> tuple[int, int]:
@@ -137,8 +137,9 @@ def leader_cluster(items: DataFrame, item: str, order: str | None = None, partit
     sigs = cut_lineage(signatures(src, partition, item, "_o"))
     edges = cut_lineage(similar_signature_pairs(sigs, partition, threshold))
     status = sigs.select(*partition, "o", F.lit("U").alias("st"))
+    stepper = Stepper(every=4)
     while True:
-        status = cut_lineage(status)
+        status = stepper.step(status)
         if status.where(F.col("st") == "U").limit(1).count() == 0:
             break
         inn = (edges.join(status.select(*partition, F.col("o").alias("oa"), F.col("st").alias("sa")), [*partition, "oa"])

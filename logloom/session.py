@@ -9,9 +9,27 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import StorageLevel
 from pyspark.sql import SparkSession
 
 
+# Iterative jobs build long plans; their explain text (for listeners and the
+# event log) is display only and is capped so that it cannot exhaust the heap.
+PLAN_STRING_CAP = 1 << 20
+_PLAN_STRING = "spark.sql.maxPlanStringLength"
+
+
+def cap_plan_strings(spark: SparkSession) -> None:
+    """Cap plan text length when the session still has Spark's unlimited default."""
+    current = spark.conf.get(_PLAN_STRING, None)
+    try:
+        unlimited = current is None or int(str(current).rstrip("bB")) > PLAN_STRING_CAP * 64
+    except ValueError:
+        unlimited = False
+    if unlimited:
+        spark.conf.set(_PLAN_STRING, str(PLAN_STRING_CAP))
+
+
 def local_session(cores: int = 8, shuffle_partitions: int | None = None,
                   app: str = "logloom") -> SparkSession:
     """A local session with the settings the library assumes (AQE on, UTC, no UI)."""
@@ -29,6 +47,7 @@ def local_session(cores: int = 8, shuffle_partitions: int | None = None,
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "16g")
         .config("spark.sql.autoBroadcastJoinThreshold", str(32 * 1024 * 1024))
+        .config("spark.sql.maxPlanStringLength", str(PLAN_STRING_CAP))
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -56,7 +75,62 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or scratch
 
 
+_CONSTRAINTS = "spark.sql.constraintPropagation.enabled"
+
+
 def cut_lineage(df, eager: bool = True):
-    """Reliable checkpoint into the shared checkpoint folder (never localCheckpoint)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+    """Reliable checkpoint into the shared checkpoint folder (never localCheckpoint).
+
+    Constraint propagation is paused for the call: checkpointing a union of
+    already-checkpointed frames otherwise fails while Spark rewrites the
+    union's constraints for the new plan root.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    prev = spark.conf.get(_CONSTRAINTS, "true")
+    spark.conf.set(_CONSTRAINTS, "false")
+    try:
+        # computed once: the checkpoint write reads the persisted blocks
+        df.persist(StorageLevel.MEMORY_AND_DISK)
+        out = df.checkpoint(eager=eager)
+        if eager:
+            df.unpersist()
+        return out
+    finally:
+        spark.conf.set(_CONSTRAINTS, prev)
+
+
+def materialize(df):
+    """Persist and compute once; for intermediates used several times within
+    one step of an iterative job (state carried across steps uses
+    :func:`cut_lineage`)."""
+    out = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out.count()
+    return out
+
+
+class Stepper:
+    """Materialise the state of an iterative job.
+
+    Every step is persisted (so the next step reads it instead of recomputing
+    the chain); every ``every``-th step is a reliable checkpoint into the
+    shared checkpoint folder, which bounds both lineage depth and the work an
+    executor loss can cost. The previous persisted step is released.
+    """
+
+    def __init__(self, every: int = 4):
+        self.every = every
+        self.n = 0
+        self.prev = None
+
+    def step(self, df):
+        self.n += 1
+        if self.n % self.every == 0:
+            out = cut_lineage(df)
+        else:
+            out = df.persist(StorageLevel.MEMORY_AND_DISK)
+            out.count()
+        if self.prev is not None and self.prev is not out:
+            self.prev.unpersist()
+        self.prev = out
+        return out
