@@ -46,52 +46,58 @@ def slot_pattern(template) -> Column:
     return F.concat(F.lit("^"), F.array_join(quoted, "([\\s\\S]*)"))
 
 
+def _running_starts(arr: Column, gap: int) -> Column:
+    """Start offset of every element when the elements are laid end to end
+    with ``gap`` characters between them (a fold over the array only)."""
+    init = F.struct(F.array().cast("array<int>").alias("s"), F.lit(0).alias("p"))
+    return F.aggregate(arr, init, lambda acc, x: F.struct(
+        F.concat(acc["s"], F.array(acc["p"])).alias("s"), (acc["p"] + F.length(x) + gap).alias("p")))["s"]
+
+
+_CAPS_TYPE = "array<struct<label:string,value:string,start:int>>"
+
+
 def extract_slots(df: DataFrame, msg: str = "msg", template: str = "response") -> DataFrame:
-    """E1 + E2: adds ``slots array<struct<label, value, start, positions>>``.
+    r"""Adds ``caps array<struct<label, value, start>>`` — one entry per
+    ``{label}`` slot in order, with the captured text and its character
+    offset. Empty when there are more than 30 slots, no slots, or no match.
 
-    Empty when there are more than 30 slots, no slots, or no match. ``start``
-    is the capture's character offset; ``positions`` are the whitespace
-    tokens of ``msg`` whose span touches any capture with the same value
-    (spans assume single spaces, as in the reference).
+    The pattern is anchored at the start only and every slot is a greedy
+    ``([\s\S]*)``; literals are captured too, so each capture's offset is the
+    summed length of the pieces before it.
     """
     labels = F.regexp_extract_all(F.col(template), F.lit(r"\{(.*?)\}"), 1)
     n = F.size(labels)
-    pat = slot_pattern(template)
     ok = (n > 0) & (n <= MAX_SLOTS)
-    base = df.withColumn("_labels", labels).withColumn("_pat", F.when(ok, pat))
-    base = base.withColumn("_hit", F.when(F.col("_pat").isNotNull(),
-                                          F.expr(f"`{msg}` RLIKE _pat")).otherwise(F.lit(False)))
+    base = df.withColumn("_labels", labels).withColumn("_pat", F.when(ok, slot_pattern(template)))
+    hit = F.coalesce(F.expr(f"`{msg}` RLIKE _pat"), F.lit(False))
     pieces = F.expr(f"transform(sequence(1, 2 * size(_labels) + 1), i -> regexp_extract(`{msg}`, _pat, i))")
-    base = base.withColumn("_pieces", F.when(F.col("_hit"), pieces))
-    lens = F.transform("_pieces", lambda x: F.length(x))
-    base = base.withColumn("_lens", lens)
-    # capture k (0-based) is piece 2k+1 (0-based); its start is the sum of earlier piece lengths
-    caps = F.transform(
-        "_labels",
-        lambda lab, k: F.struct(
-            lab.alias("label"),
-            F.element_at("_pieces", 2 * k + 2).alias("value"),
-            F.aggregate(F.slice("_lens", 1, 2 * k + 1), F.lit(0), lambda acc, x: acc + x).alias("start")))
-    base = base.withColumn("_caps", F.when(F.col("_hit"), caps))
-    words = F.split(F.col(msg), " ")
-    base = base.withColumn("_w", F.when(F.col("_hit"), words))
-    tok_start = F.transform("_w", lambda w, i: F.aggregate(
-        F.slice("_w", 1, i), F.lit(0), lambda acc, x: acc + F.length(x) + 1))
-    base = base.withColumn("_ts", tok_start)
-
-    def positions(c):
-        same = F.transform(F.filter("_caps", lambda d: d["value"] == c["value"]), lambda d: d["start"])
-        vlen = F.length(c["value"])
-        return F.filter(F.sequence(F.lit(0), F.size("_w") - 1), lambda i: F.exists(
-            same, lambda s: (s <= F.element_at("_ts", i + 1) + F.length(F.element_at("_w", i + 1)))
-            & (s + vlen >= F.element_at("_ts", i + 1))))
-
-    slots = F.transform("_caps", lambda c: F.struct(c["label"].alias("label"), c["value"].alias("value"),
-                                                    c["start"].alias("start"), positions(c).alias("positions")))
-    out = base.withColumn("slots", F.coalesce(F.when(F.col("_hit"), slots),
-                                              F.array().cast("array<struct<label:string,value:string,start:int,"
-                                                             "positions:array<int>>>")))
-    return out.drop("_labels", "_pat", "_hit", "_pieces", "_lens", "_caps", "_w", "_ts")
+    base = base.withColumn("_pieces", F.when(hit, pieces))
+    starts = _running_starts(F.col("_pieces"), 0)
+    slots_only = F.filter(F.arrays_zip(F.col("_pieces").alias("v"), starts.alias("s")), lambda x, i: i % 2 == 1)
+    caps = F.transform(F.arrays_zip(F.col("_labels").alias("l"), slots_only.alias("c")),
+                       lambda z: F.struct(z["l"].alias("label"), z["c"]["v"].alias("value"),
+                                          z["c"]["s"].alias("start")))
+    out = base.withColumn("caps", F.coalesce(F.when(F.col("_pieces").isNotNull(), caps), F.array().cast(_CAPS_TYPE)))
+    return out.drop("_labels", "_pat", "_pieces")
+
+
+def slot_positions(caps: DataFrame, keys: list[str], msg: str = "msg") -> DataFrame:
+    """``(*keys, label, positions)`` — the whitespace tokens of ``msg``
+    whose span touches any capture with the label's value (equal values share
+    positions; a span ending where a token starts touches it). Token spans
+    assume single spaces, as in the reference."""
+    cx = caps.select(*keys, F.explode("caps").alias("c")).select(
+        *keys, F.col("c.label").alias("label"), F.col("c.value").alias("value"), F.col("c.start").alias("start"))
+    w = F.split(F.col(msg), " ")
+    tx = caps.where(F.size("caps") > 0).select(
+        *keys, F.posexplode(F.arrays_zip(w.alias("t"), _running_starts(w, 1).alias("ts"))).alias("i", "z")).select(
+        *keys, "i", F.col("z.ts").alias("ts"), (F.col("z.ts") + F.length("z.t")).alias("te"))
+    touch = (cx.join(tx, keys).where((F.col("start") <= F.col("te"))
+                                     & (F.col("start") + F.length("value") >= F.col("ts")))
+             .select(*keys, "value", "i").distinct())
+    return (cx.select(*keys, "label", "value").distinct().join(touch, [*keys, "value"])
+            .groupBy(*keys, "label").agg(F.array_sort(F.collect_set(F.col("i").cast("int"))).alias("positions")))
 
 
 def correct_slots(df: DataFrame, words: DataFrame, msg: str = "msg", response: str = "response",
@@ -107,24 +113,27 @@ def correct_slots(df: DataFrame, words: DataFrame, msg: str = "msg", response: s
     """
     keys = keys or ["system", "seq"]
     ex = extract_slots(df, msg, response)
-    firsts = (ex.select(*keys, F.posexplode("slots").alias("k", "s"))
+    firsts = (ex.select(*keys, F.posexplode("caps").alias("k", "s"))
               .groupBy(*keys, F.col("s.label").alias("label"))
               .agg(F.min("k").alias("k"), F.min_by(F.col("s.value"), F.col("k")).alias("value"),
-                   F.collect_list("s.value").alias("values"),
-                   F.array_sort(F.array_distinct(F.flatten(F.collect_list("s.positions")))).alias("positions")))
+                   F.transform(F.array_sort(F.collect_list(F.struct("k", "s.value"))), lambda x: x["value"])
+                   .alias("values")))
+    firsts = firsts.join(slot_positions(ex, keys, msg), [*keys, "label"], "left")
     firsts = with_is_common(firsts, "value", words)
     err = ((F.lower("label") == F.lower("value")) | (F.lower("label") == "label")
            | (remove_punctuation("label") == "") | (remove_punctuation("value") == "")
            | F.col("is_common") | (F.size(F.filter(F.split(F.col("value"), r"(?U)\s+"), lambda x: x != "")) >= 9))
     per = (firsts.withColumn("err", err)
            .groupBy(*keys)
-           .agg(F.array_sort(F.collect_list(F.struct("k", "label", "value", "values", "positions", "err"))).alias("ls")))
+           .agg(F.array_sort(F.collect_list(F.struct(
+               "k", "label", "value", "values",
+               F.coalesce("positions", F.array().cast("array<int>")).alias("positions"), "err"))).alias("ls")))
     joined = ex.join(per, keys, "left")
     bad = F.filter("ls", lambda x: x["err"])
     good = F.filter("ls", lambda x: ~x["err"])
     fixed = F.aggregate(bad, F.col(response),
                         lambda acc, x: F.replace(acc, F.concat(F.lit("{"), x["label"], F.lit("}")), x["value"]))
-    no_slots = F.size("slots") == 0
+    no_slots = F.size("caps") == 0
     return joined.select(
         "*",
         F.when(no_slots, F.col(msg)).otherwise(fixed).alias("corrected"),
@@ -134,7 +143,7 @@ def correct_slots(df: DataFrame, words: DataFrame, msg: str = "msg", response: s
         F.when(no_slots, F.create_map().cast("map<string,array<int>>")).otherwise(
             F.map_from_entries(F.transform(good, lambda x: F.struct(x["label"], x["positions"]))))
         .alias("label_positions"),
-    ).drop("ls", "slots")
+    ).drop("ls", "caps")
 
 
 def template_from_response(df: DataFrame, words: DataFrame, msg: str = "msg", response: str = "response",

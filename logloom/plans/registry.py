@@ -334,3 +334,133 @@ def queries() -> dict[str, Query]:  # noqa: F811
     out = _BASE()
     out.update(_MORE)
     return out
+
+
+# ---------------------------------------------------------------------------
+# Catalog, matching, labelling, catalog parse
+# Iterative or regex-built per row: rows-only checks, replay tests in tests/.
+# ---------------------------------------------------------------------------
+from ..operators import catalog as CT  # noqa: E402
+from ..operators import labelling as LB  # noqa: E402
+from ..operators import matching as MT  # noqa: E402
+from .catalog_parse import distinct_keys, parse_logs  # noqa: E402
+
+
+def _labelled_rows(spark, sf_dir):
+    """Labelled responses as the catalog sees them: the earliest message of
+    every (system, masked key, labelled template) over the whole log view."""
+    lv = fx.labelled_log_view(spark, sf_dir)
+    rows = lv.select("system", "seq", T.correct_message("Content").alias("msg"), F.col("Labelled").alias("response"))
+    return D.dedup_first(rows.withColumn("_k", F.concat_ws("\u0001", T.mask_message("msg"), F.col("response"))),
+                         "_k").drop("_k")
+
+
+def _seed_catalog(spark, sf_dir, indexed=True):
+    ex = fx.labelled_examples(spark, sf_dir).select(
+        "system", "seq", F.col("Content").alias("msg"), F.col("EventTemplate").alias("response"))
+    return CT.upsert_catalog(None, ex, _dictionary(spark, sf_dir), 0, indexed=indexed)
+
+
+def _keys(spark, sf_dir):
+    lv = fx.log_view(spark, sf_dir).select("system", "seq", T.correct_message("Content").alias("Content"),
+                                           T.correct_message("EventTemplate").alias("EventTemplate"))
+    return distinct_keys(lv, _dictionary(spark, sf_dir))
+
+
+def q_slot_capture(spark, sf_dir):
+    e = CT.extract_slots(_labelled_rows(spark, sf_dir))
+    caps = e.select("system", "seq", F.posexplode("caps").alias("k", "s")).select(
+        "system", "seq", F.col("k").cast("bigint").alias("k"), F.col("s.label").alias("label"),
+        F.col("s.value").alias("value"), F.col("s.start").cast("bigint").alias("start"))
+    pos = CT.slot_positions(e, ["system", "seq"]).select(
+        "system", "seq", "label", F.array_join(F.transform("positions", lambda p: p.cast("string")), ",")
+        .alias("positions"))
+    return caps.join(pos, ["system", "seq", "label"], "left")
+
+
+def q_slot_correction(spark, sf_dir):
+    t = CT.template_from_response(_labelled_rows(spark, sf_dir), _dictionary(spark, sf_dir))
+    return t.select("system", "seq", "labelled", "template",
+                    F.array_join(F.transform("label_vars", lambda x: x["label"]), ",").alias("labels"))
+
+
+def q_catalog_seed(spark, sf_dir):
+    cat, _, _ = _seed_catalog(spark, sf_dir, indexed=False)
+    return cat.select("system", "template_id", "template", "example", "labelled",
+                      _joined("tokens").alias("tokens"), "indexed")
+
+
+def q_variable_units(spark, sf_dir):
+    rows = CT.template_from_response(_labelled_rows(spark, sf_dir), _dictionary(spark, sf_dir))
+    units = rows.select("system", "seq", F.explode("label_vars").alias("lv")).select(
+        "system", "seq", F.col("lv.label").alias("label"), F.posexplode("lv.values").alias("pos", "value"))
+    u = CT.variable_units(units)
+    return u.select("system", "label", F.size("values").cast("bigint").alias("n_values"),
+                    _joined("symbols").alias("symbols"))
+
+
+def q_wildcard_match(spark, sf_dir):
+    cat, _, _ = _seed_catalog(spark, sf_dir)
+    return MT.match_wildcard(_keys(spark, sf_dir), cat).select(
+        "system", "masked", "ok", "template_id", _joined("fail_node").alias("fail_node"))
+
+
+def q_similar_match(spark, sf_dir):
+    cat, _, _ = _seed_catalog(spark, sf_dir)
+    keys = _keys(spark, sf_dir)
+    walk = MT.match_wildcard(keys, cat)
+    failed = walk.where(~F.col("ok")).select("system", "masked", "fail_node").join(
+        keys.select("system", "masked", "msg", "tokens"), ["system", "masked"])
+    return MT.match_similar(failed, cat)
+
+
+def q_reference_example(spark, sf_dir):
+    cat, _, _ = _seed_catalog(spark, sf_dir)
+    return MT.reference_example(_keys(spark, sf_dir), cat)
+
+
+def q_relevant_variables(spark, sf_dir):
+    _, _, units = _seed_catalog(spark, sf_dir)
+    hints = MT.relevant_variables(_keys(spark, sf_dir), CT.variable_units(units))
+    return hints.select("system", "masked", F.array_join(F.transform(
+        "hints", lambda h: F.concat(h["label"], F.lit("="), h["symbol"])), SEP).alias("hints"))
+
+
+def q_labelling_prompts(spark, sf_dir):
+    cat, _, units = _seed_catalog(spark, sf_dir)
+    keys = _keys(spark, sf_dir)
+    p = LB.build_prompts(keys, MT.relevant_variables(keys, CT.variable_units(units)), MT.reference_example(keys, cat))
+    return p.select("system", "masked", "prompt")
+
+
+def q_generalised_templates(spark, sf_dir):
+    cat, _, _ = _seed_catalog(spark, sf_dir)
+    keys = _keys(spark, sf_dir)
+    walk = MT.match_wildcard(keys, cat).where("ok")
+    hits = walk.join(keys.select("system", "masked", "msg"), ["system", "masked"]).select("system", "template_id", "msg")
+    return CT.generalise_templates(hits, cat).select("system", "template_id", "template", "final_template")
+
+
+def _catalog_parse(spark, sf_dir):
+    logs = fx.log_view(spark, sf_dir)
+    return parse_logs(logs, fx.labelled_examples(spark, sf_dir), _dictionary(spark, sf_dir))
+
+
+def q_catalog_parse_metrics(spark, sf_dir):
+    parsed, _, stats = _catalog_parse(spark, sf_dir)
+    return Q.result_rows(Q.evaluate(parsed), stats)
+
+
+_MORE.update({
+    "slot_capture": q_slot_capture,
+    "slot_correction": q_slot_correction,
+    "catalog_seed": q_catalog_seed,
+    "variable_units": q_variable_units,
+    "wildcard_match": q_wildcard_match,
+    "similar_match": q_similar_match,
+    "reference_example": q_reference_example,
+    "relevant_variables": q_relevant_variables,
+    "labelling_prompts": q_labelling_prompts,
+    "generalised_templates": q_generalised_templates,
+    "catalog_parse_metrics": q_catalog_parse_metrics,
+})
