@@ -236,6 +236,11 @@ SELECT system, round(avg(i / (len(ta) + len(tb) - i))::DOUBLE, 6) AS SA FROM s3
     o["result_rows"] = f"""WITH base AS ({oracles_base()['rule_parse_metrics']})
 SELECT system AS Dataset, 0.0::DOUBLE AS parse_time, 0.0::DOUBLE AS invoc_time, 0::BIGINT AS invoc_num,
   0.0::DOUBLE AS invoc_token, identified_templates, ground_templates, GA, PA, FGA, PTA, RTA, FTA FROM base"""
+    o["stream_first_seen"] = f"""WITH {LOGS},
+s AS (SELECT system, seq, {d.correct_message('Content')} AS c FROM logs WHERE system IN ('events', 'orders')),
+m1 AS (SELECT system, string_split(trim({d.mask_chain('c')}), ' ') AS tk FROM s),
+m2 AS (SELECT system, trim(array_to_string({d.dedup_adjacent('tk')}, ' ')) AS masked FROM m1)
+SELECT DISTINCT system, masked FROM m2"""
     return o
 
 

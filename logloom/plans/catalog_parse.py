@@ -45,39 +45,47 @@ def distinct_keys(logs: DataFrame, words: DataFrame) -> DataFrame:
     return uncommon_tokens(keys, ["system", "masked"], "tokens", words)
 
 
-def parse_logs(logs: DataFrame, examples: DataFrame, words: DataFrame,
-               labeller: Callable[[DataFrame], DataFrame] = truth_labeller, shot: int = 32,
-               max_rounds: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """L3. Returns ``(parsed, catalog, stats)``.
+class CatalogState:
+    """What the parse carries between rounds and between stream batches."""
 
-    ``parsed``: ``system, seq, truth, parsed`` for every log row;
-    ``catalog``: final template catalog; ``stats``: A13 per system.
-    ``logs``: ``system, seq, Content, EventTemplate`` (normalised here with F1);
-    ``examples``: labelled ``system, seq, Content, EventTemplate`` with ``{label}`` slots.
-    """
-    t_start = time.time()
-    invoc_time = 0.0
-    cap_plan_strings(logs.sparkSession)
-    words = cut_lineage(words.select("word"))
-    logs = logs.select("system", "seq", correct_message("Content").alias("Content"),
-                       correct_message("EventTemplate").alias("EventTemplate"))
+    def __init__(self, catalog: DataFrame, matching: DataFrame, units: DataFrame, next_round: int = 1):
+        self.catalog = catalog
+        self.matching = matching
+        self.units = units
+        self.next_round = next_round
+
+
+def seed_state(examples: DataFrame, words: DataFrame, shot: int = 32) -> CatalogState:
+    """U1 over the first ``shot`` labelled examples per system (not indexed)."""
     seeds = head_per_system(examples, shot).select(
         "system", "seq", F.col("Content").alias("msg"), F.col("EventTemplate").alias("response"))
     catalog, asg, units = upsert_catalog(None, seeds, words, 0, indexed=False)
-    catalog = cut_lineage(catalog)
-    matching = cut_lineage(asg.select("system", "masked", "template_id").dropDuplicates(["system", "masked"]))
-    all_units = units
-    keys = cut_lineage(distinct_keys(logs, words))
+    return CatalogState(cut_lineage(catalog),
+                        cut_lineage(asg.select("system", "masked", "template_id").dropDuplicates(["system", "masked"])),
+                        cut_lineage(units), 1)
+
+
+def resolve_keys(keys: DataFrame, state: CatalogState, words: DataFrame,
+                 labeller: Callable[[DataFrame], DataFrame] = truth_labeller,
+                 max_rounds: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame, float]:
+    """The round loop of L3 over distinct ``keys``; updates ``state`` in place.
+
+    Returns ``(resolved, hits, labels, invoc_time)``: key -> template_id, the
+    wildcard/similar hits for A11, and the labelling calls.
+    """
+    invoc_time = 0.0
+    catalog, matching, all_units = state.catalog, state.matching, state.units
     unresolved = keys
     resolved = []     # (system, masked, template_id)
     hits = []         # tree/similar matches for A11: (system, template_id, msg)
     labels = []       # (system, masked, tokens)
-    rnd = 1
+    rnd = state.next_round
+    first_round = rnd
     while True:
         unresolved = cut_lineage(unresolved)
         if unresolved.limit(1).count() == 0:
             break
-        if max_rounds is not None and rnd > max_rounds:
+        if max_rounds is not None and rnd - first_round >= max_rounds:
             raise RuntimeError(f"catalog parse did not converge in {max_rounds} rounds")
         j1 = match_exact(unresolved, matching).select("system", "masked", "template_id")
         resolved.append(materialize(j1))
@@ -125,28 +133,46 @@ def parse_logs(logs: DataFrame, examples: DataFrame, words: DataFrame,
         matching = cut_lineage(matching.unionByName(lit_res.unionByName(lab_res)))
         unresolved = u3.join(reps.select("system", "masked"), ["system", "masked"], "left_anti")
         rnd += 1
-    res = resolved[0]
-    for r in resolved[1:]:
+    state.catalog, state.matching, state.units, state.next_round = catalog, matching, all_units, rnd + 1
+    spark = keys.sparkSession
+    empty_res = spark.createDataFrame([], "system string, masked string, template_id bigint")
+    res = empty_res
+    for r in resolved:
         res = res.unionByName(r)
-    res = cut_lineage(res)
-    if hits:
-        h = hits[0]
-        for x in hits[1:]:
-            h = h.unionByName(x)
-    else:
-        h = res.limit(0).select("system", "template_id", F.lit("").alias("msg"))
-    catalog = cut_lineage(generalise_templates(h, catalog))
+    h = spark.createDataFrame([], "system string, template_id bigint, msg string")
+    for x in hits:
+        h = h.unionByName(x)
+    lab = spark.createDataFrame([], "system string, masked string, tokens bigint")
+    for x in labels:
+        lab = lab.unionByName(x)
+    return cut_lineage(res), cut_lineage(h), cut_lineage(lab), invoc_time
+
+
+def parse_logs(logs: DataFrame, examples: DataFrame, words: DataFrame,
+               labeller: Callable[[DataFrame], DataFrame] = truth_labeller, shot: int = 32,
+               max_rounds: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """L3. Returns ``(parsed, catalog, stats)``.
+
+    ``parsed``: ``system, seq, truth, parsed`` for every log row;
+    ``catalog``: final template catalog (with ``final_template`` after A11);
+    ``stats``: A13 per system.
+    ``logs``: ``system, seq, Content, EventTemplate`` (normalised here with F1);
+    ``examples``: labelled ``system, seq, Content, EventTemplate`` with ``{label}`` slots.
+    """
+    t_start = time.time()
+    cap_plan_strings(logs.sparkSession)
+    words = cut_lineage(words.select("word"))
+    logs = logs.select("system", "seq", correct_message("Content").alias("Content"),
+                       correct_message("EventTemplate").alias("EventTemplate"))
+    state = seed_state(examples, words, shot)
+    keys = cut_lineage(distinct_keys(logs, words))
+    res, hits, lab, invoc_time = resolve_keys(keys, state, words, labeller, max_rounds)
+    catalog = cut_lineage(generalise_templates(hits, state.catalog))
     row_keys = logs.select("system", "seq", F.col("EventTemplate").alias("truth"), mask_message("Content").alias("masked"))
     parsed = (row_keys.join(res, ["system", "masked"], "left")
               .join(catalog.select("system", "template_id", F.col("final_template").alias("parsed")),
                     ["system", "template_id"], "left")
               .select("system", "seq", "truth", "parsed"))
-    if labels:
-        lab = labels[0]
-        for x in labels[1:]:
-            lab = lab.unionByName(x)
-    else:
-        lab = keys.limit(0).select("system", "masked", F.lit(0).cast("bigint").alias("tokens"))
     stats = labelling_stats(lab, time.time() - t_start, invoc_time)
     all_systems = keys.select("system").distinct()
     stats = all_systems.join(stats, "system", "left").fillna(

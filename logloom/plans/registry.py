@@ -464,3 +464,42 @@ _MORE.update({
     "generalised_templates": q_generalised_templates,
     "catalog_parse_metrics": q_catalog_parse_metrics,
 })
+
+
+# ---------------------------------------------------------------------------
+# Streaming (ST2): first-seen masked keys, with the tables read as streams.
+# ---------------------------------------------------------------------------
+def _stream_logs(spark, sf_dir):
+    """events and orders read as file streams, turned into log messages."""
+    def stream(name):
+        schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
+        return (spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+                .option("maxFilesPerTrigger", 1).parquet(sf_dir))
+    ev = stream("events").selectExpr(
+        "'events' AS system", "event_id AS seq",
+        "CASE event_type WHEN 'view' THEN concat('User ', user_id, ' viewed page /item/', event_id % 50, '/detail') "
+        "WHEN 'signup' THEN concat('Accepted signup for user', user_id, '@example.com from 10.', user_id % 256, '.', "
+        "event_id % 256, '.7 port ', 1024 + event_id % 5000) "
+        "WHEN 'error' THEN concat('Task failed: uid=', user_id, ' code=', event_id % 13, ' retry ', event_id % 4) "
+        "WHEN 'click' THEN concat('Button ', CASE event_id % 3 WHEN 0 THEN 'buy' WHEN 1 THEN 'save' ELSE 'share' END, "
+        "' clicked in session 0x', user_id) "
+        "ELSE concat('Order ', event_id, ' paid, total ', CAST(round(value * 100) AS BIGINT), ' cents') END AS Content")
+    od = stream("orders").selectExpr(
+        "'orders' AS system", "o_orderkey AS seq",
+        "concat('Order ', o_orderkey, ' for customer ', o_custkey, ' moved to status ', o_orderstatus, "
+        "' priority ', o_orderpriority) AS Content")
+    return ev.unionByName(od)
+
+
+def q_stream_first_seen(spark, sf_dir):
+    from ..streaming import first_seen_keys
+    import uuid
+    name = "first_seen_" + uuid.uuid4().hex[:8]
+    ckpt = spark.sparkContext.getCheckpointDir() or "/tmp"
+    q = (first_seen_keys(_stream_logs(spark, sf_dir)).writeStream.format("memory").queryName(name)
+         .option("checkpointLocation", f"{ckpt}/{name}").outputMode("append").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.table(name).select("system", "masked")
+
+
+_MORE["stream_first_seen"] = q_stream_first_seen
