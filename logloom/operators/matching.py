@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..functions.similarity import edit_similarity, jaccard
 from ..functions.text import WILDCARD, star_digits
-from ..session import Stepper, cut_lineage
+from ..session import Stepper, cut_lineage, materialize
 
 def _empty():
     return F.array().cast("array<string>")
@@ -75,7 +75,7 @@ def match_wildcard(keys: DataFrame, catalog: DataFrame) -> DataFrame:
     stepper = Stepper(every=4)
     while True:
         state = stepper.step(state)
-        if state.limit(1).count() == 0:
+        if stepper.rows == 0:
             break
         n = F.size("tokens")
         # end of message: terminal or not

@@ -122,14 +122,17 @@ class Stepper:
         self.every = every
         self.n = 0
         self.prev = None
+        self.rows = None
 
     def step(self, df):
+        """Materialise ``df``; ``self.rows`` holds its row count afterwards."""
         self.n += 1
         if self.n % self.every == 0:
             out = cut_lineage(df)
+            self.rows = out.count()
         else:
             out = df.persist(StorageLevel.MEMORY_AND_DISK)
-            out.count()
+            self.rows = out.count()
         if self.prev is not None and self.prev is not out:
             self.prev.unpersist()
         self.prev = out
