@@ -4,9 +4,11 @@ Every function takes and returns a ``Column``; nothing here runs Python per
 row. Regexes start with ``(?U)`` so that ``\\w``, ``\\s`` and ``\\d`` follow
 Unicode classes the way Python's ``re`` does on ``str``.
 
-Arrays that a lambda needs to look back into (previous token) are never
-referenced inside the lambda: we zip the array with a shifted copy of itself
-instead, so the array expression is evaluated once per row, not per element.
+Token-level rules (F8, F9) run as regex passes over single-spaced text, so
+they stay inside whole-stage codegen. Where a lambda needs the previous
+element (F12) the array is zipped with a shifted copy of itself instead of
+being referenced inside the lambda, so it is evaluated once per row, not per
+element.
 """
 
 from __future__ import annotations
