@@ -495,7 +495,8 @@ def q_stream_first_seen(spark, sf_dir):
     from ..streaming import first_seen_keys
     import uuid
     name = "first_seen_" + uuid.uuid4().hex[:8]
-    ckpt = spark.sparkContext.getCheckpointDir() or "/tmp"
+    from ..session import ensure_checkpoint_dir
+    ckpt = ensure_checkpoint_dir(spark)
     q = (first_seen_keys(_stream_logs(spark, sf_dir)).writeStream.format("memory").queryName(name)
          .option("checkpointLocation", f"{ckpt}/{name}").outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination()
