@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, lzprint, secrets, topk, toxicity
+from . import jaccard, lzprint, repeats, secrets, topk, toxicity
 from .common import table
 
 
@@ -32,6 +32,10 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.linked(table(spark, sf_dir, "documents"), n=4, num=85, den=100)
 
 
+def op6_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.without_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op8_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lzprint.edited_prints(table(spark, sf_dir, "documents"))
 
@@ -60,7 +64,7 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_secrets, op3_ngram_jaccard, op8_lz_fingerprint, op9_maxscore)}
+    return {f.__name__: f for f in (op1_toxicity, op2_secrets, op3_ngram_jaccard, op6_suffix_repeats, op8_lz_fingerprint, op9_maxscore)}
 
 
 def oracle_sql() -> dict[str, str]:
