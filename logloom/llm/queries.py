@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, lzprint, repeats, secrets, topk, toxicity
+from . import jaccard, lzprint, packing, repeats, secrets, topk, toxicity
 from .common import table
 
 
@@ -44,6 +44,10 @@ def op9_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op10_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 _OP9_SQL = """
 WITH v AS (
   SELECT vec_id, min(list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT))) AS e
@@ -64,7 +68,7 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_secrets, op3_ngram_jaccard, op6_suffix_repeats, op8_lz_fingerprint, op9_maxscore)}
+    return {f.__name__: f for f in (op1_toxicity, op2_secrets, op3_ngram_jaccard, op6_suffix_repeats, op8_lz_fingerprint, op9_maxscore, op10_hilbert_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
