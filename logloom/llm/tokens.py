@@ -16,6 +16,7 @@ import unicodedata
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from .text import mix, parts, powers
 _U = np.uint64
 _SPACE, _LETTER, _NUMBER, _OTHER = range(4)
 #: Words kept between slices.
-CACHE = 400_000
+CACHE = 300_000
 
 
 def default_path(name: str = "byte_bpe_50k.json") -> str:
@@ -86,35 +87,54 @@ class Encoder:
 
     def _fast(self, path: str | None):
         """The same vocabulary as ranks: the same ids for a word, sooner."""
-        import tiktoken
         import public_tokenizers
+        import tiktoken
 
         with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        return tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        plain = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        return plain.encode_single_piece if hasattr(plain, "encode_single_piece") else plain._encode_single_piece
 
     def _plain(self, word: str) -> list[int]:
         return self.whole.encode(word, add_special_tokens=False).ids
 
     def clear(self) -> None:
         self.slot: dict[int, int] = {}
-        self.flat, self.at, self.size = array("i"), array("q"), array("i")
+        self.flat, self.at, self.size, self.used = array("i"), array("q"), array("i"), array("q")
+
+    def _prune(self) -> None:
+        """Keep the half of the words that came most often."""
+        used, at, size = np.array(self.used), np.array(self.at), np.array(self.size, np.int64)
+        hashes = np.fromiter(self.slot, _U, len(self.slot))  # in the order of the slots
+        keep = np.sort(np.argsort(-used, kind="stable")[: CACHE // 2])
+        flat = np.array(self.flat)
+        size = size[keep]
+        total = np.cumsum(size)
+        spot = np.repeat(at[keep] - (total - size), size) + np.arange(total[-1])
+        self.slot = dict(zip(hashes[keep].tolist(), range(len(keep))))
+        self.flat, self.at = array("i", flat[spot].tobytes()), array("q", (total - size).tobytes())
+        self.size, self.used = array("i", size.astype(np.int32).tobytes()), array("q", (used[keep] // 2).tobytes())
 
-    def _slots(self, hashes: np.ndarray, where: np.ndarray, ends: np.ndarray, text: str) -> np.ndarray:
+    def _slots(self, hashes: np.ndarray, counts: np.ndarray, where: np.ndarray, ends: np.ndarray, text: str) -> np.ndarray:
         if len(self.slot) > CACHE:
-            self.clear()
-        out = np.zeros(len(hashes), np.int64)
-        slot = self.slot
-        for i, h in enumerate(hashes.tolist()):
-            s = slot.get(h)
-            if s is None:
-                ids = self.word(text[where[i] : ends[i]])
-                s = slot[h] = len(self.at)
-                self.at.append(len(self.flat))
-                self.size.append(len(ids))
-                self.flat.extend(ids)
-            out[i] = s
-        return out
+            self._prune()
+        get = self.slot.get
+        out = [get(h, -1) for h in hashes.tolist()]
+        slots = np.array(out, np.int64)
+        new = np.flatnonzero(slots < 0)
+        if len(new):
+            found = [self.word(text[a:b]) for a, b in zip(where[new].tolist(), ends[new].tolist())]
+            size = np.array([len(f) for f in found], np.int64)
+            base = len(self.at)
+            slots[new] = base + np.arange(len(new))
+            self.slot.update(zip(hashes[new].tolist(), range(base, base + len(new))))
+            self.at.frombytes((len(self.flat) + np.cumsum(size) - size).tobytes())
+            self.size.frombytes(size.astype(np.int32).tobytes())
+            self.used.frombytes(np.zeros(len(new), np.int64).tobytes())
+            self.flat.extend(chain.from_iterable(found))
+        used = np.frombuffer(self.used, np.int64)
+        used[slots] += counts
+        return slots
 
     def slice(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids per text) of UTF-8 texts."""
@@ -132,8 +152,8 @@ class Encoder:
         sums = np.zeros(len(code) + 1, _U)
         np.cumsum(mix(code.astype(_U) + _U(1)) * up[:-1], out=sums[1:])
         hashes = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(_U))
-        uniq, where, inv = np.unique(hashes, return_index=True, return_inverse=True)
-        slots = self._slots(uniq, starts[where], ends[where], text)[inv]
+        uniq, where, inv, times = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
+        slots = self._slots(uniq, times, starts[where], ends[where], text)[inv]
         size = np.frombuffer(self.size, np.int32)[slots].astype(np.int64)
         begin = np.frombuffer(self.at, np.int64)[slots]
         total = np.cumsum(size)
