@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, lzprint, packing, repeats, secrets, topk, toxicity
+from . import chains, jaccard, lzprint, mixing, packing, pages, repeats, secrets, topk, toxicity
 from .common import table
 
 
@@ -32,10 +32,41 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.linked(table(spark, sf_dir, "documents"), n=4, num=85, den=100)
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Even token totals of the languages; the labelled table gives the language of
+    the documents that are in ``labels``."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    labelled = labelled_languages(docs, table(spark, sf_dir, "labels"))
+    docs = docs.select("doc_id", "text")
+    m = mixing.fit(docs, labelled)
+    best = F.array_max("_posterior")
+    return mixing.rated(docs, m).select(
+        "doc_id",
+        F.col("_n_words").alias("n_words"),
+        F.get(F.array(*[F.lit(d) for d in m.domains]), F.array_position("_posterior", best).cast("int") - 1).alias("domain"),
+        best.alias("posterior"),
+        F.col("_rate").alias("rate"),
+        F.col("_copies").alias("copies"),
+    )
+
+
+def labelled_languages(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, domain) of the documents in ``labels``."""
+    return labels.select("doc_id").distinct().join(docs.select("doc_id", F.col("lang").alias("domain")), "doc_id")
+
+
+def op5_chained_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chains.shared_words(table(spark, sf_dir, "documents"))
+
+
 def op6_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.without_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op7_template_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lzprint.edited_prints(table(spark, sf_dir, "documents"))
 
@@ -68,7 +99,11 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_secrets, op3_ngram_jaccard, op6_suffix_repeats, op8_lz_fingerprint, op9_maxscore, op10_hilbert_packing)}
+    all_ = (
+        op1_toxicity, op2_secrets, op3_ngram_jaccard, op4_mixing, op5_chained_passages,
+        op6_suffix_repeats, op7_template_text, op8_lz_fingerprint, op9_maxscore, op10_hilbert_packing,
+    )
+    return {f.__name__: f for f in all_}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -223,11 +223,11 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_te
     return fit(found, small["toxic"].to_numpy().astype(float), buckets)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of ``docs`` with ``score`` (replaced, if there); reads ``text``."""
+def score(docs: DataFrame, model: Model, into: str = "score") -> DataFrame:
+    """All columns of ``docs`` with the score in column ``into`` (replaced, if there); reads ``text``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = docs.drop("score")
-    schema = kept.withColumn("score", F.lit(0.0)).schema
+    kept = docs.drop(into)
+    schema = kept.withColumn(into, F.lit(0.0)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -246,6 +246,6 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                     if got:
                         hits.update(got)
                 rows.append(np.array(sorted(hits), np.int64))
-            yield b.append_column(pa.field("score", pa.float64()), pa.array(m.scores(rows)))
+            yield b.append_column(pa.field(into, pa.float64()), pa.array(m.scores(rows)))
 
     return kept.mapInArrow(run, schema)
