@@ -29,7 +29,6 @@ from .cluster import leader_cluster
 from .tokens import with_is_common
 
 MAX_SLOTS = 30
-ROUND_SHIFT = 1 << 44
 
 
 def _quote(lit: Column) -> Column:
@@ -89,9 +88,11 @@ def slot_positions(caps: DataFrame, keys: list[str], msg: str = "msg") -> DataFr
     assume single spaces, as in the reference."""
     cx = caps.select(*keys, F.explode("caps").alias("c")).select(
         *keys, F.col("c.label").alias("label"), F.col("c.value").alias("value"), F.col("c.start").alias("start"))
-    w = F.split(F.col(msg), " ")
+    # split at every white-space character, so that starts add up; empty pieces are no tokens
+    w = F.split(F.col(msg), r"(?U)\s")
+    spans = F.filter(F.arrays_zip(w.alias("t"), _running_starts(w, 1).alias("ts")), lambda z: z["t"] != "")
     tx = caps.where(F.size("caps") > 0).select(
-        *keys, F.posexplode(F.arrays_zip(w.alias("t"), _running_starts(w, 1).alias("ts"))).alias("i", "z")).select(
+        *keys, F.posexplode(spans).alias("i", "z")).select(
         *keys, "i", F.col("z.ts").alias("ts"), (F.col("z.ts") + F.length("z.t")).alias("te"))
     touch = (cx.join(tx, keys).where((F.col("start") <= F.col("te"))
                                      & (F.col("start") + F.length("value") >= F.col("ts")))
@@ -158,6 +159,13 @@ def template_from_response(df: DataFrame, words: DataFrame, msg: str = "msg", re
             .drop("_resp", "corrected"))
 
 
+def _numbered(new: DataFrame) -> DataFrame:
+    """Give a round's new templates the ids after their system's highest, by first
+    message: unique within a system however large ``seq`` gets, in order of insertion."""
+    rank = F.row_number().over(Window.partitionBy("system").orderBy("_seq", "template"))
+    return new.withColumn("template_id", F.coalesce("_top", F.lit(-1).cast("bigint")) + rank).drop("_top", "_seq")
+
+
 def upsert_catalog(catalog: DataFrame | None, labelled: DataFrame, words: DataFrame, round_no: int,
                    indexed: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Add the templates of ``labelled`` rows ``(system, seq, msg, response)``.
@@ -170,8 +178,7 @@ def upsert_catalog(catalog: DataFrame | None, labelled: DataFrame, words: DataFr
     first = (rows.groupBy("system", "template")
              .agg(F.min_by(F.struct("seq", "msg", "labelled", "label_positions"), F.col("seq")).alias("f")))
     new = first.select(
-        "system", "template",
-        (F.lit(round_no).cast("bigint") * ROUND_SHIFT + F.col("f.seq")).alias("template_id"),
+        "system", "template", F.col("f.seq").alias("_seq"),
         F.col("f.msg").alias("example"), F.col("f.labelled").alias("labelled"),
         match_tokens("template").alias("tokens"),
         F.col("f.label_positions").alias("label_positions"),
@@ -187,9 +194,10 @@ def upsert_catalog(catalog: DataFrame | None, labelled: DataFrame, words: DataFr
                                 ["system", "template_id"], "left")
                    .withColumn("indexed", F.coalesce("ix", "indexed")).drop("ix"))
         added = new.where(F.col("old_id").isNull()).drop("old_id", "old_indexed")
-        catalog = catalog.unionByName(added)
+        top = catalog.groupBy("system").agg(F.max("template_id").alias("_top"))
+        catalog = catalog.unionByName(_numbered(added.join(top, "system", "left")))
     else:
-        catalog = new
+        catalog = _numbered(new.withColumn("_top", F.lit(None).cast("bigint")))
     ids = catalog.select("system", "template", "template_id")
     assignments = rows.join(ids, ["system", "template"]).select(
         "system", "seq", "template_id", mask_message("msg").alias("masked"))

@@ -168,6 +168,7 @@ def match_similar(failed: DataFrame, catalog: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- J5, J6, J8
+# Fixed value.
 DEFAULT_REFERENCE = "env.createBean2(): Factory error creating {module} ({module}, {module})"
 
 
@@ -181,9 +182,9 @@ def reference_example(keys: DataFrame, catalog: DataFrame) -> DataFrame:
     example wins, as in the reference's strict ``>`` scan from -1.
     """
     ex = catalog.select("system", "template_id", "labelled",
-                        F.array_distinct(F.split(F.trim(F.regexp_replace("example", r"(?U)\s+", " ")), " "))
-                        .alias("et"))
-    ex = ex.where(F.size("et") < 30)
+                        F.split(F.trim(F.regexp_replace("example", r"(?U)\s+", " ")), " ").alias("et"))
+    # the limit counts all tokens, repeated ones too
+    ex = ex.where(F.size("et") < 30).withColumn("et", F.array_distinct("et"))
     kw = keys.select("system", "masked", F.array_distinct(
         F.filter(F.split(F.col("msg"), r"(?U)\s+"), lambda x: x != "")).alias("mt"))
     inv_k = kw.select("system", "masked", F.explode("mt").alias("w"))

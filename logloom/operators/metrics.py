@@ -49,15 +49,16 @@ def grouping_accuracy(df: DataFrame, truth: str = "truth", parsed: str = "parsed
     """Q1-Q3: GA, PGA, RGA, FGA per system.
 
     A truth group is right when all its rows carry one parsed template and that
-    template has exactly as many rows overall. Null truths are dropped first.
+    template has exactly as many rows overall. Null truths are dropped first;
+    a null parsed template is never right and never counted.
     With a stratum only listed truths can be right and the denominators become
     the listed rows, the parsed templates touched by listed truths, and the
     stratum size.
     """
     pairs = template_pairs(df.where(F.col(truth).isNotNull()), truth, parsed)
     by_truth = pairs.groupBy("system", "truth").agg(
-        F.count(F.lit(1)).alias("k"), F.sum("n").alias("rows"), F.max("parsed").alias("parsed"))
-    by_parsed = pairs.groupBy("system", "parsed").agg(F.sum("n").alias("parsed_rows"))
+        F.count("parsed").alias("k"), F.sum("n").alias("rows"), F.max("parsed").alias("parsed"))
+    by_parsed = pairs.where(F.col("parsed").isNotNull()).groupBy("system", "parsed").agg(F.sum("n").alias("parsed_rows"))
     right = (by_truth.where(F.col("k") == 1)
              .join(by_parsed, ["system", "parsed"])
              .where(F.col("rows") == F.col("parsed_rows"))
@@ -105,7 +106,7 @@ def parsing_accuracy(df: DataFrame, truth: str = "truth", parsed: str = "parsed"
     """
     rows = df
     if stratum is not None:
-        rows = rows.join(F.broadcast(_stratum_keys(stratum)).withColumnRenamed("truth", truth),
+        rows = rows.join(_stratum_keys(stratum).withColumnRenamed("truth", truth),
                          ["system", truth], "left_semi")
     if folded:
         eq = fold_wildcards(truth) == F.split(F.col(parsed), " ")
@@ -124,7 +125,7 @@ def template_accuracy(df: DataFrame, truth: str = "truth", parsed: str = "parsed
     passes the parsed side first). Null truths are dropped first.
     """
     pairs = template_pairs(df.where(F.col(truth).isNotNull()), truth, parsed)
-    by_parsed = pairs.groupBy("system", "parsed").agg(
+    by_parsed = pairs.where(F.col("parsed").isNotNull()).groupBy("system", "parsed").agg(
         F.count(F.lit(1)).alias("k"), F.max("truth").alias("truth"))
     if folded:
         same = fold_wildcards("parsed") == F.split(F.col("truth"), " ")
@@ -177,17 +178,18 @@ def evaluate(df: DataFrame, truth: str = "truth", parsed: str = "parsed",
     by_parsed = Window.partitionBy("system", "parsed")
     scored = pairs.select(
         "system", "truth", "parsed", "n",
-        F.count(F.lit(1)).over(by_truth).alias("k_t"),
+        F.count("parsed").over(by_truth).alias("k_t"),
+        F.sum("n").over(by_truth).alias("rows_t"),
         F.count("truth").over(by_parsed).alias("k_p"),
         F.sum(F.when(has_truth, F.col("n"))).over(by_parsed).alias("rows_p"))
-    ga_hit = has_truth & (F.col("k_t") == 1) & (F.col("n") == F.col("rows_p"))
+    ga_hit = has_truth & F.col("parsed").isNotNull() & (F.col("k_t") == 1) & (F.col("rows_t") == F.col("rows_p"))
     ta_hit = has_truth & (F.col("k_p") == 1) & (F.col("truth") == F.col("parsed"))
     agg = scored.groupBy("system").agg(
         F.sum(F.when(has_truth, F.col("n"))).alias("rows"),
         F.sum("n").alias("all_rows"),
         F.count_distinct("truth").alias("ground_templates"),
         F.count_distinct(F.when(has_truth, F.col("parsed"))).alias("identified_templates"),
-        F.sum(F.when(ga_hit, F.col("n")).otherwise(0)).alias("good_rows"),
+        F.sum(F.when(ga_hit, F.col("rows_t")).otherwise(0)).alias("good_rows"),
         F.count(F.when(ga_hit, 1)).alias("good_groups"),
         F.count(F.when(ta_hit, 1)).alias("good_t"),
         F.sum(F.when(F.col("truth") == F.col("parsed"), F.col("n")).otherwise(0)).alias("pa_rows"))

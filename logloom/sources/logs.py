@@ -6,28 +6,36 @@ EventTemplate string``; ``seq`` is arrival order within a system.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import correct_message
 
-CSV_OPTIONS = {"header": "true", "escape": '"', "quote": '"', "mode": "PERMISSIVE"}
+CSV_OPTIONS = {"header": "true", "escape": '"', "quote": '"', "mode": "PERMISSIVE", "enforceSchema": "false"}
 
 
 def _with_seq(df: DataFrame, system: str | None) -> DataFrame:
     """Arrival order: file splits are read in order and ids grow within and
     across partitions, so ``monotonically_increasing_id`` is a valid ``seq``
     (dense numbering is never needed: only the order is used)."""
-    sys_col = F.lit(system) if system else F.regexp_extract(F.input_file_name(), r"([^/]+?)(_[^/]*)?\.csv$", 1)
+    sys_col = F.lit(system) if system else F.regexp_extract("_file", r"([^/]+?)(_[^/]*)?\.csv$", 1)
     return df.select(sys_col.alias("system"), F.monotonically_increasing_id().alias("seq"), "Content", "EventTemplate")
 
 
-def read_structured_logs(spark: SparkSession, path: str, system: str | None = None,
+def read_structured_logs(spark: SparkSession, path: str | list[str], system: str | None = None,
                          normalise: bool = True, multiline: bool = False) -> DataFrame:
     """A structured log CSV (header; only ``Content`` and ``EventTemplate``
-    are kept, other columns are pruned), both normalised with F1."""
-    df = spark.read.options(**CSV_OPTIONS).option("multiLine", str(multiline).lower()).csv(path)
-    df = _with_seq(df.select("Content", "EventTemplate"), system)
+    are kept, other columns are pruned), both normalised with F1.
+
+    Each path of a list is read by its own header; files of one path must share
+    theirs (Spark raises an error where they don't). ``seq`` follows the list.
+    """
+    paths = [path] if isinstance(path, str) else list(path)
+    reader = spark.read.options(**CSV_OPTIONS).option("multiLine", str(multiline).lower())
+    frames = [reader.csv(p).select("Content", "EventTemplate", F.input_file_name().alias("_file")) for p in paths]
+    df = _with_seq(reduce(DataFrame.unionByName, frames), system)
     if normalise:
         df = df.withColumn("Content", correct_message("Content")).withColumn(
             "EventTemplate", correct_message("EventTemplate"))
@@ -60,8 +68,8 @@ def append_results(rows: DataFrame, path: str) -> None:
     fmt2 = ["parse_time", "invoc_time", "invoc_num", "invoc_token"]
     fmt4 = ["GA", "PA", "FGA", "PTA", "RTA", "FTA"]
     out = rows.select(
-        "Dataset", *[F.format_number(F.col(c).cast("double"), 2).alias(c) for c in fmt2],
+        "Dataset", *[F.format_string("%.2f", F.col(c).cast("double")).alias(c) for c in fmt2],
         F.col("identified_templates").cast("string").alias("identified_templates"),
         F.col("ground_templates").cast("string").alias("ground_templates"),
-        *[F.format_number(F.col(c), 4).alias(c) for c in fmt4])
+        *[F.format_string("%.4f", F.col(c).cast("double")).alias(c) for c in fmt4])
     out.coalesce(1).write.mode("append").options(**CSV_OPTIONS).csv(path)

@@ -10,51 +10,31 @@ from logloom.sources import fixtures as fx
 from conftest import SF001
 
 
-def _tree_search(templates, toks):
-    """Sequential restatement of the wildcard walk over a nested-dict tree."""
-    root = {}
-    for tid, tt in sorted(templates.items()):
-        node = root
-        for t in tt:
-            node = node.setdefault(("c", t), {})
-        node["id"] = tid
-    node, i = root, 0
-    while i < len(toks):
-        if ("c", toks[i]) in node:
-            node = node[("c", toks[i])]
-            i += 1
-            continue
-        if ("c", "<*>") not in node:
-            return None
-        thres = 2 if node is root else 7
-        star, begin = node[("c", "<*>")], i
-        moved = False
-        while i < len(toks):
-            if ("c", toks[i]) in star:
-                node, i, moved = star[("c", toks[i])], i + 1, True
-                break
-            i += 1
-            if i - begin >= thres:
-                return None
-        if not moved:
-            return star.get("id")
-    return node.get("id")
-
-
-def test_wildcard_walk_matches_tree(spark):
-    logs = fx.log_view(spark, SF001)
-    words = TK.corpus_dictionary(logs, "Content", 50)
-    ex = fx.labelled_examples(spark, SF001).select(
-        "system", "seq", F.col("Content").alias("msg"), F.col("EventTemplate").alias("response"))
-    cat, _, _ = CT.upsert_catalog(None, ex, words, 0, indexed=True)
-    keys = distinct_keys(logs.select("system", "seq", T.correct_message("Content").alias("Content"),
-                                     "EventTemplate"), words)
-    got = {(r.system, r.masked): (r.template_id if r.ok else None)
-           for r in MT.match_wildcard(keys, cat).collect()}
-    cat_rows = cat.where("indexed").collect()
-    for k in keys.collect():
-        templates = {r.template_id: list(r.tokens) for r in cat_rows if r.system == k.system}
-        assert got[(k.system, k.masked)] == _tree_search(templates, list(k.tokens)), k.msg
+#: Message and the template it must reach: 1 a <*> b, 2 <*> z, 3 c <*>, 4 c <*> d.
+WALKS = {
+    "a x b": 1, "a x x x x x x b": 1, "a x x x x x x x b": None, "x z": 2, "x y z": None,
+    "c x": 3, "c x x x x x x": 3, "c x x x x x x x": None, "c x d": 4, "q": None,
+}
+
+
+def test_wildcard_walk(spark):
+    cat = spark.createDataFrame(
+        [("s", 1, ["a", "<*>", "b"], True), ("s", 2, ["<*>", "z"], True), ("s", 3, ["c", "<*>"], True),
+         ("s", 4, ["c", "<*>", "d"], True)], "system string, template_id bigint, tokens array<string>, indexed boolean")
+    keys = spark.createDataFrame([("s", m, m.split()) for m in WALKS], "system string, masked string, tokens array<string>")
+    got = {r.masked: r.template_id if r.ok else None for r in MT.match_wildcard(keys, cat).collect()}
+    assert got == WALKS
+
+
+def test_ids_stay_apart_for_large_seq(spark):
+    words = spark.createDataFrame([("zz",)], "word string")
+    rows = "system string, seq bigint, msg string, response string"
+    one = spark.createDataFrame([("s", (1 << 44) + 5, "open alpha", "open alpha"), ("s", 7, "shut beta", "shut beta")], rows)
+    two = spark.createDataFrame([("s", 5, "move gamma", "move gamma")], rows)
+    cat, _, _ = CT.upsert_catalog(None, one, words, 1)
+    cat, _, _ = CT.upsert_catalog(cat, two, words, 2)
+    got = {r.template: r.template_id for r in cat.collect()}
+    assert got == {"shut beta": 0, "open alpha": 1, "move gamma": 2}
 
 
 def test_stream_first_seen_equals_batch_keys(spark):
