@@ -35,7 +35,8 @@ MAX_TRAIN = 20_000
 MAX_TERMS = 4_096
 Z_TERM, Z_STRONG = 4.5, 8.0
 _WORD = re.compile(r"[^\W_]+")
-_CACHE = 400_000
+#: Words whose terms a task remembers.
+_CACHE = 100_000
 
 
 def terms(word: str) -> list[int]:
@@ -170,17 +171,19 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_te
     )
 
     def take(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        known: dict[str, list[int]] = {}
+        known: dict[str, tuple[int, ...]] = {}
         found = []
         for x in b.column("text"):
             hits: set[int] = set()
             for w in words(x.as_py()):
                 got = known.get(w)
                 if got is None:
-                    got = known[w] = terms(w)
+                    if len(known) > _CACHE:
+                        known.clear()
+                    got = known[w] = tuple(terms(w))
                 hits.update(got)
-            found.append(np.array(sorted(hits), np.int64))
-        flat = np.concatenate([np.zeros(0), *found]).astype(np.int32)
+            found.append(np.array(sorted(hits), np.int32))
+        flat = np.concatenate([np.zeros(0, np.int32), *found])
         yield pa.RecordBatch.from_pydict(
             {
                 "doc_id": b.column("doc_id"),
