@@ -62,25 +62,29 @@ def test_repeats(spark, edge, none, monkeypatch):
     assert repeats.without_repeats(none).count() == 0
 
 
-def test_jaccard(spark, edge, none):
+@pytest.mark.parametrize("groups, copies, edits", [(12, 8, 4), (1, 140, 3)])
+def test_jaccard_equals_brute_force(spark, groups, copies, edits):
+    """Also one large group of near copies, most of which don't link with one another."""
     rng = random.Random(3)
-    base = [[f"w{rng.randint(0, 400)}" for _ in range(60)] for _ in range(12)]
+    base = [[f"w{rng.randint(0, 400)}" for _ in range(60)] for _ in range(groups)]
     texts = []
     for b in base:
-        for _ in range(8):
+        for _ in range(copies):
             w = list(b)
-            for _ in range(rng.randint(0, 4)):
-                w[rng.randrange(60)] = "x"
+            for _ in range(rng.randint(0, edits)):
+                w[rng.randrange(60)] = f"x{rng.randrange(9)}"
             texts.append(" ".join(w))
     sets = [{tuple(t.split()[i : i + 4]) for i in range(57)} for t in texts]
+    links = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if 100 * len(a & b) >= 85 * len(a | b)]
     low = list(range(len(texts)))
     for _ in low:
-        for i, a in enumerate(sets):
-            for j, b in enumerate(sets):
-                if 100 * len(a & b) >= 85 * len(a | b):
-                    low[i] = low[j] = min(low[i], low[j])
+        for i, j in links:
+            low[i] = low[j] = min(low[i], low[j])
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert [r.component_id for r in jaccard.linked(df, 4, 85, 100).orderBy("doc_id").collect()] == low
+
+
+def test_jaccard(edge, none):
     got = {(r.doc_id, r.n_shingles > 0, r.component_id) for r in jaccard.linked(edge).collect()}
     assert got == {(1, False, 1), (2, False, 2), (3, True, 3), (None, True, None), (4, True, 4), (5, True, 4), (6, False, 6)}
     assert jaccard.linked(none).count() == 0
