@@ -146,8 +146,11 @@ SELECT token, (NOT (s = upper(s) AND s <> lower(s))) AND (lower(s) IN (SELECT wo
   OR (ends_with(lower(s), 'ed') AND left(lower(s), length(s) - 2) IN (SELECT word FROM dict))) AS is_common FROM x"""
     unc = f"""{DICT},
 tk AS (SELECT system, seq, Content, {msg_tok} AS tokens FROM logs),
-dl AS (SELECT coalesce(list(word), []) AS dl FROM dict),
-u AS (SELECT system, seq, Content, tokens, list_filter(tokens, lambda t_: NOT list_contains(dl, t_)) AS unc FROM tk, dl)"""
+ex AS (SELECT system, seq, unnest(tokens) AS t, generate_subscripts(tokens, 1) AS i FROM tk),
+rare AS (SELECT ex.* FROM ex ANTI JOIN dict ON ex.t = dict.word),
+kept AS (SELECT system, seq, list(t ORDER BY i) AS unc FROM rare GROUP BY system, seq),
+u AS (SELECT tk.system, tk.seq, tk.tokens, coalesce(kept.unc, []) AS unc
+      FROM tk LEFT JOIN kept ON tk.system = kept.system AND tk.seq = kept.seq)"""
     o["uncommon_tokens"] = (f"WITH {LOGS}, {unc} SELECT system, seq, array_to_string(unc, {SEP}) AS value, "
                             f"len(unc)::BIGINT AS n, (len(tokens) = 1 OR len(unc) = 0) AS is_literal FROM u")
     o["distinct_uncommon_tokens"] = (f"WITH {LOGS}, {unc} SELECT system, seq, array_to_string(list_filter(unc, "
@@ -233,6 +236,7 @@ s1 AS (SELECT system, {d.scoring_clean(d.scoring_pieces('truth'))} AS ca, {d.sco
 s2 AS (SELECT system, {d.collapse_wild('ca')} AS ta, {d.collapse_wild('cb')} AS tb FROM s1),
 s3 AS (SELECT system, ta, tb, len(list_intersect(ta, tb)) AS i FROM s2)
 SELECT system, round(avg(i / (len(ta) + len(tb) - i))::DOUBLE, 6) AS SA FROM s3 GROUP BY system"""
+    o["aligned_metrics"] = oracles_base()["rule_parse_metrics"]
     o["result_rows"] = f"""WITH base AS ({oracles_base()['rule_parse_metrics']})
 SELECT system AS Dataset, 0.0::DOUBLE AS parse_time, 0.0::DOUBLE AS invoc_time, 0::BIGINT AS invoc_num,
   0.0::DOUBLE AS invoc_token, identified_templates, ground_templates, GA, PA, FGA, PTA, RTA, FTA FROM base"""

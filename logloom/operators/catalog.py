@@ -12,9 +12,9 @@ DataFrame with one row per template::
 example (E2), ``indexed`` says whether wildcard matching (J3) may use it
 (seed examples are not indexed, and neither is the bare ``<*>``).
 
-Ids are deterministic: ``round * 2**44 + seq`` of the first labelled row that
-produced the template, so ids increase with insertion order and do not depend
-on partitioning.
+Ids are deterministic: a round's new templates take the numbers after their
+system's highest, by the first message that produced them, so ids increase with
+insertion order and do not depend on partitioning.
 """
 
 from __future__ import annotations
@@ -201,23 +201,33 @@ def upsert_catalog(catalog: DataFrame | None, labelled: DataFrame, words: DataFr
     ids = catalog.select("system", "template", "template_id")
     assignments = rows.join(ids, ["system", "template"]).select(
         "system", "seq", "template_id", mask_message("msg").alias("masked"))
-    units = rows.select("system", "seq", F.explode("label_vars").alias("lv")).select(
-        "system", "seq", F.col("lv.label").alias("label"), F.posexplode("lv.values").alias("pos", "value"))
-    return catalog, assignments, units
+    return catalog, assignments, slot_units(rows, round_no)
+
+
+def slot_units(rows: DataFrame, round_no: int) -> DataFrame:
+    """Slot values ``system, round, seq, li, label, pos, value`` of corrected rows:
+    ``li`` is the label's place in its message, ``pos`` the value's place in its label."""
+    return rows.select("system", F.lit(round_no).alias("round"), "seq",
+                       F.posexplode("label_vars").alias("li", "lv")).select(
+        "system", "round", "seq", "li", F.col("lv.label").alias("label"),
+        F.posexplode("lv.values").alias("pos", "value"))
 
 
 def variable_units(units: DataFrame) -> DataFrame:
-    """A9 + A10: per (system, label) the distinct lower-cased values and the
-    representative symbols (first-fit leaders by character-set Jaccard >= 0.8,
-    in order of first appearance; of a label's first message only its first
-    value is a symbol candidate)."""
+    """A9 + A10: per (system, label) the distinct lower-cased values, the place
+    of its first use and the representative symbols (first-fit leaders by
+    character-set Jaccard >= 0.8, in order of first appearance; of a label's
+    first message only its first value is a symbol candidate). Order is by
+    round, message and place, then by value, so no two values share one."""
     values = units.groupBy("system", "label").agg(
-        F.array_sort(F.collect_set(F.lower("value"))).alias("values"))
-    first_seq = Window.partitionBy("system", "label")
-    ordered = units.withColumn("_first", F.min("seq").over(first_seq))
-    cand = ordered.where((F.col("seq") != F.col("_first")) | (F.col("pos") == 0))
-    cand = cand.groupBy("system", "label", "value").agg(
-        F.min(F.col("seq") * 64 + F.col("pos")).alias("_o"))
+        F.array_sort(F.collect_set(F.lower("value"))).alias("values"),
+        F.min(F.struct("round", "seq", "li")).alias("first_use"))
+    first = values.select("system", "label", F.col("first_use.round").alias("_r"), F.col("first_use.seq").alias("_s"))
+    later = (F.col("round") != F.col("_r")) | (F.col("seq") != F.col("_s"))
+    cand = (units.join(first, ["system", "label"]).where(later | (F.col("pos") == 0))
+            .groupBy("system", "label", "value")
+            .agg(F.min(F.struct("round", "seq", "pos")).alias("_at"))
+            .select("system", "label", "value", F.struct("_at.round", "_at.seq", "_at.pos", "value").alias("_o")))
     clusters = leader_cluster(cand, "value", order="_o", partition=["system", "label"])
     symbols = (clusters.where("is_leader").join(cand, ["system", "label", "value"])
                .groupBy("system", "label")

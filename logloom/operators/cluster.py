@@ -89,14 +89,14 @@ def similar_signature_pairs(sigs: DataFrame, partition: list[str], threshold: fl
     """Edges (a -> b), a earlier than b, between signatures with Jaccard >= threshold.
 
     Exact blocking in two parts. Two sets with Jaccard >= t each lose at most
-    ``floor(|x|(1-t)/t)`` elements to reach their intersection, so small sets
+    ``floor(|x|(1-t))`` elements to reach their intersection, so small sets
     (<= ``SMALL_SET`` characters) emit their deletion neighbourhood and pairs
     meet on the intersection as an equi-join key. Pairs involving a larger
     set (both then have >= ``t*(SMALL_SET+1)`` characters) meet on a shared
     prefix character, which is selective for long sets.
     """
     num, den = _ratio(threshold)
-    k = F.floor(F.col("n") * (den - num) / num).cast("int")
+    k = F.floor(F.col("n") * (den - num) / den).cast("int")
     small = sigs.where(F.col("n") <= SMALL_SET)
     small_keys = small.select(*partition, "o", F.explode(_deletion_keys("sig", k)).alias("key"))
     large_min = -(-(SMALL_SET + 1) * num // den)

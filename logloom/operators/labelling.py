@@ -32,8 +32,9 @@ INSTRUCTION = ("As a log parsing expert, refer to historical examples and output
 
 
 def build_prompts(keys: DataFrame, hints: DataFrame, refs: DataFrame) -> DataFrame:
-    """L1: ``Variable Examples: 'v' -> {label}, ...`` (when any), the format
-    reference and the back-ticked message, one prompt per key."""
+    """L1: ``instruction`` (the fixed text) and ``prompt``: ``Variable Examples:
+    'v' -> {label}, ...`` (when any), the format reference and the back-ticked
+    message; one row per key."""
     h = hints.select("system", "masked", F.array_join(F.transform(
         "hints", lambda x: F.concat(F.lit("'"), x["symbol"], F.lit("' -> {"), x["label"], F.lit("}"))), ", ")
         .alias("hint_text"))
@@ -41,7 +42,7 @@ def build_prompts(keys: DataFrame, hints: DataFrame, refs: DataFrame) -> DataFra
     var_part = F.when(F.coalesce(F.length("hint_text"), F.lit(0)) > 0,
                       F.concat(F.lit("Variable Examples: "), F.col("hint_text"), F.lit("\n"))).otherwise(F.lit(""))
     prompt = F.concat(var_part, F.lit("Format Reference: "), F.col("reference"), F.lit("\n`"), F.col("msg"), F.lit("`"))
-    return p.withColumn("prompt", prompt).drop("hint_text", "reference")
+    return p.withColumn("instruction", F.lit(INSTRUCTION)).withColumn("prompt", prompt).drop("hint_text", "reference")
 
 
 def _tokens_estimate(prompt, response):
@@ -73,17 +74,19 @@ def rule_labeller(requests: DataFrame) -> DataFrame:
 
 
 def callable_labeller(fn: Callable[[str, str], str]) -> Callable[[DataFrame], DataFrame]:
-    """L2 around a user callable ``fn(prompt, msg) -> response``; back-ticks are stripped."""
+    """L2 around a user callable ``fn(prompt, msg) -> response``; the prompt begins
+    with the instruction's line, and back-ticks are stripped from the response."""
 
     def run(batches):
         for pdf in batches:
-            out = [str(fn(p, m)).strip("`") for p, m in zip(pdf["prompt"], pdf["msg"])]
+            asked = [f"{i}\n{p}" for i, p in zip(pdf["instruction"], pdf["prompt"])]
+            out = [str(fn(p, m)).strip("`") for p, m in zip(asked, pdf["msg"])]
             yield pd.DataFrame({
                 "system": pdf["system"], "masked": pdf["masked"], "response": out,
-                "tokens": [len(str(p).split()) + len(r.split()) for p, r in zip(pdf["prompt"], out)]})
+                "tokens": [len(p.split()) + len(r.split()) for p, r in zip(asked, out)]})
 
     def labeller(requests: DataFrame) -> DataFrame:
-        return requests.select("system", "masked", "prompt", "msg").mapInPandas(
+        return requests.select("system", "masked", "instruction", "prompt", "msg").mapInPandas(
             run, "system string, masked string, response string, tokens bigint")
 
     return labeller

@@ -204,27 +204,28 @@ def reference_example(keys: DataFrame, catalog: DataFrame) -> DataFrame:
 
 def relevant_variables(keys: DataFrame, units: DataFrame, uncommon_col: str = "uncommon") -> DataFrame:
     """Per key, label -> symbol hints. For each uncommon token the symbol
-    (digits starred) with the highest character Jaccard wins — first label
-    and symbol on ties — if it reaches 0.5; ``unknown*`` labels and empty
-    symbols are skipped; a later token overwrites a label's symbol.
+    (digits starred) with the highest character Jaccard wins — on ties that of
+    the label used first, then its first symbol — if it reaches 0.5;
+    ``unknown*`` labels and empty symbols are skipped; a later token overwrites
+    a label's symbol.
 
-    ``units``: ``system, label, symbols`` (A10), label order by first use.
+    ``units``: ``system, label, symbols, first_use`` (A10).
     """
     sym = (units.where(~F.col("label").startswith("unknown"))
-           .select("system", "label", F.posexplode("symbols").alias("spos", "symbol"))
+           .select("system", "label", "first_use", F.posexplode("symbols").alias("spos", "symbol"))
            .where(F.col("symbol") != "")
            .withColumn("masked_symbol", star_digits("symbol")))
     tok = keys.select("system", "masked", F.posexplode(uncommon_col).alias("tpos", "token"))
     # blocking: Jaccard >= 0.5 needs a shared character
     tch = tok.select("system", "masked", "tpos", "token", F.explode(F.array_distinct(F.split("token", ""))).alias("ch"))
-    sch = sym.select("system", "label", "spos", "symbol", "masked_symbol",
+    sch = sym.select("system", "label", "first_use", "spos", "symbol", "masked_symbol",
                      F.explode(F.array_distinct(F.split("masked_symbol", ""))).alias("ch"))
     pairs = tch.join(sch, ["system", "ch"]).drop("ch").dropDuplicates(["system", "masked", "tpos", "label", "spos"])
     chars = F.array_distinct(F.split("token", ""))
     pairs = pairs.withColumn("score", jaccard(chars, F.array_distinct(F.split("masked_symbol", ""))))
     best = (pairs.groupBy("system", "masked", "tpos")
-            .agg(F.max_by(F.struct("label", "symbol", "score"),
-                          F.struct(F.col("score"), F.lit(0) - F.col("spos"))).alias("b"))
+            .agg(F.min_by(F.struct("label", "symbol", "score"),
+                          F.struct(-F.col("score"), F.col("first_use"), F.col("label"), F.col("spos"))).alias("b"))
             .where(F.col("b.score") >= 0.5))
     last = (best.groupBy("system", "masked", F.col("b.label").alias("label"))
             .agg(F.max_by(F.col("b.symbol"), F.col("tpos")).alias("symbol"), F.min("tpos").alias("first_pos")))

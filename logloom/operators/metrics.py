@@ -34,6 +34,14 @@ def canonicalise(df: DataFrame, truth: str = "truth", parsed: str = "parsed") ->
     return df.withColumn(truth, canonical_template(truth)).withColumn(parsed, canonical_template(parsed))
 
 
+def align(truth: DataFrame, parsed: DataFrame) -> DataFrame:
+    """A truth table ``system, seq, truth`` with a parsed table ``system, seq,
+    parsed``. A truth row that was not parsed has a null parsed template; parsed
+    rows without a truth row are dropped."""
+    return truth.select("system", "seq", "truth").join(
+        parsed.select("system", "seq", "parsed"), ["system", "seq"], "left")
+
+
 def template_pairs(df: DataFrame, truth: str = "truth", parsed: str = "parsed") -> DataFrame:
     """Rows per distinct (system, truth, parsed); the single heavy aggregate."""
     return (df.groupBy("system", F.col(truth).alias("truth"), F.col(parsed).alias("parsed"))

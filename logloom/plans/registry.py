@@ -284,6 +284,11 @@ def q_similarity_accuracy(spark, sf_dir):
     return Q.similarity_accuracy(_parsed(spark, sf_dir))
 
 
+def q_aligned_metrics(spark, sf_dir):
+    p = _parsed(spark, sf_dir)
+    return Q.evaluate(Q.align(p.select("system", "seq", "truth"), p.select("system", "seq", "parsed")), canonical=False)
+
+
 def q_result_rows(spark, sf_dir):
     return Q.result_rows(Q.evaluate(_parsed(spark, sf_dir), canonical=False))
 
@@ -324,6 +329,7 @@ _MORE: dict[str, Query] = {
     "template_accuracy_folded": q_template_accuracy_folded,
     "template_accuracy_stratified": q_template_accuracy_stratified,
     "similarity_accuracy": q_similarity_accuracy,
+    "aligned_metrics": q_aligned_metrics,
     "result_rows": q_result_rows,
 }
 
@@ -392,9 +398,7 @@ def q_catalog_seed(spark, sf_dir):
 
 def q_variable_units(spark, sf_dir):
     rows = CT.template_from_response(_labelled_rows(spark, sf_dir), _dictionary(spark, sf_dir))
-    units = rows.select("system", "seq", F.explode("label_vars").alias("lv")).select(
-        "system", "seq", F.col("lv.label").alias("label"), F.posexplode("lv.values").alias("pos", "value"))
-    u = CT.variable_units(units)
+    u = CT.variable_units(CT.slot_units(rows, 0))
     return u.select("system", "label", F.size("values").cast("bigint").alias("n_values"),
                     _joined("symbols").alias("symbols"))
 
@@ -430,7 +434,7 @@ def q_labelling_prompts(spark, sf_dir):
     cat, _, units = _seed_catalog(spark, sf_dir)
     keys = _keys(spark, sf_dir)
     p = LB.build_prompts(keys, MT.relevant_variables(keys, CT.variable_units(units)), MT.reference_example(keys, cat))
-    return p.select("system", "masked", "prompt")
+    return p.select("system", "masked", "instruction", "prompt")
 
 
 def q_generalised_templates(spark, sf_dir):
@@ -448,7 +452,7 @@ def _catalog_parse(spark, sf_dir):
 
 def q_catalog_parse_metrics(spark, sf_dir):
     parsed, _, stats = _catalog_parse(spark, sf_dir)
-    return Q.result_rows(Q.evaluate(parsed), stats)
+    return Q.result_rows(Q.evaluate(parsed), stats).drop("parse_time", "invoc_time")  # wall-clock times
 
 
 _MORE.update({

@@ -2,6 +2,7 @@
 from pyspark.sql import functions as F
 
 from logloom.operators import catalog as CT
+from logloom.operators import labelling as LB
 from logloom.operators import matching as MT
 from logloom.operators import metrics as M
 from logloom.sources import logs
@@ -27,6 +28,36 @@ def test_positions_count_words_over_double_spaces(spark):
     assert got.label == "n" and 2 in got.positions and 4 not in got.positions
 
 
+UNITS = "system string, round int, seq bigint, li int, label string, pos int, value string"
+
+
+def test_symbols_keep_the_order_of_insertion(spark):
+    rows = [("s", 0, 0, 0, "v", 0, "aaaa"), ("s", 1, 0, 0, "v", 0, "zzzz"), ("s", 1, 1, 0, "v", 0, "aaab")]
+    assert CT.variable_units(spark.createDataFrame(rows, UNITS)).first().symbols == ["aaaa", "zzzz", "aaab"]
+
+
+def test_equal_scores_go_to_the_label_used_first(spark):
+    rows = [("s", 0, 0, 0, "zeta", 0, "ab"), ("s", 0, 1, 0, "alpha", 0, "ab")]
+    keys = spark.createDataFrame([("s", "k", ["ab"])], "system string, masked string, uncommon array<string>")
+    got = MT.relevant_variables(keys, CT.variable_units(spark.createDataFrame(rows, UNITS))).first()
+    assert [h.label for h in got.hints] == ["zeta"]
+
+
+def test_callable_labeller_gets_the_instruction(spark):
+    keys = spark.createDataFrame([("s", "k", "open x")], "system string, masked string, msg string")
+    hints = spark.createDataFrame([], "system string, masked string, hints array<struct<label:string,symbol:string>>")
+    refs = spark.createDataFrame([("s", "k", "ref")], "system string, masked string, reference string")
+    asked = LB.build_prompts(keys, hints, refs)
+    got = LB.callable_labeller(lambda prompt, msg: "`" + prompt.replace("\n", "|") + "`")(asked).first()
+    assert got.response == LB.INSTRUCTION + "|Format Reference: ref|`open x"
+
+
+def test_truth_and_parsed_tables_are_aligned(spark):
+    truth = spark.createDataFrame([("s", 1, "a"), ("s", 2, "b")], "system string, seq bigint, truth string")
+    parsed = spark.createDataFrame([("s", 3, "c"), ("s", 1, "a")], "system string, seq bigint, parsed string")
+    assert sorted(M.align(truth, parsed).collect()) == [("s", 1, "a", "a"), ("s", 2, "b", None)]
+
+
 def test_files_are_read_by_their_own_header(spark, tmp_path):
     (tmp_path / "a.csv").write_text("Content,EventTemplate\nopen x,open <*>\n")
     (tmp_path / "b.csv").write_text("Level,Content,Day,EventTemplate\nINFO,shut y,today,shut <*>\n")
