@@ -15,7 +15,20 @@ from pyspark.sql import types as T
 from logloom.session import ensure_checkpoint_dir
 
 
+#: Bytes of rows sent to a Python worker at once, unless the session says otherwise.
+BATCH = "4m"
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of whole texts are bounded by bytes: Spark's default holds tens
+    of megabytes a task several times over (writer, reader and results)."""
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, BATCH)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -25,6 +38,7 @@ def stored(df: DataFrame, name: str = "step") -> DataFrame:
     This cuts the lineage: an executor lost later costs no recomputation.
     """
     spark = df.sparkSession
+    bound_batches(spark)
     path = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

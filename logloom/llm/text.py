@@ -113,12 +113,20 @@ def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 
 def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hash of every lower-cased (A-Z) word, and the number of words per row."""
+    """64-bit hash of every lower-cased (A-Z) word, and the number of words per row.
+
+    Hashes are taken over about ``SLICE`` bytes at a time, so a very long text
+    needs no larger tables than others."""
     low = lower_ascii(data)
     s, e, counts = words(low, off)
-    if not len(s):
-        return np.zeros(0, _U), counts
-    return Rolling(low).of(s, e), counts
+    out = np.empty(len(s), _U)
+    i = 0
+    while i < len(s):
+        j = max(i + 1, int(np.searchsorted(e, s[i] + SLICE, "right")))
+        a = s[i]
+        out[i:j] = Rolling(low[a : e[j - 1]]).of(s[i:j] - a, e[i:j] - a)
+        i = j
+    return out, counts
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, n: int) -> Iterator[np.ndarray]:
