@@ -26,7 +26,9 @@ from .text import mix, parts, powers
 _U = np.uint64
 _SPACE, _LETTER, _NUMBER, _OTHER = range(4)
 #: Words kept between slices.
-CACHE = 300_000
+CACHE = 100_000
+#: Bytes of text encoded at once; a dozen arrays of eight bytes a character go with it.
+SLICE = 1 << 17
 
 
 def default_path(name: str = "byte_bpe_50k.json") -> str:
@@ -173,7 +175,7 @@ class Encoder:
 
     def texts(self, column: pa.Array) -> Iterator[np.ndarray]:
         """Ids of each text of a column; null is empty."""
-        for _, data, off in parts(column):
+        for _, data, off in parts(column, SLICE):
             ids, counts = self.slice(data, off)
             # views of the buffers must not outlive the slice
             yield from np.split(ids.copy(), np.cumsum(counts)[:-1])
