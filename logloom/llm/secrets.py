@@ -1,9 +1,10 @@
 """Secret scans that unwrap nested encodings.
 
 ``scan`` finds three kinds of secrets in a text, then works through a list of
-decoded layers: percent escapes, Unicode and character escapes, base64 tokens
-and compressed payloads inside them. Every layer is scanned and may hold more
-layers, until none is new. A layer is known by its content and its place, so a
+decoded layers: percent escapes, Unicode and character escapes, base64 runs (from any
+character on, also joined over line breaks) and compressed payloads at any byte
+of these, with all members. Every layer is scanned, printable or not, and may
+hold more layers, until none is new. A layer is known by its content and its place, so a
 payload that decodes to itself ends the walk. Every character of a layer
 carries the range of the original text that it came from; a match in a layer is
 reported as the range of the original that covers it.
@@ -15,7 +16,6 @@ as it stands) and counted in ``n_oversize``.
 
 from __future__ import annotations
 
-import base64
 import binascii
 import bz2
 import hashlib
@@ -48,7 +48,20 @@ _ESCAPE = re.compile(
     r"((?:\\u[0-9A-Fa-f]{4})+)|\\u\{([0-9A-Fa-f]{1,6})\}|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})"
     r"|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});|(&[A-Za-z][A-Za-z0-9]{1,31};)"
 )
-_TOKEN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{12,}={0,2}")
+#: The least characters of base64 and of a text with a secret or a further layer.
+RUN = 12
+_RUN = re.compile(rb"[\t\n\r -~]{%d}" % RUN)
+_TOKEN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{%d,}={0,2}" % RUN)
+_BREAK = re.compile(r"[ \t]*(?:\r?\n|(?:\\r)?\\n)[ \t]*")
+_WRAPPED = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]+(?:{_BREAK.pattern}[A-Za-z0-9+/_-]+)+")
+_URLSAFE = str.maketrans("-_", "+/")
+#: How gzip and zlib, bz2, xz and zstd payloads begin.
+_MAGIC = re.compile(
+    rb"(?P<zlib>\x1f\x8b\x08|x[\x01\x5e\x9c\xda])|(?P<bz2>BZh[1-9](?:1AY&SY|\x17rE8P\x90))"
+    rb"|(?P<xz>\xfd7zXZ\x00)|(?P<zstd>\(\xb5/\xfd)"
+)
+#: Packed bytes given to a decompressor, and unpacked bytes taken from one, at a time.
+STEP = 1 << 16
 
 Span = tuple[int, int, int]
 
@@ -125,84 +138,172 @@ def _replaced(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
     return Layer("".join(out), np.concatenate(starts), np.concatenate(ends))
 
 
-def _unpack(raw: bytes) -> bytes | None | bool:
-    """Unpacked content of a compressed payload; None if it is none, False if too large."""
-    try:
-        if raw[:2] == b"\x1f\x8b" or (raw[:1] == b"\x78" and len(raw) > 2 and int.from_bytes(raw[:2], "big") % 31 == 0):
-            z = zlib.decompressobj(47)
-            got = z.decompress(raw, MAX_LAYER)
-            return False if z.unconsumed_tail else got
-        if raw[:3] == b"BZh":
-            b = bz2.BZ2Decompressor()
-            got = b.decompress(raw, MAX_LAYER)
-            return got if b.eof else False if len(got) >= MAX_LAYER else None
-        if raw[:6] == b"\xfd7zXZ\x00":
-            x = lzma.LZMADecompressor()
-            got = x.decompress(raw, MAX_LAYER)
-            return got if x.eof else False if len(got) >= MAX_LAYER else None
-        if raw[:4] == b"\x28\xb5\x2f\xfd":
-            with zstandard.ZstdDecompressor().stream_reader(raw) as r:
-                got = r.read(MAX_LAYER)
-                return False if len(got) >= MAX_LAYER else got
-    except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError, zstandard.ZstdError):
-        pass
-    return None
-
-
-def _readable(raw: bytes) -> str | None:
+def _unpack(raw: memoryview) -> tuple[bytes | None | bool, int]:
+    """(unpacked content of all members, packed bytes read); content None if it is none, False if too large."""
+    out, size, at = [], 0, 0
+    while head := _MAGIC.match(raw[at : at + 16]):
+        kind, begin = head.lastgroup, at
+        try:
+            if kind == "zstd":
+                with zstandard.ZstdDecompressor().stream_reader(raw[at:], read_across_frames=True) as r:
+                    at = len(raw)
+                    while got := r.read(STEP):
+                        out.append(got)
+                        size += len(got)
+                        if size > MAX_LAYER:
+                            return False, at
+                break
+            d = zlib.decompressobj(47) if kind == "zlib" else bz2.BZ2Decompressor() if kind == "bz2" else lzma.LZMADecompressor()
+            while at < len(raw) and not d.eof:
+                piece = raw[at : at + STEP]
+                got = d.decompress(piece, MAX_LAYER + 1 - size)
+                out.append(got)
+                size += len(got)
+                if size > MAX_LAYER:
+                    return False, at
+                at += len(piece) - len(d.unused_data)
+            while d.eof and raw[at : at + 1] == b"\0":  # padding between members
+                at += 1
+        except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError, zstandard.ZstdError):
+            at = max(at, begin + 1)
+            break
+    return (b"".join(out) if size else None), at
+
+
+def _opened(raw: bytes) -> Iterator[tuple[int, int, bytes | bool]]:
+    """(start, end, content) of the compressed payloads anywhere in ``raw`` and in
+    one another, at the place of the outermost; False for one too large."""
+    done = 0
+    for hit in _MAGIC.finditer(raw):
+        if hit.start() < done:
+            continue
+        got, used = _unpack(memoryview(raw)[hit.start() :])
+        if got is None:
+            continue
+        end = hit.start() + used
+        yield hit.start(), end, got
+        if got is False:
+            continue
+        done = end if used < len(raw) - hit.start() else done
+        seen, todo = {raw, got}, [got]
+        while todo:
+            for _, _, more in _once(todo.pop()):
+                if more is False:
+                    yield hit.start(), end, False
+                elif more not in seen:
+                    seen.add(more)
+                    todo.append(more)
+                    yield hit.start(), end, more
+
+
+def _once(raw: bytes) -> Iterator[tuple[int, int, bytes | bool]]:
+    done = 0
+    for hit in _MAGIC.finditer(raw):
+        if hit.start() >= done:
+            got, used = _unpack(memoryview(raw)[hit.start() :])
+            if got is not None:
+                done = hit.start() + used if used < len(raw) - hit.start() else done
+                yield hit.start(), hit.start() + used, got
+
+
+def _text(raw: bytes, sure: bool) -> tuple[str | None, np.ndarray | None]:
+    """Bytes as text, and the bytes of each character (None: one each). Bytes that
+    are not UTF-8 stand for themselves. None if no secret or further layer fits in:
+    both are ASCII of ``RUN`` characters, or, if ``sure``, a readable text."""
     try:
         text = raw.decode()
     except UnicodeDecodeError:
-        return None
-    return text if text and all(c.isprintable() or c in "\t\n\r" for c in text) else None
+        return (raw.decode("latin-1"), None) if _RUN.search(raw) else (None, None)
+    readable = sure and text and all(c.isprintable() or c in "\t\n\r" for c in text)
+    if not readable and not _RUN.search(raw):
+        return None, None
+    return text, None if text.isascii() else np.array([len(c.encode()) for c in text])
+
+
+def _bodies(text: str) -> Iterator[tuple[str, int, np.ndarray | None]]:
+    """(characters, start, places) of what may be base64: runs of its alphabet, and
+    the same joined over line breaks (places None: one after another)."""
+    for m in _TOKEN.finditer(text):
+        yield m[0].rstrip("="), m.start(), None
+    if "\n" in text or "\\n" in text:
+        for m in _WRAPPED.finditer(text):
+            cuts = [m.start(), *(p for c in _BREAK.finditer(text, m.start(), m.end()) for p in c.span()), m.end()]
+            body = "".join(text[a:b] for a, b in zip(cuts[::2], cuts[1::2]))
+            if len(body) >= RUN:
+                yield body, m.start(), np.concatenate([np.arange(a, b) for a, b in zip(cuts[::2], cuts[1::2])])
+
+
+def _inside(layer: Layer, body: str, start: int, places: np.ndarray | None) -> Iterator[Layer | int]:
+    """The layers inside a run of base64 characters, and the places of those too large.
+
+    A payload may begin anywhere in the run, after a path or a name: each of the
+    four ways to group the characters is decoded, and compressed payloads are
+    looked for at every byte."""
+    code = body.translate(_URLSAFE)
+
+    def spot(at: np.ndarray) -> np.ndarray:
+        return start + at if places is None else places[at]
+
+    for k in range(4):
+        n = len(code) - k
+        n -= n % 4 == 1
+        if n < RUN:
+            break
+        raw = binascii.a2b_base64(code[k : k + n] + "=" * (-n % 4))
+        for a, b, got in _opened(raw):
+            lo, hi = spot(np.array([k + a * 4 // 3, k + (b * 8 - 1) // 6]))
+            lo, hi = layer.origin(int(lo), int(hi) + 1)
+            if got is False:
+                yield lo
+            elif (text := _text(got, True)[0]) is not None:
+                yield Layer(text, np.full(len(text), lo), np.full(len(text), hi))
+        text, size = _text(raw, k == 0)
+        if text is None:
+            continue
+        size = np.ones(len(text), np.int64) if size is None else size
+        stop = np.cumsum(size)
+        first, last = spot(k + (stop - size) * 4 // 3), spot(k + (stop - 1) * 4 // 3 + 1)
+        yield Layer(text, first, last + 1) if layer.start is None else Layer(text, layer.start[first], layer.end[last])
 
 
-def _inside(layer: Layer, m: re.Match) -> tuple[Layer | None, bool]:
-    """The layer inside a base64 token, and whether it was too large."""
-    body = m[0].rstrip("=")
-    if len(body) % 4 == 1:
-        return None, False
-    try:
-        raw = base64.b64decode(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4))
-    except (binascii.Error, ValueError):
-        return None, False
-    packed = False
-    while (more := _unpack(raw)) is not None:
-        if more is False:
-            return None, True
-        if more == raw:
-            break
-        raw, packed = more, True
-    text = _readable(raw)
-    if text is None:
-        return None, False
-    if packed:
-        lo, hi = layer.origin(m.start(), m.start() + len(body))
-        return Layer(text, np.full(len(text), lo), np.full(len(text), hi)), False
-    size = np.array([len(c.encode()) for c in text]) if not text.isascii() else np.ones(len(text), np.int64)
-    stop = np.cumsum(size)
-    first, last = m.start() + (stop - size) * 4 // 3, m.start() + (stop - 1) * 4 // 3 + 1
-    if layer.start is None:
-        return Layer(text, first, last + 1), False
-    return Layer(text, layer.start[first], layer.end[last]), False
+def _packed(layer: Layer) -> Iterator[Layer | int]:
+    """The layers in compressed payloads whose bytes are characters of a layer, and the places of those too large."""
+    for a, b, got in _opened(layer.text.encode("latin-1", "replace")):
+        lo, hi = layer.origin(a, b)
+        if got is False:
+            yield lo
+        elif (text := _text(got, True)[0]) is not None:
+            yield Layer(text, np.full(len(text), lo), np.full(len(text), hi))
+
+
+def _percent_packed(layer: Layer) -> Iterator[Layer | int]:
+    """What is compressed in percent escapes, where a plus sign may be a space."""
+    for text in dict.fromkeys((layer.text, layer.text.replace("+", " "))):
+        raw = _replaced(layer._replace(text=text), _PERCENT, lambda m: bytes.fromhex(m[0].replace("%", "")).decode("latin-1"))
+        if raw is not None:
+            yield from _packed(raw)
 
 
 def scan(text: str) -> tuple[list[Span], list[Span], int, int]:
     """(plain spans, all spans, number of decoded layers, layers too large to open)."""
     base = base_spans(text)
-    found, seen, work, layers, over = set(base), set(), [Layer(text, None, None)], 0, 0
+    found, seen, work, layers, over = set(base), set(), [Layer(text, None, None)], 0, set()
     while work:
         layer = work.pop()
-        more = []
+        more: list[Layer | int | None] = []
         if "%" in layer.text:
             more.append(_replaced(layer, _PERCENT, _percent))
+            more += _percent_packed(layer)
         if "\\" in layer.text or "&" in layer.text:
             more.append(_replaced(layer, _ESCAPE, _escape))
-        for m in _TOKEN.finditer(layer.text):
-            inner, large = _inside(layer, m)
-            over += large
-            more.append(inner)
+        if layer.start is not None:
+            more += _packed(layer)
+        for body, start, places in _bodies(layer.text):
+            more += _inside(layer, body, start, places)
         for new in more:
+            if isinstance(new, int):
+                over.add(new)
+                continue
             if new is None or not new.text:
                 continue
             known = (hashlib.blake2b(new.text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), int(new.start.min()), int(new.end.max()))
@@ -214,7 +315,7 @@ def scan(text: str) -> tuple[list[Span], list[Span], int, int]:
                 lo, hi = new.origin(a, b)
                 found.add((lo, kind, hi))
             work.append(new)
-    return base, sorted(found), layers, over
+    return base, sorted(found), layers, len(over)
 
 
 def joined(spans: list[Span]) -> str:

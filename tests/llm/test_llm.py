@@ -1,12 +1,17 @@
+import bz2
+import gzip
 import hashlib
 import html
+import lzma
 import random
 import zlib
 import base64
+from urllib.parse import quote, quote_plus
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from logloom.llm import chains, jaccard, lzprint, mixing, packing, pages, repeats, secrets, topk, toxicity
@@ -119,6 +124,46 @@ def test_secrets(edge, none):
     assert secrets.redact(edge).columns == edge.columns
 
 
+def test_secrets_at_any_place():
+    b64 = lambda b: base64.b64encode(b).decode()
+    plain = "password = hunter2secret"
+    wrap = lambda t, by="\n": by.join(t[i : i + 76] for i in range(0, len(t), 76))
+    filler = " ".join(hashlib.sha256(str(i).encode()).hexdigest()[:23] for i in range(40))
+    zipped = zlib.compress(plain.encode())
+    long_zip = b64(zlib.compress(f"{filler} {plain} {filler}".encode()))
+    assert len(long_zip) > 300
+    quoted = "".join(f"%{c:02X}" for c in zipped)
+    for text in (
+        *(b64(f"{plain}{c} more".encode()) for c in "\u00a0\u200d\ufeff\0\f"),
+        b64(b"\xff\xfe raw " + plain.encode()),
+        *(b64(gzip.compress(f"{c}{plain}".encode())) for c in "\u00a0\0\f"),
+        b64(zlib.compress(b"\xff" + plain.encode())),
+        *(p + b64(x) for p in ("/api/v1/", "id_", "id-", "ab", "abc") for x in (plain.encode(), zipped)),
+        b64(plain.encode()) + "/download",
+        f"see\n{wrap(b64((filler + plain).encode()))}\nend",
+        *(wrap(long_zip, by) for by in ("\n", "\r\n", "\\n", "\n  ")),
+        quoted,
+        f"q={quote_plus(zipped)}&x=1",
+        quote(zipped),
+        *(b64(pack(b"nothing here") + pack(plain.encode())) for pack in (gzip.compress, bz2.compress, lzma.compress, zstandard.compress)),
+        b64(gzip.compress(bz2.compress(plain.encode()))),
+    ):
+        text = f"GET {text} HTTP"
+        base, found, _, over = secrets.scan(text)
+        assert not base and any(k == 0 for _, k, _ in found) and over == 0, text
+    at = "/api/v1/" + b64(b"note: " + plain.encode())
+    (a, _, z), = secrets.scan(at)[1]
+    assert (a, z) == (8 + 8, len(at))
+
+
+def test_secrets_too_large(monkeypatch):
+    monkeypatch.setattr(secrets, "MAX_LAYER", 1000)
+    one = gzip.compress(b"x" * 600)
+    for raw in (gzip.compress(b"x" * 1001), one + one, bz2.compress(b"x" * 1001), zstandard.compress(b"x" * 1001)):
+        assert secrets.scan(base64.b64encode(raw).decode())[3] == 1
+    assert secrets.scan(base64.b64encode(gzip.compress(b"x" * 1000)).decode())[3] == 0
+
+
 def test_fingerprints(spark, edge, none):
     rows = {r.doc_id: r for r in lzprint.edited_prints(edge, 3).collect()}
     assert len(rows[4].fingerprint) == 8 * lzprint.K and rows[4].fingerprint == rows[5].fingerprint and rows[4].near_next == 1.0
