@@ -4,11 +4,16 @@ A page's tokens are its structural elements by path (names with id or class).
 Over a host's pages every path has an occurrence vector: how often it occurs on
 each page. Paths with equal vectors form an equivalence class; a class that is
 on at least half of the pages, and two, is part of the host's template. Classes
-nest as their paths do. The template's slots are what its elements hold; the
-main slot is the deepest element that occurs once a page and still holds most
-of the host's words outside menus, adverts and the like. A page's text is what
-it has in that slot. Pages without it, or on hosts without a template, are
-judged by the same rule on their own.
+nest as their paths do. The template's slots are what its elements hold. The
+main slot is the largest article or main element that occurs once a page and
+holds most of the words outside menus, adverts and the like; without one it is
+the deepest element that holds nearly all of these words and of the headings. A
+page's text is what it has in that slot. Pages without it, or on hosts without a
+template, are judged on their own.
+
+Menus, adverts and the like are known by element name or by a whole id, class or
+role (not on html and body, no ids that are anchors). One that holds most of its
+host's unlinked words is none.
 
 Vectors are compared by an order-free hash of (page, count), so classes come
 from one aggregate that combines map-side; a host may hold any number of pages.
@@ -30,23 +35,34 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow, stored
 
-#: Share of a host's (page's) words that the main element holds.
-MAIN_SHARE = 0.6
+#: Share of the words that an article or main element holds to be the main slot, and any other element.
+MAIN_SHARE, NEARLY = 0.6, 0.98
+#: Share of a host's words that an element set aside may not hold.
+MOST = 0.5
 _TAG = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|<[!?][^>]*>""", re.S
 )
-_MARK = re.compile(r"""\b(?:id|class|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+_MARK = re.compile(r"""(?<![\w:-])(id|class|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _RAW = frozenset("script style noscript template textarea title select option button svg math iframe object canvas audio video datalist".split())
 _STRUCTURE = frozenset(
     "html head body main article section div nav header footer aside form fieldset dialog menu ul ol li dl dt dd table"
     " caption thead tbody tfoot tr td th p h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption address details summary hr".split()
 )
 _ASIDE = frozenset("head nav header footer aside form fieldset dialog menu".split())
-_ASIDE_MARK = re.compile(
-    r"(?:^|[^a-z])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|sidebar|nav\w*|menu|breadcrumbs?|header|footer|masthead"
+_ASIDE_WORD = (
+    r"(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|sidebar|nav|navbar|navigation|menu|breadcrumbs?|header|footer|masthead"
     r"|cookies?|consent|notice|popup|modal|comments?|disqus|repl(?:y|ies)|related|recommend\w*|share|sharing|social"
-    r"|subscribe|newsletter|signup|login|search|pagination|pager|toolbar|contentinfo|complementary|navigation)(?:$|[^a-z])"
+    r"|subscribe|newsletter|signup|login|search|pagination|pager|toolbar|contentinfo|complementary)"
+)
+#: A whole id, class or role: words of the list, with words of place before and of kind behind.
+_ASIDE_MARK = re.compile(
+    r"(?:(?:site|page|main|global|top|bottom|left|right|primary|secondary|mobile)[-_])*" + _ASIDE_WORD
+    + r"(?:[-_]?0|[-_](?:" + _ASIDE_WORD + r"|left|right|top|bottom|area|bar|box|block|slot|unit|widget|wrap|wrapper|container|inner|list"
+    r"|links?|items?|icons?|buttons?|form|posts?|articles?|stories))*"
 )
+#: Elements whose ids are anchors named after headings.
+_ANCHORS = frozenset("h1 h2 h3 h4 h5 h6 section article main p li dt dd tr td th".split())
+_HEADINGS = frozenset(("h1", "h2"))
 _CLOSED_BY = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
     "dt": ({"dt", "dd"}, {"dl"}),
@@ -68,14 +84,20 @@ class Block:
 
 
 def _label(name: str, attrs: str) -> tuple[str, bool]:
-    """Token of an element, and whether it is set aside by name or mark."""
-    marks = " ".join(a or b or c for a, b, c in _MARK.findall(attrs)) if "=" in attrs else ""
-    marks = re.sub(r"\d+", "0", marks.lower())
-    return name + ("." + ".".join(marks.split()) if marks else ""), bool(marks and _ASIDE_MARK.search(marks))
-
-
-def read(page: str) -> tuple[list[Block], dict[str, int]]:
-    """The blocks of a page in order and how often each path occurs."""
+    """Token of an element, and whether it is set aside by a mark."""
+    label, aside = [name], False
+    for kind, x, y, z in _MARK.findall(attrs) if "=" in attrs else ():
+        marks = re.sub(r"\d+", "0", (x or y or z).lower()).replace("/", "|").split()
+        label += marks
+        if name not in ("html", "body") and not (kind.lower() == "id" and name in _ANCHORS):
+            aside = aside or any(_ASIDE_MARK.fullmatch(m) for m in marks)
+    return ".".join(label), aside
+
+
+def read(page: str, spared: frozenset[str] = frozenset()) -> tuple[list[Block], dict[str, int], set[str]]:
+    """The blocks of a page in order, how often each path occurs, and the paths that
+    are set aside themselves, as none of ``spared`` is."""
+    marked: set[str] = set()
     blocks: list[Block] = []
     counts: dict[str, int] = {}
     stack: list[tuple[str, str, bool]] = []  # name, path, set aside
@@ -140,12 +162,19 @@ def read(page: str) -> tuple[list[Block], dict[str, int]]:
             in_article = any(s[0] in ("article", "main") for s in stack)
             above = bool(stack) and stack[-1][2]
             path = f"{stack[-1][1]}/{label}" if stack else label
-            aside = above or aside or (name in _ASIDE and not (name == "header" and in_article))
+            aside = (aside or (name in _ASIDE and not (name == "header" and in_article))) and path not in spared
+            if aside:
+                marked.add(path)
+            aside = above or aside
             counts[path] = counts.get(path, 0) + 1
             if not m[3].endswith("/"):
                 stack.append((name, path, aside))
     flush()
-    return blocks, counts
+    return blocks, counts, marked
+
+
+def _name(path: str) -> str:
+    return path.rpartition("/")[2].partition(".")[0]
 
 
 def _shares(blocks: list[Block]) -> tuple[dict[str, int], int]:
@@ -167,14 +196,18 @@ def _shares(blocks: list[Block]) -> tuple[dict[str, int], int]:
 def _own_main(blocks: list[Block], counts: dict[str, int]) -> str:
     """The main element of a page judged on its own."""
     under, total = _shares(blocks)
-    fit = [p for p, n in under.items() if counts.get(p) == 1 and n >= MAIN_SHARE * total]
-    named = [p for p in under if p.rpartition("/")[2].partition(".")[0] in ("article", "main") and counts.get(p) == 1]
+    fit = [p for p, n in under.items() if counts.get(p) == 1 and n >= NEARLY * total]
+    named = [p for p in under if _name(p) in ("article", "main") and counts.get(p) == 1]
     return max(named or fit, key=lambda p: (under[p], p.count("/"), p), default="")
 
 
-def main_text(page: str, main: str | None) -> str:
+def main_text(page: str, main: str | None, spared: frozenset[str] = frozenset()) -> str:
     """Text of the blocks in the main element, one per line."""
-    blocks, counts = read(page)
+    blocks, counts, _ = read(page, spared)
+    if main and main in counts and _name(main) not in ("article", "main"):
+        under, total = _shares(blocks)
+        if under.get(main, 0) < MAIN_SHARE * total:  # this page is laid out differently
+            main = None
     if not main or main not in counts:
         main = _own_main(blocks, counts)
     inside = main + "/"
@@ -185,31 +218,57 @@ def host() -> F.Column:
     return F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
 
 
-def templates(pages: DataFrame) -> DataFrame:
-    """(host, main): the path of each host's main element, from (page_id, url, html)."""
+def _paths(pages: DataFrame) -> DataFrame:
+    """Per host and path of (page_id, host, html, spared): pages, occurrences, their
+    vector, code points (n of t on these pages, h of th in headings) that are not set
+    aside, and, if the element is, those in it (m); path '' has m of all blocks."""
 
     def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         out = []
-        for page_id, h, page in zip(b.column("page_id").to_pylist(), b.column("host").to_pylist(), b.column("html")):
-            blocks, counts = read(page.as_py() or "")
+        cols = (b.column(c).to_pylist() for c in ("page_id", "host", "spared"))
+        for page_id, h, spared, page in zip(*cols, b.column("html")):
+            blocks, counts, marked = read(page.as_py() or "", frozenset(spared or ()))
             under, total = _shares(blocks)
-            out.append((h, "", 0, 1, total))
+            heads, head_total = _shares([x for x in blocks if _name(x.path) in _HEADINGS])
+            held = dict.fromkeys(marked, 0)
+            every = 0
+            for x in blocks:
+                n = max(len(x.text) - x.links, 0)
+                every += n
+                path = x.path
+                while path and x.aside:
+                    if path in held:
+                        held[path] += n
+                    path = path.rpartition("/")[0]
+            out.append((h, "", 0, 1, total, total, head_total, head_total, every))
             for path, c in counts.items():
                 vector = xxhash.xxh64_intdigest(f"{page_id} {c}") - (1 << 63)
-                out.append((h, path, vector, c, under.get(path, 0)))
-        kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["host", "path", "vector", "c", "n"])
-
-    rows = map_arrow(
-        pages.select("page_id", host().alias("host"), "html"), run, "host string, path string, vector long, c long, n long"
+                out.append((h, path, vector, c, under.get(path, 0), total, heads.get(path, 0), head_total, held.get(path, 0)))
+        kinds = (pa.string(), pa.string(), *[pa.int64()] * 7)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
+
+    names = ["host", "path", "vector", "c", "n", "t", "h", "th", "m"]
+    rows = map_arrow(pages, run, "host string, path string, " + ", ".join(f"{c} long" for c in names[2:]))
+    sums = (F.sum(c).alias(c) for c in ("c", "n", "t", "h", "th", "m"))
+    return stored(
+        rows.groupBy("host", "path").agg(F.count("*").alias("pages"), F.expr("bit_xor(vector)").alias("vector"), *sums), "paths"
     )
-    paths = stored(
-        rows.groupBy("host", "path").agg(
-            F.count("*").alias("pages"), F.expr("bit_xor(vector)").alias("vector"), F.sum("c").alias("c"), F.sum("n").alias("n")
-        ),
-        "paths",
+
+
+def templates(pages: DataFrame) -> DataFrame:
+    """(host, main, spared): the path of each host's main element and the paths not
+    set aside as they hold most of its words, from (page_id, url, html)."""
+    rows = pages.select("page_id", host().alias("host"), "html")
+    paths = _paths(rows.withColumn("spared", F.array().cast("array<string>")))
+    every = paths.where("path = ''").select("host", F.col("m").alias("every"))
+    spared = stored(
+        paths.where("path <> '' and m > 0").join(every, "host").where(F.col("m") >= MOST * F.col("every"))
+        .groupBy("host").agg(F.sort_array(F.collect_list("path")).alias("spared")),
+        "spared",
     )
-    hosts = paths.where("path = ''").select("host", F.col("pages").alias("all"), F.col("n").alias("total"))
+    if not spared.isEmpty():  # read the pages of these hosts again
+        paths = paths.join(spared, "host", "left_anti").unionByName(_paths(rows.join(spared, "host")))
+    hosts = paths.where("path = ''").select("host", F.col("pages").alias("all"))
     token = (
         paths.where("path <> ''").join(hosts, "host")
         .where("pages >= 2 and 2 * pages >= all")
@@ -218,10 +277,13 @@ def templates(pages: DataFrame) -> DataFrame:
     )
     members = token.groupBy("host", "pages", "vector").agg(F.count("*").alias("tokens"))
     valid = token.join(members, ["host", "pages", "vector"])
-    # the deepest element, once a page, that holds most words; of equal ones that of the larger class
-    fit = valid.where((F.col("c") == F.col("pages")) & (F.col("n") >= MAIN_SHARE * F.col("total")) & (F.col("n") > 0))
-    best = F.max(F.struct("depth", "tokens", "n", "path"))
-    return fit.groupBy("host").agg(best.alias("x")).select("host", F.col("x.path").alias("main"))
+    # once a page: the largest article or main, else the deepest element; of equal ones that of the larger class
+    named = F.regexp_extract("path", "([^/.]*)[^/]*$", 1).isin("article", "main") & (F.col("n") >= MAIN_SHARE * F.col("t"))
+    nearly = (F.col("n") >= NEARLY * F.col("t")) & (F.col("h") >= NEARLY * F.col("th"))
+    fit = valid.withColumn("named", named).where((F.col("c") == F.col("pages")) & (F.col("n") > 0) & (F.col("named") | nearly))
+    best = F.max(F.struct("named", F.when(F.col("named"), F.col("n")).otherwise(0).alias("size"), "depth", "tokens", "n", "path"))
+    main = fit.groupBy("host").agg(best.alias("x")).select("host", F.col("x.path").alias("main"))
+    return main.join(spared, "host", "full")
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -229,11 +291,12 @@ def extract(pages: DataFrame) -> DataFrame:
     found = stored(templates(pages), "templates")
 
     def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        texts = [main_text(p.as_py() or "", m) for p, m in zip(b.column("html"), b.column("main").to_pylist())]
+        cols = (b.column(c).to_pylist() for c in ("main", "spared"))
+        texts = [main_text(p.as_py() or "", m, frozenset(s or ())) for p, m, s in zip(b.column("html"), *cols)]
         yield pa.RecordBatch.from_arrays(
             [b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
             ["page_id", "url", "text", "n_chars"],
         )
 
     rows = pages.select("page_id", "url", "html", host().alias("host")).join(found, "host", "left")
-    return map_arrow(rows.select("page_id", "url", "html", "main"), run, "page_id long, url string, text string, n_chars long")
+    return map_arrow(rows.select("page_id", "url", "html", "main", "spared"), run, "page_id long, url string, text string, n_chars long")

@@ -231,6 +231,34 @@ def test_pages(spark):
     assert pages.extract(df.limit(0)).count() == 0
 
 
+def test_pages_keep_whole_articles(spark):
+    text = lambda n, w: " ".join(f"{w}{i}" for i in range(n))
+    parts = f"<h1>Title</h1><p>{text(9, 'lede')}</p><div class=body>{text(70, 'body')}</div><div class=more>{text(30, 'more')}</div>"
+    whole = "\n".join(["Title", *(text(n, w) for n, w in ((9, "lede"), (70, "body"), (30, "more")))])
+    nav, foot = "<nav>menu words</nav>", "<div class='site-footer'>foot</div>"
+    kinds = {
+        "article": f"<body>{nav}<article>{parts}</article>{foot}",
+        "nested": f"<body>{nav}<main><article>{parts}</article></main>{foot}",
+        "plain": f"<body>{nav}<div id=wrap>{parts}</div>{foot}",
+        "title": f"<body>{nav}<div id=wrap><h1>Title</h1><div class=in>{parts.partition('</h1>')[2]}{text(400, 'z')}</div></div>{foot}",
+        "body": f"<body class='no-sidebar home'>{nav}<article>{parts}</article>{foot}",
+        "bodyad": f"<body class=search>{nav}<article>{parts}</article>{foot}",
+        "has": f"<body>{nav}<div class='has-comments with_menu'><article>{parts}</article></div>{foot}",
+        "most": f"<body>{nav}<div class=modal><article>{parts}</article></div>{foot}",
+        "form": f"<body>{nav}<form id=aspnetForm><article>{parts}</article></form>{foot}",
+        "data": f"<body>{nav}<article data-id=comments>{parts}</article>{foot}",
+        "anchor": f"<body>{nav}<article>{parts}<section id='related-work'><h2 id=sharing>Sharing</h2><p>x</section></article>{foot}",
+        "slash": f"<body>{nav}<article class='w-1/2'>{parts}</article>{foot}",
+    }
+    rows = [(10 * i + j, f"http://{k}/{j}", page) for i, (k, page) in enumerate(kinds.items()) for j in range(3)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {}
+    for r in pages.extract(df).collect():
+        got.setdefault(r.url.split("/")[2], set()).add(r.text)
+    want = dict.fromkeys(kinds, {whole}) | {"title": {f"{whole}\n{text(400, 'z')}"}, "anchor": {f"{whole}\nSharing\nx"}}
+    assert got == want
+
+
 def test_mixing(spark, edge, none):
     rng = random.Random(1)
     rows = [(i, " ".join(f"{'ab'[i % 4 == 0]}{rng.randint(0, 50)}" for _ in range(40)), "xy"[i % 4 == 0]) for i in range(400)]
