@@ -2,14 +2,18 @@
 
 A classifier learnt from a labelled table says how much of each document belongs
 to each domain: the mean over its words of P(domain | word) (hashed words, add-one
-counts, equal priors). Document rates between 0 and ``MAX_RATE`` are then fitted
-by accelerated projected gradient on
+counts, equal priors). Of all nonnegative document rates whose expected token
+totals meet the targets, those nearest to 1 are taken (least squares, a document
+counting by its words). They are max(0, 1 + posterior . pull) with one number per
+domain, the minimum of
 
-    1/2 sum_k (expected tokens of k - target of k)^2 / N^2 + l/2 sum_d n_d/N (rate_d - 1)^2
+    1/2 sum_d n_d/N rate_d(pull)^2 - target . pull + RIDGE/2 |pull|^2
 
-A step needs only one total per domain from the corpus: a document's rate follows
-from its posterior and the totals of the steps before, so nothing per document
-is kept between steps and a lost executor costs only its own rows.
+which Newton steps with a line search find. A step needs from the corpus only
+totals per domain and pair of domains, so nothing per document is kept between
+steps and a lost executor costs only its own rows. Steps go on until the totals
+are within ``CLOSE`` of the targets; targets that no rates meet are missed as
+little as possible, ``Mix.residual`` says by how much, and a warning is given.
 
 Rows: null or empty texts have no words, rate 1 and even posteriors; repeated
 rows count each. Without labelled rows there is one domain, "".
@@ -17,6 +21,7 @@ rows count each. Without labelled rows there is one domain, "".
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -31,17 +36,19 @@ from .text import parts, word_hashes
 BITS = 17
 #: At most so many labelled rows are learnt from, those with the smallest hash of doc_id.
 MAX_TRAIN = 20_000
-MAX_RATE, RIDGE, STEPS, CLOSE = 4.0, 1e-3, 40, 2e-3
+#: CLOSE is of the share of tokens; RIDGE bounds the pull where no rates meet the targets.
+RIDGE, STEPS, CLOSE = 1e-6, 200, 2e-3
 
 
 @dataclass
 class Mix:
-    """Classifier and fitted steps."""
+    """Classifier and fitted rates."""
 
     domains: list[str]
     share: np.ndarray  # P(domain | word bucket), a row per bucket
     target: np.ndarray = field(default_factory=lambda: np.zeros(0))  # of the tokens, sums to 1
-    steps: list[np.ndarray] = field(default_factory=list)  # (expected - target) / N at each step's point
+    pull: np.ndarray = field(default_factory=lambda: np.zeros(0))  # per domain, none: rates are 1
+    residual: float = 0.0  # largest difference of expected and target share
 
     def posteriors(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(words, posterior) of each text of a slice."""
@@ -52,14 +59,9 @@ class Mix:
         p = np.stack([np.bincount(row, self.share[bucket, d], len(n)) for d in range(k)], 1)
         return n, np.where(n[:, None] > 0, p / np.maximum(n, 1)[:, None], 1 / k)
 
-    def rates(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(rates after the steps so far, the point at which the next step is taken)."""
-        rate, point, t = np.ones(len(p)), np.ones(len(p)), 1.0
-        for off in self.steps:
-            new = np.clip(point - (p @ off + RIDGE * (point - 1)) / (1 + RIDGE), 0, MAX_RATE)
-            t, last = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
-            point, rate = new + (last - 1) / t * (new - rate), new
-        return rate, point
+    def rates(self, p: np.ndarray) -> np.ndarray:
+        """Rates of documents by their posteriors."""
+        return np.maximum(1 + p @ self.pull, 0) if len(self.pull) else np.ones(len(p))
 
 
 def classifier(docs: DataFrame, labelled: DataFrame, max_train: int = MAX_TRAIN) -> Mix:
@@ -113,24 +115,48 @@ def fit(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None =
 
     schema = "n long, " + ", ".join(f"p{d} float" for d in range(k))
     table = stored(map_arrow(docs.select("text"), narrow, schema), "posteriors")
-    for _ in range(STEPS):
-        sent = spark.sparkContext.broadcast(Mix(m.domains, np.zeros((0, k)), m.target, list(m.steps)))
 
-        def totals(b: pa.RecordBatch, sent=sent) -> Iterator[pa.RecordBatch]:
+    def at(pull: np.ndarray) -> tuple[float, np.ndarray, np.ndarray] | None:
+        """Value, shares of the domains and second derivatives; None without words."""
+        sent = spark.sparkContext.broadcast(pull)
+
+        def totals(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             n = b.column("n").to_numpy().astype(float)
             p = np.stack([b.column(f"p{d}").to_numpy() for d in range(k)], 1).astype(float)
-            rate, point = sent.value.rates(p)
-            at = [(p * (n * v)[:, None]).sum(0) for v in (point, rate)]
-            yield pa.RecordBatch.from_pydict({"n": pa.array([n.sum()]), "x": pa.array([np.concatenate(at).tolist()], pa.list_(pa.float64()))})
-
-        sums = map_arrow(table, totals, "n double, x array<double>").select("n", *(F.get("x", F.lit(i)).alias(f"x{i}") for i in range(2 * k)))
-        row = sums.agg(*(F.sum(c).alias(c) for c in sums.columns)).first()
-        if not row.n:
+            rate = np.maximum(1 + p @ sent.value, 0)
+            active = p * (n * (rate > 0))[:, None]
+            v = np.concatenate([[n.sum(), (n * rate**2).sum() / 2], p.T @ (n * rate), (p.T @ active).ravel()])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(v))), pa.array(v)], ["i", "v"])
+
+        got = map_arrow(table, totals, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow()
+        v = np.zeros(2 + k + k * k)
+        v[got["i"].to_numpy()] = got["v"].to_numpy()
+        if not v[0]:
+            return None
+        v[1:] /= v[0]
+        value = v[1] - m.target @ pull + RIDGE / 2 * pull @ pull
+        return value, v[2 : 2 + k], v[2 + k :].reshape(k, k)
+
+    pull = np.zeros(k)
+    now = at(pull)
+    for _ in range(STEPS):
+        if now is None or np.abs(now[1] - m.target).max() < CLOSE:
             break
-        x = np.array(row[1:], float) / row.n
-        if np.abs(x[k:] - m.target).max() < CLOSE:
+        slope = now[1] - m.target + RIDGE * pull
+        step = np.linalg.solve(now[2] + RIDGE * np.eye(k), -slope)
+        size, new = 1.0, at(pull + step)
+        while new[0] > now[0] + 1e-4 * size * (slope @ step) and size > 1e-6:
+            size /= 2
+            new = at(pull + size * step)
+        if now[0] - new[0] <= 1e-12 * abs(now[0]):  # nothing is nearer
             break
-        m.steps.append(x[:k] - m.target)
+        pull, now = pull + size * step, new
+    m.pull = pull
+    if now is not None:
+        m.residual = float(np.abs(now[1] - m.target).max())
+        if m.residual >= CLOSE:
+            got = ", ".join(f"{d} {x:.3f} of {t:.3f}" for d, x, t in zip(m.domains, now[1], m.target))
+            warnings.warn(f"no rates meet the target shares: {got}", stacklevel=2)
     return m
 
 
@@ -144,7 +170,7 @@ def rated(docs: DataFrame, m: Mix) -> DataFrame:
     def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for i, data, off in parts(b.column("text")):
             n, p = shared.value.posteriors(data, off)
-            rate = shared.value.rates(p.astype(np.float32).astype(float))[0]
+            rate = shared.value.rates(p.astype(np.float32).astype(float))
             rate[n == 0] = 1.0
             part = b.slice(i, len(n))
             yield pa.RecordBatch.from_arrays(

@@ -269,3 +269,20 @@ def test_mixing(spark, edge, none):
     labelled = edge.select("doc_id", F.lit("x").alias("domain"))
     assert mixing.mixed(edge, mixing.fit(edge, labelled)).columns == edge.columns
     assert mixing.mixed(none, mixing.fit(none, labelled.limit(0))).count() == 0
+
+
+def test_mixing_of_a_rare_domain(spark):
+    rng = random.Random(2)
+    kind = lambda i: "x" if i % 50 == 0 else "yz"[i % 2]
+    rows = [(i, " ".join(f"{kind(i)}{rng.randint(0, 50)}" for _ in range(40)), kind(i)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, domain string")
+    m = mixing.fit(df, df)
+    got = mixing.rated(df, m).agg(*(F.sum(F.col("_n_words") * F.col("_rate") * F.col("_posterior")[d]).alias("t") for d in range(3))).first()
+    assert [x / 80_000 for x in got] == pytest.approx([1 / 3] * 3, abs=0.003)
+    assert m.residual < mixing.CLOSE
+    own = mixing.mixed(df, m).groupBy("domain").count().collect()
+    assert {r.domain: r["count"] / 2000 for r in own} == pytest.approx(dict.fromkeys("xyz", 1 / 3), abs=0.04)
+    mixed_up = df.withColumn("domain", F.when(F.col("doc_id") % 3 == 0, "x").otherwise("y"))
+    with pytest.warns(UserWarning, match="no rates meet"):
+        m = mixing.fit(df, mixed_up, {"x": 1.0})
+    assert m.residual > mixing.CLOSE and np.isfinite(m.pull).all()
