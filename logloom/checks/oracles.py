@@ -245,6 +245,11 @@ s AS (SELECT system, seq, {d.correct_message('Content')} AS c FROM logs WHERE sy
 m1 AS (SELECT system, string_split(trim({d.mask_chain('c')}), ' ') AS tk FROM s),
 m2 AS (SELECT system, trim(array_to_string({d.dedup_adjacent('tk')}, ' ')) AS masked FROM m1)
 SELECT DISTINCT system, masked FROM m2"""
+    o["stream_first_messages"] = f"""WITH {LOGS},
+s AS (SELECT system, seq, {d.correct_message('Content')} AS c FROM logs),
+m1 AS (SELECT system, seq, c, string_split(trim({d.mask_chain('c')}), ' ') AS tk FROM s),
+m2 AS (SELECT system, seq, c, trim(array_to_string({d.dedup_adjacent('tk')}, ' ')) AS masked FROM m1)
+SELECT system, masked, min(seq) AS seq, arg_min(c, seq) AS msg FROM m2 GROUP BY system, masked"""
     return o
 
 

@@ -471,40 +471,35 @@ _MORE.update({
 
 
 # ---------------------------------------------------------------------------
-# Streaming (ST2): first-seen masked keys, with the tables read as streams.
+# Streaming (ST2): first-seen masked keys, with the log view read as a stream.
 # ---------------------------------------------------------------------------
-def _stream_logs(spark, sf_dir):
-    """events and orders read as file streams, turned into log messages."""
-    def stream(name):
-        schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-        return (spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-                .option("maxFilesPerTrigger", 1).parquet(sf_dir))
-    ev = stream("events").selectExpr(
-        "'events' AS system", "event_id AS seq",
-        "CASE event_type WHEN 'view' THEN concat('User ', user_id, ' viewed page /item/', event_id % 50, '/detail') "
-        "WHEN 'signup' THEN concat('Accepted signup for user', user_id, '@example.com from 10.', user_id % 256, '.', "
-        "event_id % 256, '.7 port ', 1024 + event_id % 5000) "
-        "WHEN 'error' THEN concat('Task failed: uid=', user_id, ' code=', event_id % 13, ' retry ', event_id % 4) "
-        "WHEN 'click' THEN concat('Button ', CASE event_id % 3 WHEN 0 THEN 'buy' WHEN 1 THEN 'save' ELSE 'share' END, "
-        "' clicked in session 0x', user_id) "
-        "ELSE concat('Order ', event_id, ' paid, total ', CAST(round(value * 100) AS BIGINT), ' cents') END AS Content")
-    od = stream("orders").selectExpr(
-        "'orders' AS system", "o_orderkey AS seq",
-        "concat('Order ', o_orderkey, ' for customer ', o_custkey, ' moved to status ', o_orderstatus, "
-        "' priority ', o_orderpriority) AS Content")
-    return ev.unionByName(od)
-
-
-def q_stream_first_seen(spark, sf_dir):
+def _first_messages(spark, logs):
+    """``system, masked, seq, msg`` of every key: ``logs`` is written to the
+    checkpoint folder (a line's number in its order needs a window, which streams
+    lack), read as a file stream, and the stream's table is read back."""
+    from ..session import ensure_checkpoint_dir
     from ..streaming import first_seen_keys
     import uuid
-    name = "first_seen_" + uuid.uuid4().hex[:8]
-    from ..session import ensure_checkpoint_dir
-    ckpt = ensure_checkpoint_dir(spark)
-    q = (first_seen_keys(_stream_logs(spark, sf_dir)).writeStream.format("memory").queryName(name)
-         .option("checkpointLocation", f"{ckpt}/{name}").outputMode("append").trigger(availableNow=True).start())
+    base = f"{ensure_checkpoint_dir(spark)}/first_seen_{uuid.uuid4().hex}"
+    logs = logs.select("system", "seq", "Content")
+    logs.write.parquet(f"{base}/logs")
+    found = first_seen_keys(spark.readStream.schema(logs.schema).parquet(f"{base}/logs"))
+    q = (found.writeStream.format("parquet").option("path", f"{base}/keys").option("checkpointLocation", f"{base}/state")
+         .outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.table(name).select("system", "masked")
+    return spark.read.schema(found.schema).parquet(f"{base}/keys")
+
+
+def q_stream_first_seen(spark, sf_dir):
+    """Keys of events and orders, as the oracle has them."""
+    logs = fx.log_view(spark, sf_dir).where(F.col("system").isin("events", "orders"))
+    return _first_messages(spark, logs).select("system", "masked")
+
+
+def q_stream_first_messages(spark, sf_dir):
+    """Every key of the whole log view with its earliest message."""
+    return _first_messages(spark, fx.log_view(spark, sf_dir))
 
 
+_MORE["stream_first_messages"] = q_stream_first_messages
 _MORE["stream_first_seen"] = q_stream_first_seen

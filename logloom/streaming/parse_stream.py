@@ -50,11 +50,18 @@ def _first_seen(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterato
         yield pd.DataFrame({"system": [key[0]], "masked": [key[1]], "seq": [best[0]], "msg": [best[1]]})
 
 
+def _earliest(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The earliest row of each key in every batch of rows, so that a frequent key is no hot group."""
+    for pdf in pdfs:
+        yield pdf.sort_values("seq", kind="stable").drop_duplicates(["system", "masked"])
+
+
 def first_seen_keys(messages: DataFrame) -> DataFrame:
     """ST2 over a streaming frame ``system, seq, Content``: one output row per
     new masked key (the earliest message of the batch in which it appears)."""
     keyed = messages.select("system", "seq", correct_message("Content").alias("msg"))
     keyed = keyed.withColumn("masked", mask_message("msg"))
+    keyed = keyed.mapInPandas(_earliest, keyed.schema)
     return keyed.groupBy("system", "masked").applyInPandasWithState(
         _first_seen, FIRST_SEEN_OUT, FIRST_SEEN_STATE, "append", GroupStateTimeout.NoTimeout)
 

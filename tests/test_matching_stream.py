@@ -45,6 +45,14 @@ def test_stream_first_seen_equals_batch_keys(spark):
     assert got == want
 
 
+def test_stream_first_messages_of_the_whole_log_view(spark):
+    got = sorted(tuple(r) for r in entry.queries()["stream_first_messages"](spark, SF001).collect())
+    msgs = fx.log_view(spark, SF001).select("system", "seq", T.correct_message("Content").alias("msg"))
+    want = sorted(tuple(r) for r in msgs.groupBy("system", T.mask_message("msg").alias("masked")).agg(
+        F.min("seq").alias("seq"), F.min_by("msg", "seq").alias("msg")).collect())
+    assert got == want and {r[0] for r in got} == {"events", "orders", "shipping"}
+
+
 def test_entry_contract(spark):
     df = entry.entry(spark)
     assert df.count() == 3
