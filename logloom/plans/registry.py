@@ -349,28 +349,30 @@ def queries() -> dict[str, Query]:  # noqa: F811
 from ..operators import catalog as CT  # noqa: E402
 from ..operators import labelling as LB  # noqa: E402
 from ..operators import matching as MT  # noqa: E402
+from ..session import cut_lineage  # noqa: E402
 from .catalog_parse import distinct_keys, parse_logs  # noqa: E402
 
 
 def _labelled_rows(spark, sf_dir):
-    """Labelled responses as the catalog sees them: the earliest message of
-    every (system, masked key, labelled template) over the whole log view."""
+    """Every message of the log view with its labelled response."""
     lv = fx.labelled_log_view(spark, sf_dir)
-    rows = lv.select("system", "seq", T.correct_message("Content").alias("msg"), F.col("Labelled").alias("response"))
-    return D.dedup_first(rows.withColumn("_k", F.concat_ws("\u0001", T.mask_message("msg"), F.col("response"))),
-                         "_k").drop("_k")
+    return lv.select("system", "seq", T.correct_message("Content").alias("msg"), F.col("Labelled").alias("response"))
 
 
 def _seed_catalog(spark, sf_dir, indexed=True):
     ex = fx.labelled_examples(spark, sf_dir).select(
         "system", "seq", F.col("Content").alias("msg"), F.col("EventTemplate").alias("response"))
-    return CT.upsert_catalog(None, ex, _dictionary(spark, sf_dir), 0, indexed=indexed)
+    cat, assigned, units = CT.upsert_catalog(None, ex, _dictionary(spark, sf_dir), 0, indexed=indexed)
+    return cut_lineage(cat), assigned, units
 
 
 def _keys(spark, sf_dir):
-    lv = fx.log_view(spark, sf_dir).select("system", "seq", T.correct_message("Content").alias("Content"),
-                                           T.correct_message("EventTemplate").alias("EventTemplate"))
-    return distinct_keys(lv, _dictionary(spark, sf_dir))
+    """Distinct masked keys of the log view and the text tables (these have no truth)."""
+    texts = fx.text_view(spark, sf_dir).withColumn("EventTemplate", F.lit(None).cast("string"))
+    rows = fx.log_view(spark, sf_dir).unionByName(texts)
+    rows = rows.select("system", "seq", T.correct_message("Content").alias("Content"),
+                       T.correct_message("EventTemplate").alias("EventTemplate"))
+    return cut_lineage(distinct_keys(rows, _dictionary(spark, sf_dir)))
 
 
 def q_slot_capture(spark, sf_dir):

@@ -53,6 +53,18 @@ def test_stream_first_messages_of_the_whole_log_view(spark):
     assert got == want and {r[0] for r in got} == {"events", "orders", "shipping"}
 
 
+def test_slots_of_every_row_and_keys_of_all_tables(spark):
+    rows = fx.labelled_log_view(spark, SF001)
+    with_slots = rows.where(F.col("Labelled").contains("{")).count()
+    got = entry.queries()["slot_capture"](spark, SF001).select("system", "seq").distinct().count()
+    assert got == with_slots
+    assert entry.queries()["slot_correction"](spark, SF001).count() == rows.count()
+    keys = {r.system: r["count"] for r in entry.queries()["reference_example"](spark, SF001).groupBy("system").count().collect()}
+    texts = fx.text_view(spark, SF001).select("system", T.mask_message(T.correct_message("Content")).alias("m")).distinct()
+    assert {"events", "orders", "shipping"} < set(keys)
+    assert {r.system: r["count"] for r in texts.groupBy("system").count().collect()}.items() <= keys.items()
+
+
 def test_entry_contract(spark):
     df = entry.entry(spark)
     assert df.count() == 3
