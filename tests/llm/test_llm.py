@@ -97,6 +97,14 @@ def test_jaccard(edge, none):
     assert kept.columns == edge.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 3, 4, 6]
 
 
+def test_distinct_documents_go_by_row(spark):
+    text = lambda w, n=40: " ".join(f"{w}{i}" for i in range(n))
+    rows = [(1, text("a")), (5, text("b")), (5, text("a")), (6, text("b")), (7, text("b", 41)), (None, text("b")), (None, text("c")), (None, text("c"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {(r.doc_id, r.text) for r in jaccard.distinct_documents(df).collect()}
+    assert kept == {(1, text("a")), (5, text("b")), (None, text("c"))} and jaccard.distinct_documents(df).count() == 3
+
+
 def test_chains(spark, edge, none):
     rng = random.Random(4)
     fresh = lambda n: [f"v{rng.randint(0, 10**6)}" for _ in range(n)]
