@@ -24,81 +24,87 @@ from pyspark.sql import functions as F
 
 from ..functions.text import (canonical_template, mask_message, match_tokens,
                               remove_punctuation, repair_response, rule_label)
-from ..session import cut_lineage
+from ..functions.text import words as split_words
+from ..session import cut_lineage, written
 from .cluster import leader_cluster
 from .tokens import with_is_common
 
 MAX_SLOTS = 30
 
 
-def _quote(lit: Column) -> Column:
-    """Java ``\\Q...\\E`` quoting of a literal column (handles embedded ``\\E``)."""
-    return F.concat(F.lit("\\Q"), F.replace(lit, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+_CAPS_TYPE = "array<struct<label:string,value:string,start:int,first:int,last:int>>"
 
 
-def slot_pattern(template) -> Column:
-    """E1 pattern: literals as groups, every ``{label}`` as a greedy ``([\\s\\S]*)``,
-    anchored at the start only. Group 2k is slot k; odd groups are literals."""
-    t = F.col(template) if isinstance(template, str) else template
-    lits = F.split(t, r"\{.*?\}", -1)
-    quoted = F.transform(lits, lambda x: F.concat(F.lit("("), _quote(x), F.lit(")")))
-    return F.concat(F.lit("^"), F.array_join(quoted, "([\\s\\S]*)"))
-
-
-def _running_starts(arr: Column, gap: int) -> Column:
-    """Start offset of every element when the elements are laid end to end
-    with ``gap`` characters between them (a fold over the array only)."""
-    init = F.struct(F.array().cast("array<int>").alias("s"), F.lit(0).alias("p"))
-    return F.aggregate(arr, init, lambda acc, x: F.struct(
-        F.concat(acc["s"], F.array(acc["p"])).alias("s"), (acc["p"] + F.length(x) + gap).alias("p")))["s"]
-
-
-_CAPS_TYPE = "array<struct<label:string,value:string,start:int>>"
+def _n_spaces(text: Column, upto: Column) -> Column:
+    prefix = F.substring(text, F.lit(1), upto)
+    return F.length(prefix) - F.length(F.replace(prefix, F.lit(" "), F.lit("")))
 
 
 def extract_slots(df: DataFrame, msg: str = "msg", template: str = "response") -> DataFrame:
-    r"""Adds ``caps array<struct<label, value, start>>`` — one entry per
-    ``{label}`` slot in order, with the captured text and its character
-    offset. Empty when there are more than 30 slots, no slots, or no match.
-
-    The pattern is anchored at the start only and every slot is a greedy
-    ``([\s\S]*)``; literals are captured too, so each capture's offset is the
-    summed length of the pieces before it.
+    r"""Adds ``caps array<struct<label, value, start, first, last>>`` — one entry
+    per ``{label}`` slot in order, with the captured text, its character offset
+    and the whitespace tokens that its span touches (none if first > last).
+    Empty when there are more than 30 slots, no slots, or no match.
+
+    The first literal must begin the message and every slot takes as much as it
+    can (greedy, line breaks too). So each literal stands at its last place that
+    leaves room for those after it: one fold over the literals, from the last,
+    finds them all. Token spans assume single spaces, as in the reference; a
+    span that ends where a token starts touches it.
     """
-    labels = F.regexp_extract_all(F.col(template), F.lit(r"\{(.*?)\}"), 1)
-    n = F.size(labels)
-    ok = (n > 0) & (n <= MAX_SLOTS)
-    base = df.withColumn("_labels", labels).withColumn("_pat", F.when(ok, slot_pattern(template)))
-    hit = F.coalesce(F.expr(f"`{msg}` RLIKE _pat"), F.lit(False))
-    pieces = F.expr(f"transform(sequence(1, 2 * size(_labels) + 1), i -> regexp_extract(`{msg}`, _pat, i))")
-    base = base.withColumn("_pieces", F.when(hit, pieces))
-    starts = _running_starts(F.col("_pieces"), 0)
-    slots_only = F.filter(F.arrays_zip(F.col("_pieces").alias("v"), starts.alias("s")), lambda x, i: i % 2 == 1)
-    caps = F.transform(F.arrays_zip(F.col("_labels").alias("l"), slots_only.alias("c")),
-                       lambda z: F.struct(z["l"].alias("label"), z["c"]["v"].alias("value"),
-                                          z["c"]["s"].alias("start")))
-    out = base.withColumn("caps", F.coalesce(F.when(F.col("_pieces").isNotNull(), caps), F.array().cast(_CAPS_TYPE)))
-    return out.drop("_labels", "_pat", "_pieces")
-
-
-def slot_positions(caps: DataFrame, keys: list[str], msg: str = "msg") -> DataFrame:
-    """``(*keys, label, positions)`` — the whitespace tokens of ``msg``
-    whose span touches any capture with the label's value (equal values share
-    positions; a span ending where a token starts touches it). Token spans
-    assume single spaces, as in the reference."""
-    cx = caps.select(*keys, F.explode("caps").alias("c")).select(
-        *keys, F.col("c.label").alias("label"), F.col("c.value").alias("value"), F.col("c.start").alias("start"))
-    # split at every white-space character, so that starts add up; empty pieces are no tokens
-    w = F.split(F.col(msg), r"(?U)\s")
-    spans = F.filter(F.arrays_zip(w.alias("t"), _running_starts(w, 1).alias("ts")), lambda z: z["t"] != "")
-    tx = caps.where(F.size("caps") > 0).select(
-        *keys, F.posexplode(spans).alias("i", "z")).select(
-        *keys, "i", F.col("z.ts").alias("ts"), (F.col("z.ts") + F.length("z.t")).alias("te"))
-    touch = (cx.join(tx, keys).where((F.col("start") <= F.col("te"))
-                                     & (F.col("start") + F.length("value") >= F.col("ts")))
-             .select(*keys, "value", "i").distinct())
-    return (cx.select(*keys, "label", "value").distinct().join(touch, [*keys, "value"])
-            .groupBy(*keys, "label").agg(F.array_sort(F.collect_set(F.col("i").cast("int"))).alias("positions")))
+    slot = r"\{.*?\}"
+    out = df.withColumn("_labels", F.regexp_extract_all(F.col(template), F.lit(r"\{(.*?)\}"), 1))
+    out = out.withColumn("_lits", F.split(F.col(template), slot, -1))
+    # (text before the literal, texts after the literals from here on, all found)
+    lead = F.get("_lits", 0)
+    init = F.struct(F.substring(msg, F.length(lead) + 1, F.length(msg)).alias("rem"),
+                    F.array().cast("array<string>").alias("after"), F.startswith(F.col(msg), lead).alias("ok"))
+
+    def place(a, lit):
+        after = F.when(lit == "", F.lit("")).otherwise(F.call_function("substring_index", a["rem"], lit, F.lit(-1)))
+        return F.struct(
+            F.substring(a["rem"], F.lit(1), F.length(a["rem"]) - F.length(after) - F.length(lit)).alias("rem"),
+            F.concat(F.array(after), a["after"]).alias("after"), (a["ok"] & F.contains(a["rem"], lit)).alias("ok"))
+
+    n = F.size("_labels")
+    out = out.withColumn("_fold", F.when((n > 0) & (n <= MAX_SLOTS), F.aggregate(
+        F.reverse(F.slice("_lits", F.lit(2), n)), init, place)))
+    values = F.concat(F.array("_fold.rem"), F.slice("_fold.after", F.lit(1), n - 1))
+    pieces = F.zip_with(values, F.slice("_lits", F.lit(2), n), lambda v, l: F.struct(v.alias("v"), F.length(l).alias("gap")))
+    laid = F.aggregate(
+        pieces, F.struct(F.array().cast("array<struct<value:string,start:int>>").alias("s"), F.length(lead).alias("p")),
+        lambda a, x: F.struct(F.concat(a["s"], F.array(F.struct(x["v"].alias("value"), a["p"].alias("start")))).alias("s"),
+                              (a["p"] + F.length(x["v"]) + x["gap"]).alias("p")))["s"]
+    out = out.withColumn("_caps", F.when(F.col("_fold.ok"), F.zip_with("_labels", laid, lambda l, c: F.struct(
+        l.alias("label"), c["value"].alias("value"), c["start"].alias("start")))))
+    text = F.array_repeat(F.array_join(split_words(msg), " "), F.size("_caps"))
+    caps = F.zip_with("_caps", text, lambda c, t: F.struct(
+        c["label"].alias("label"), c["value"].alias("value"), c["start"].alias("start"),
+        (_n_spaces(t, c["start"]) + F.when((c["start"] > F.length(t)) | (t == ""), 1).otherwise(0)).alias("first"),
+        _n_spaces(t, c["start"] + F.length(c["value"])).alias("last")))
+    return (out.withColumn("caps", F.coalesce(caps, F.array().cast(_CAPS_TYPE)))
+            .drop("_labels", "_lits", "_fold", "_caps"))
+
+
+def _first_slots(caps: Column) -> Column:
+    """The first slot of each label, in order."""
+    return F.filter(caps, lambda c, i: F.array_position(F.transform(caps, lambda x: x["label"]), c["label"]) == i + 1)
+
+
+def _positions(caps: Column, label: Column) -> Column:
+    """Tokens touched by any slot whose value is one of the label's values."""
+    same = F.filter(caps, lambda d: (d["first"] <= d["last"]) & F.exists(
+        caps, lambda e: (e["label"] == label) & (e["value"] == d["value"])))
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(same, lambda d: F.sequence(d["first"], d["last"])))))
+
+
+def slot_positions(caps: DataFrame, keys: list[str]) -> DataFrame:
+    """``(*keys, label, positions)`` — the whitespace tokens whose span
+    touches any capture with one of the label's values (equal values share
+    positions). ``caps`` comes from :func:`extract_slots`, best stored."""
+    per = F.transform(_first_slots(F.col("caps")), lambda c: F.struct(
+        c["label"].alias("label"), _positions(F.col("caps"), c["label"]).alias("positions")))
+    return caps.select(*keys, F.explode(per).alias("p")).select(*keys, "p.label", "p.positions").where(F.size("positions") > 0)
 
 
 def correct_slots(df: DataFrame, words: DataFrame, msg: str = "msg", response: str = "response",
@@ -108,52 +114,50 @@ def correct_slots(df: DataFrame, words: DataFrame, msg: str = "msg", response: s
     A label is wrong if it equals its first value (case-insensitively) or is
     ``label``; if label or value is only punctuation; if the value is a common
     word (F14); or if the value has nine or more words. With no captured slot
-    the response becomes the message itself. Adds ``label_vars``
+    the response becomes the message itself. Adds ``corrected``, ``label_vars``
     (array<struct<label, values>>, label order) and ``label_positions``
-    (map<label, array<int>>).
+    (map<label, array<int>>). ``keys`` identify a row.
+
+    The captures are stored once. Of the rules only F14 needs a join: each
+    distinct value is looked up once, and only rows with a common value meet
+    the result; the other rules are judged in the row.
     """
     keys = keys or ["system", "seq"]
-    ex = extract_slots(df, msg, response)
-    firsts = (ex.select(*keys, F.posexplode("caps").alias("k", "s"))
-              .groupBy(*keys, F.col("s.label").alias("label"))
-              .agg(F.min("k").alias("k"), F.min_by(F.col("s.value"), F.col("k")).alias("value"),
-                   F.transform(F.array_sort(F.collect_list(F.struct("k", "s.value"))), lambda x: x["value"])
-                   .alias("values")))
-    firsts = firsts.join(slot_positions(ex, keys, msg), [*keys, "label"], "left")
-    firsts = with_is_common(firsts, "value", words)
-    err = ((F.lower("label") == F.lower("value")) | (F.lower("label") == "label")
-           | (remove_punctuation("label") == "") | (remove_punctuation("value") == "")
-           | F.col("is_common") | (F.size(F.filter(F.split(F.col("value"), r"(?U)\s+"), lambda x: x != "")) >= 9))
-    per = (firsts.withColumn("err", err)
-           .groupBy(*keys)
-           .agg(F.array_sort(F.collect_list(F.struct(
-               "k", "label", "value", "values",
-               F.coalesce("positions", F.array().cast("array<int>")).alias("positions"), "err"))).alias("ls")))
-    joined = ex.join(per, keys, "left")
-    bad = F.filter("ls", lambda x: x["err"])
-    good = F.filter("ls", lambda x: ~x["err"])
+    ex = written(extract_slots(df, msg, response), "captures")
+    caps = F.col("caps")
+
+    def wrong(label, value):
+        long = F.size(F.filter(F.split(value, r"(?U)\s+"), lambda x: x != "")) >= 9
+        return ((F.lower(label) == F.lower(value)) | (F.lower(label) == "label") | (remove_punctuation(label) == "")
+                | (remove_punctuation(value) == "") | long)
+
+    values = lambda label: F.transform(F.filter(caps, lambda c: c["label"] == label), lambda c: c["value"])
+    slots = F.transform(_first_slots(caps), lambda s: F.struct(
+        s["label"].alias("label"), s["value"].alias("value"), values(s["label"]).alias("values"),
+        _positions(caps, s["label"]).alias("positions"), wrong(s["label"], s["value"]).alias("wrong")))
+    firsts = ex.select(*keys, F.explode(_first_slots(caps)).alias("s")).select(*keys, "s.label", "s.value")
+    common = with_is_common(firsts.select("value").distinct(), "value", words).where("is_common").select("value")
+    common = firsts.join(common, "value", "left_semi").groupBy(*keys).agg(F.collect_set("label").alias("_common"))
+    ex = ex.withColumn("_slots", slots).join(common, keys, "left")
+    ex = ex.withColumn("_common", F.coalesce("_common", F.array().cast("array<string>")))
+    bad = F.filter("_slots", lambda s: s["wrong"] | F.array_contains("_common", s["label"]))
+    good = F.filter("_slots", lambda s: ~s["wrong"] & ~F.array_contains("_common", s["label"]))
     fixed = F.aggregate(bad, F.col(response),
                         lambda acc, x: F.replace(acc, F.concat(F.lit("{"), x["label"], F.lit("}")), x["value"]))
-    no_slots = F.size("caps") == 0
-    return joined.select(
-        "*",
-        F.when(no_slots, F.col(msg)).otherwise(fixed).alias("corrected"),
-        F.when(no_slots, F.array().cast("array<struct<label:string,values:array<string>>>")).otherwise(
-            F.transform(good, lambda x: F.struct(x["label"].alias("label"), x["values"].alias("values"))))
-        .alias("label_vars"),
-        F.when(no_slots, F.create_map().cast("map<string,array<int>>")).otherwise(
-            F.map_from_entries(F.transform(good, lambda x: F.struct(x["label"], x["positions"]))))
-        .alias("label_positions"),
-    ).drop("ls", "caps")
+    return ex.select(
+        "*", F.when(F.size("caps") == 0, F.col(msg)).otherwise(fixed).alias("corrected"),
+        F.transform(good, lambda s: F.struct(s["label"].alias("label"), s["values"].alias("values"))).alias("label_vars"),
+        F.map_from_entries(F.transform(good, lambda s: F.struct(s["label"], s["positions"]))).alias("label_positions"),
+    ).drop("_common", "_slots", "caps")
 
 
 def template_from_response(df: DataFrame, words: DataFrame, msg: str = "msg", response: str = "response",
                            keys: list[str] | None = None) -> DataFrame:
     """U1's per-row part: F11 -> E3 -> F8 -> F9. Adds ``labelled``, ``template``,
-    ``label_vars``, ``label_positions``."""
-    keys = keys or ["system", "seq"]
+    ``label_vars``, ``label_positions``. The corrected response is stored before
+    F8 and F9 read it."""
     repaired = df.withColumn("_resp", repair_response(msg, response))
-    fixed = correct_slots(repaired, words, msg, "_resp", keys)
+    fixed = written(correct_slots(repaired, words, msg, "_resp", keys), "corrected")
     return (fixed.withColumn("labelled", F.col("corrected"))
             .withColumn("template", canonical_template(rule_label("corrected")))
             .drop("_resp", "corrected"))

@@ -349,7 +349,7 @@ def queries() -> dict[str, Query]:  # noqa: F811
 from ..operators import catalog as CT  # noqa: E402
 from ..operators import labelling as LB  # noqa: E402
 from ..operators import matching as MT  # noqa: E402
-from ..session import cut_lineage  # noqa: E402
+from ..session import cut_lineage, written  # noqa: E402
 from .catalog_parse import distinct_keys, parse_logs  # noqa: E402
 
 
@@ -376,7 +376,7 @@ def _keys(spark, sf_dir):
 
 
 def q_slot_capture(spark, sf_dir):
-    e = CT.extract_slots(_labelled_rows(spark, sf_dir))
+    e = written(CT.extract_slots(_labelled_rows(spark, sf_dir)), "captures")
     caps = e.select("system", "seq", F.posexplode("caps").alias("k", "s")).select(
         "system", "seq", F.col("k").cast("bigint").alias("k"), F.col("s.label").alias("label"),
         F.col("s.value").alias("value"), F.col("s.start").cast("bigint").alias("start"))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark import StorageLevel
 from pyspark.sql import SparkSession
@@ -102,6 +103,18 @@ def cut_lineage(df, eager: bool = True):
         spark.conf.set(_CONSTRAINTS, prev)
 
 
+def written(df, name: str = "step"):
+    """Write ``df`` as Parquet under the checkpoint folder and read it back.
+
+    Like :func:`cut_lineage`, but later reads take only the columns they use,
+    and nothing is held in the executors' memory meanwhile.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def materialize(df):
     """Persist and compute once; for intermediates used several times within
     one step of an iterative job (state carried across steps uses
