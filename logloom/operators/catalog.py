@@ -4,10 +4,11 @@ A *labelled row* is ``(system, seq, msg, response)`` where ``response`` is the
 message with variables replaced by ``{label}`` slots. The catalog is a
 DataFrame with one row per template::
 
-    system, template_id, template, example, labelled, tokens, label_positions,
-    indexed
+    system, template_id, template, final_template, example, labelled, tokens,
+    label_positions, indexed
 
-``template`` is canonical (F9), ``tokens`` its match tokens (F10),
+``template`` is canonical (F9), ``final_template`` the same after generalisation
+(A11), ``tokens`` its match tokens (F10),
 ``label_positions`` maps each kept label to whitespace-token positions of the
 example (E2), ``indexed`` says whether wildcard matching (J3) may use it
 (seed examples are not indexed, and neither is the bare ``<*>``).
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from ..functions.text import (canonical_template, mask_message, match_tokens,
                               remove_punctuation, repair_response, rule_label)
 from ..functions.text import words as split_words
-from ..session import cut_lineage, written
+from ..session import written
 from .cluster import leader_cluster
 from .tokens import with_is_common
 
@@ -163,30 +164,43 @@ def template_from_response(df: DataFrame, words: DataFrame, msg: str = "msg", re
             .drop("_resp", "corrected"))
 
 
+_BUCKET = 1 << 16
+
+
 def _numbered(new: DataFrame) -> DataFrame:
     """Give a round's new templates the ids after their system's highest, by first
-    message: unique within a system however large ``seq`` gets, in order of insertion."""
-    rank = F.row_number().over(Window.partitionBy("system").orderBy("_seq", "template"))
-    return new.withColumn("template_id", F.coalesce("_top", F.lit(-1).cast("bigint")) + rank).drop("_top", "_seq")
+    message: unique within a system however large ``seq`` gets, in order of insertion.
+    Templates are ranked within buckets of ``seq``; a running sum over the
+    buckets' counts places them, so no task ranks a whole system."""
+    new = new.withColumn("_b", F.coalesce(F.floor(F.col("_seq") / _BUCKET), F.lit(-1)))
+    ahead = Window.partitionBy("system").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    before = new.groupBy("system", "_b").agg(F.count(F.lit(1)).alias("_c")).select(
+        "system", "_b", F.coalesce(F.sum("_c").over(ahead), F.lit(0)).alias("_before"))
+    rank = F.row_number().over(Window.partitionBy("system", "_b").orderBy("_seq", "template"))
+    return (new.join(before, ["system", "_b"])
+            .withColumn("template_id", F.coalesce("_top", F.lit(-1).cast("bigint")) + F.col("_before") + rank)
+            .drop("_top", "_seq", "_b", "_before"))
 
 
 def upsert_catalog(catalog: DataFrame | None, labelled: DataFrame, words: DataFrame, round_no: int,
-                   indexed: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+                   indexed: bool = True, units: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Add the templates of ``labelled`` rows ``(system, seq, msg, response)``.
 
-    Returns ``(catalog, assignments, units)``: the new catalog; per labelled row
+    ``units``: slot values kept so far; a message whose template exists already
+    merges its values into known labels only. Returns ``(catalog, assignments, units)``: the new catalog; per labelled row
     its ``template_id`` and masked key; and the slot values per
     ``(system, label)`` contributed by this batch (for A9/A10).
     """
-    rows = cut_lineage(template_from_response(labelled, words))
+    rows = written(template_from_response(labelled, words), "templates")
     first = (rows.groupBy("system", "template")
              .agg(F.min_by(F.struct("seq", "msg", "labelled", "label_positions"), F.col("seq")).alias("f")))
     new = first.select(
-        "system", "template", F.col("f.seq").alias("_seq"),
+        "system", "template", F.col("template").alias("final_template"), F.col("f.seq").alias("_seq"),
         F.col("f.msg").alias("example"), F.col("f.labelled").alias("labelled"),
         match_tokens("template").alias("tokens"),
         F.col("f.label_positions").alias("label_positions"),
         (F.lit(indexed) & (F.col("template") != "<*>")).alias("indexed"))
+    known = catalog
     if catalog is not None:
         existing = catalog.select("system", "template", F.col("template_id").alias("old_id"),
                                   F.col("indexed").alias("old_indexed"))
@@ -202,18 +216,42 @@ def upsert_catalog(catalog: DataFrame | None, labelled: DataFrame, words: DataFr
         catalog = catalog.unionByName(_numbered(added.join(top, "system", "left")))
     else:
         catalog = _numbered(new.withColumn("_top", F.lit(None).cast("bigint")))
+    catalog = written(catalog, "catalog")
     ids = catalog.select("system", "template", "template_id")
     assignments = rows.join(ids, ["system", "template"]).select(
         "system", "seq", "template_id", mask_message("msg").alias("masked"))
-    return catalog, assignments, slot_units(rows, round_no)
+    return catalog, assignments, _known_labels(slot_units(rows, round_no, "template"), rows, known, units)
+
+
+def _known_labels(new: DataFrame, rows: DataFrame, known: DataFrame | None, units: DataFrame | None) -> DataFrame:
+    """The slot values that U1 keeps: a message whose template was there before it
+    (``known``, or made by an earlier message of the batch) adds values only to
+    labels that were in use by then."""
+    by = rows.groupBy("system", "template").agg(F.min("seq").alias("_made"))
+    if known is not None:
+        old = known.select("system", "template", F.lit(True).alias("_old"))
+        by = by.join(old, ["system", "template"], "left")
+    else:
+        by = by.withColumn("_old", F.lit(None).cast("boolean"))
+    new = new.join(by, ["system", "template"])
+    creates = (F.col("seq") == F.col("_made")) & F.col("_old").isNull()
+    first = new.where(creates).groupBy("system", "label").agg(F.min("seq").alias("_use"))
+    if units is not None:
+        used = units.select("system", "label").distinct().withColumn("_use", F.lit(None).cast("bigint"))
+        first = used.withColumn("_before", F.lit(True)).unionByName(first.withColumn("_before", F.lit(False)))
+        first = first.groupBy("system", "label").agg(F.min("_use").alias("_use"), F.max("_before").alias("_before"))
+    else:
+        first = first.withColumn("_before", F.lit(False))
+    return (new.join(first, ["system", "label"]).where(creates | F.col("_before") | (F.col("_use") < F.col("seq")))
+            .select("system", "round", "seq", "li", "label", "pos", "value"))
 
 
-def slot_units(rows: DataFrame, round_no: int) -> DataFrame:
+def slot_units(rows: DataFrame, round_no: int, *keep: str) -> DataFrame:
     """Slot values ``system, round, seq, li, label, pos, value`` of corrected rows:
     ``li`` is the label's place in its message, ``pos`` the value's place in its label."""
-    return rows.select("system", F.lit(round_no).alias("round"), "seq",
+    return rows.select("system", *keep, F.lit(round_no).alias("round"), "seq",
                        F.posexplode("label_vars").alias("li", "lv")).select(
-        "system", "round", "seq", "li", F.col("lv.label").alias("label"),
+        "system", *keep, "round", "seq", "li", F.col("lv.label").alias("label"),
         F.posexplode("lv.values").alias("pos", "value"))
 
 
@@ -240,23 +278,72 @@ def variable_units(units: DataFrame) -> DataFrame:
     return values.join(symbols, ["system", "label"], "left")
 
 
-def generalise_templates(hits: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Positions where a matched message (same whitespace token count as
-    the template) differs from the template and no label covers the position
-    become ``<*>``. ``hits`` holds ``(system, template_id, msg)`` for messages
-    resolved by wildcard or similarity matching."""
-    cat = catalog.select("system", "template_id", "template", "label_positions")
-    h = hits.join(cat, ["system", "template_id"])
-    mw = F.split(F.col("msg"), r"(?U)\s+")
-    tw = F.split(F.col("template"), " ")
-    covered = F.flatten(F.map_values("label_positions"))
-    h = h.select("system", "template_id", mw.alias("mw"), tw.alias("tw"), covered.alias("cov"))
-    h = h.where(F.size("mw") == F.size("tw"))
-    diff = h.select("system", "template_id", "cov", F.posexplode(F.arrays_zip("mw", "tw")).alias("pos", "z")).where(
-        (F.col("z.mw") != F.col("z.tw")) & ~F.array_contains("cov", F.col("pos")))
-    gen = diff.groupBy("system", "template_id").agg(F.collect_set(F.col("pos").cast("int")).alias("gen"))
+def positional_diff(hits: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Where messages differ from the template that they matched (A11):
+    ``system, template_id, seq, pos, token, own, label``.
+
+    ``hits``: ``(system, template_id, seq, msg)`` of messages resolved by wildcard
+    or similarity matching. Only messages with as many whitespace tokens as the
+    template's ``final_template`` count. ``own`` is the template's token there
+    and ``label`` the first label whose positions hold ``pos``, if any.
+    """
+    cat = catalog.select("system", "template_id", split_words("final_template").alias("tw"),
+                         F.map_entries("label_positions").alias("lp"))
+    h = hits.join(cat, ["system", "template_id"]).select(
+        "system", "template_id", "seq", "lp", "tw", split_words("msg").alias("mw")).where(F.size("mw") == F.size("tw"))
+    at = h.select("system", "template_id", "seq", "lp", F.posexplode(F.arrays_zip("mw", "tw")).alias("pos", "z"))
+    label = F.get(F.filter("lp", lambda e: F.array_contains(e["value"], F.col("pos"))), F.lit(0))["key"]
+    return at.where(F.col("z.mw") != F.col("z.tw")).select(
+        "system", "template_id", "seq", "pos", F.col("z.mw").alias("token"), F.col("z.tw").alias("own"), label.alias("label"))
+
+
+def merged_values(diff: DataFrame, round_no: int) -> DataFrame:
+    """The tokens at labelled positions as slot values (see :func:`slot_units`) of their label."""
+    return (diff.where(F.col("label").isNotNull()).groupBy("system", "label", F.col("token").alias("value"))
+            .agg(F.min(F.struct("seq", "pos")).alias("f"))
+            .select("system", F.lit(round_no).alias("round"), F.col("f.seq").alias("seq"), F.col("f.pos").alias("li"),
+                    "label", F.lit(1).alias("pos"), "value"))
+
+
+def unknown_labels(diff: DataFrame, catalog: DataFrame) -> DataFrame:
+    """A label ``unknown_k`` for each differing position without one:
+    ``system, template_id, pos, label, seq, own, token`` with the message that
+    differed first. Numbers follow a system's highest, by that message and place."""
+    first = (diff.where(F.col("label").isNull()).groupBy("system", "template_id", "pos", "own")
+             .agg(F.min(F.struct("seq", "token")).alias("f")))
+    used = (catalog.select("system", F.explode(F.map_keys("label_positions")).alias("l"))
+            .select("system", F.regexp_extract("l", "^unknown_([0-9]{1,18})$", 1).alias("k")).where("k <> ''")
+            .groupBy("system").agg(F.max(F.col("k").cast("bigint")).alias("top")))
+    # as many rows as template positions that were generalised
+    rank = F.row_number().over(Window.partitionBy("system").orderBy("f.seq", "pos", "template_id"))
+    k = F.coalesce("top", F.lit(-1).cast("bigint")) + rank
+    return first.join(used, "system", "left").select(
+        "system", "template_id", F.col("pos").cast("int").alias("pos"), F.concat(F.lit("unknown_"), k.cast("string")).alias("label"),
+        F.col("f.seq").alias("seq"), "own", F.col("f.token").alias("token"))
+
+
+def unknown_values(diff: DataFrame, unknown: DataFrame, round_no: int) -> DataFrame:
+    """The slot values of new unknown labels: the template's own token, the one that
+    differed first, and those of later messages."""
+    own = unknown.select("system", F.lit(round_no).alias("round"), "seq", F.lit(0).alias("li"), "label",
+                         F.lit(0).alias("pos"), F.col("own").alias("value"))
+    named = diff.where(F.col("label").isNull()).drop("label").join(
+        unknown.select("system", "template_id", "pos", "label"), ["system", "template_id", "pos"])
+    return own.unionByName(merged_values(named, round_no))
+
+
+def generalise_templates(hits: DataFrame, catalog: DataFrame, unknown: DataFrame | None = None) -> DataFrame:
+    """Positions where a matched message differs from the template and that no
+    label covers become ``<*>`` in ``final_template`` and get a label ``unknown_k``
+    in ``label_positions``. ``hits``: see :func:`positional_diff`; ``unknown``:
+    their :func:`unknown_labels`, if known already."""
+    if unknown is None:
+        unknown = unknown_labels(positional_diff(hits, catalog), catalog)
+    gen = unknown.groupBy("system", "template_id").agg(F.sort_array(F.collect_list(F.struct("pos", "label"))).alias("gen"))
     out = catalog.join(gen, ["system", "template_id"], "left")
-    new_t = F.array_join(F.transform(F.split(F.col("template"), " "),
-                                     lambda t, i: F.when(F.array_contains(F.coalesce("gen", F.array().cast("array<int>")), i),
-                                                         F.lit("<*>")).otherwise(t)), " ")
-    return out.withColumn("final_template", F.when(F.col("gen").isNull(), F.col("template")).otherwise(new_t)).drop("gen")
+    text = F.array_join(F.transform(split_words("final_template"), lambda t, i: F.when(
+        F.exists("gen", lambda g: g["pos"] == i), F.lit("<*>")).otherwise(t)), " ")
+    more = F.map_from_entries(F.transform("gen", lambda g: F.struct(g["label"], F.array(g["pos"]))))
+    return (out.withColumn("final_template", F.when(F.col("gen").isNull(), F.col("final_template")).otherwise(text))
+            .withColumn("label_positions", F.when(F.col("gen").isNull(), F.col("label_positions"))
+                        .otherwise(F.map_concat("label_positions", more))).drop("gen"))

@@ -11,19 +11,21 @@ J3 is the prefix-tree walk of the reference re-expressed as a frontier
 iteration of equi-joins: each step advances every still-walking message by
 one tree edge (literal child first; else a ``<*>`` child that skips 0-6
 tokens, 0-1 at the root, to the nearest following literal; a trailing ``<*>``
-absorbs 1-6, 1 at the root). Tree nodes are token-prefix arrays of the
+absorbs 1-6, 1 at the root). Tree nodes are the numbered token prefixes of the
 indexed templates' match tokens, so no tree is ever built on the driver. The
 number of steps is bounded by the longest template.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.similarity import edit_similarity, jaccard
 from ..functions.text import WILDCARD, star_digits
-from ..session import Stepper, cut_lineage, materialize
+from ..session import ensure_checkpoint_dir, written
 
 def _empty():
     return F.array().cast("array<string>")
@@ -64,61 +66,84 @@ def tree_tables(catalog: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return edges, terminals, pref.select("system", "template_id", "depth", "node")
 
 
+def interned_tree(catalog: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The prefix tree of the indexed templates in numbers.
+
+    ``nodes``: ``system, prefix, id, star, terminal, star_terminal`` — a node per
+    token prefix, its ``<*>`` child and the templates that end at either;
+    ``edges``: ``node, tok, child`` with numbered tokens; ``vocab``: ``token, tok``.
+    """
+    paths, terminals, _ = tree_tables(catalog)
+    roots = catalog.where("indexed").select("system", _empty().alias("prefix"))
+    ids = written(paths.select("system", F.col("child").alias("prefix")).unionByName(roots).distinct()
+                  .withColumn("id", F.monotonically_increasing_id()), "nodes")
+    vocab = written(paths.select(F.col("tok").alias("token")).distinct()
+                    .withColumn("tok", F.monotonically_increasing_id()), "vocab")
+    ends = terminals.select("system", F.col("node").alias("prefix"), F.col("template_id").alias("terminal"))
+    ids = ids.join(ends, ["system", "prefix"], "left")
+    edges = (paths.withColumnRenamed("tok", "token").join(vocab, "token")
+             .join(ids.select("system", F.col("prefix").alias("node"), F.col("id").alias("from")), ["system", "node"])
+             .join(ids.select("system", F.col("prefix").alias("child"), F.col("id").alias("to"), "terminal"), ["system", "child"]))
+    edges = written(edges.select(F.col("from").alias("node"), "token", "tok", F.col("to").alias("child"), "terminal"), "edges")
+    stars = edges.where(F.col("token") == WILDCARD).select(
+        F.col("node").alias("id"), F.col("child").alias("star"), F.col("terminal").alias("star_terminal"))
+    nodes = written(ids.join(stars, "id", "left").select("system", "prefix", "id", "star", "terminal", "star_terminal"), "tree")
+    return nodes, edges.select("node", "tok", "child"), vocab
+
+
+_WALK = "key bigint, n int, node bigint, i int, walking boolean, template_id bigint"
+
+
 def match_wildcard(keys: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Returns ``system, masked, ok, template_id, fail_node`` for every key."""
-    edges, terminals, _ = tree_tables(catalog)
-    edges = cut_lineage(edges)
-    terminals = cut_lineage(terminals)
-    stars = edges.where(F.col("tok") == WILDCARD).select("system", "node", F.col("child").alias("star"))
-    state = keys.select("system", "masked", "tokens", _empty().alias("node"), F.lit(0).alias("i"))
-    done_parts = []
-    stepper = Stepper(every=4)
+    """Returns ``system, masked, ok, template_id, fail_node`` for every key.
+
+    Keys, tree nodes and tokens are numbered, and only tokens that stand in a
+    template are kept of a message, as ``(key, pos, tok)``. A step thus moves a
+    key's number, node and place: it tries the literal edge at the place and the
+    edges of the ``<*>`` child at the places after it, and takes the first hit.
+    Each step is stored; finished keys are read from the stored steps.
+    """
+    spark = keys.sparkSession
+    nodes, edges, vocab = interned_tree(catalog)
+    base = written(keys.select("system", "masked", "tokens").withColumn("key", F.monotonically_increasing_id()), "keys")
+    # a long message may hold most of the tokens: they are looked up by token, and AQE splits a frequent one
+    at = base.select("key", F.posexplode("tokens").alias("pos", "token")).join(vocab, "token").select("key", "pos", "tok")
+    at = written(at, "tokens")
+    info = nodes.select(F.col("id").alias("node"), "star", "terminal", "star_terminal", (F.size("prefix") == 0).alias("root"))
+    state = base.join(nodes.where(F.size("prefix") == 0).select("system", F.col("id").alias("node")), "system").select(
+        "key", F.size("tokens").alias("n"), "node", F.lit(0).alias("i"), F.lit(True).alias("walking"),
+        F.lit(None).cast("bigint").alias("template_id"))
+    steps = []
+    folder = f"{ensure_checkpoint_dir(spark)}/walk-{uuid.uuid4().hex}"
     while True:
-        state = stepper.step(state)
-        if stepper.rows == 0:
+        here = state.join(info, "node").withColumn("reach", F.when(F.col("root"), 2).otherwise(7))
+        star_tries = F.transform(
+            F.sequence(F.lit(0), F.greatest(F.least("reach", F.col("n") - F.col("i")) - 1, F.lit(0))),
+            lambda k: F.struct(F.col("star").alias("node"), (F.col("i") + k).alias("pos"), (k + 1).alias("rank")))
+        literal = F.array(F.struct("node", F.col("i").alias("pos"), F.lit(0).alias("rank")))
+        tries = here.where(F.col("i") < F.col("n")).select("key", F.explode(
+            F.when(F.col("star").isNull(), literal).otherwise(F.concat(literal, star_tries))).alias("t")).select("key", "t.*")
+        hit = (tries.join(at, ["key", "pos"]).join(edges, ["node", "tok"]).groupBy("key")
+               .agg(F.min(F.struct("rank", "child", "pos")).alias("h")))
+        ended, left = F.col("i") >= F.col("n"), F.col("n") - F.col("i")
+        moved = F.col("h").isNotNull()
+        found = F.when(ended, F.col("terminal")).when(~moved & (left < F.col("reach")), F.col("star_terminal"))
+        step = here.join(hit, "key", "left").select(
+            "key", "n", F.when(moved, F.col("h.child")).otherwise(F.col("node")).alias("node"),
+            F.when(moved, F.col("h.pos") + 1).otherwise(F.col("i")).alias("i"), moved.alias("walking"),
+            found.alias("template_id"))
+        steps.append(f"{folder}/step={len(steps)}")
+        step.write.parquet(steps[-1])
+        state = spark.read.schema(_WALK).parquet(steps[-1]).where("walking")
+        if not state.limit(1).count():
             break
-        n = F.size("tokens")
-        # end of message: terminal or not
-        at_end = state.where(F.col("i") >= n).join(terminals, ["system", "node"], "left").select(
-            "system", "masked", F.col("template_id").isNotNull().alias("ok"), "template_id",
-            F.col("node").alias("fail_node"))
-        done_parts.append(at_end)
-        walking = state.where(F.col("i") < n).withColumn("tok", F.element_at("tokens", F.col("i") + 1))
-        lit = walking.join(edges, ["system", "node", "tok"], "left")
-        advanced = lit.where(F.col("child").isNotNull()).select(
-            "system", "masked", "tokens", F.col("child").alias("node"), (F.col("i") + 1).alias("i"))
-        nolit = lit.where(F.col("child").isNull()).drop("child", "tok").join(stars, ["system", "node"], "left")
-        dead = nolit.where(F.col("star").isNull()).select(
-            "system", "masked", F.lit(False).alias("ok"), F.lit(None).cast("bigint").alias("template_id"),
-            F.col("node").alias("fail_node"))
-        starred = nolit.where(F.col("star").isNotNull()).withColumn(
-            "thres", F.when(F.size("node") == 0, F.lit(2)).otherwise(F.lit(7)))
-        remaining = n - F.col("i")
-        ks = starred.select("system", "masked", "star", "tokens", "i", F.explode(
-            F.sequence(F.lit(0), F.least(F.col("thres"), remaining) - 1)).alias("k"))
-        ks = ks.withColumn("tok", F.element_at("tokens", F.col("i") + F.col("k") + 1))
-        hit = (ks.join(edges.withColumnRenamed("node", "star"), ["system", "star", "tok"])
-               .groupBy("system", "masked").agg(F.min_by(F.struct("k", "child"), F.col("k")).alias("h")))
-        s2 = starred.join(hit, ["system", "masked"], "left")
-        jumped = s2.where(F.col("h").isNotNull()).select(
-            "system", "masked", "tokens", F.col("h.child").alias("node"),
-            (F.col("i") + F.col("h.k") + 1).alias("i"))
-        missed = s2.where(F.col("h").isNull())
-        trailing = (missed.where(remaining < F.col("thres"))
-                    .join(terminals.withColumnRenamed("node", "star"), ["system", "star"], "left")
-                    .select("system", "masked", F.col("template_id").isNotNull().alias("ok"), "template_id",
-                            F.when(F.col("template_id").isNull(), F.col("node")).alias("fail_node")))
-        too_far = missed.where(remaining >= F.col("thres")).select(
-            "system", "masked", F.lit(False).alias("ok"), F.lit(None).cast("bigint").alias("template_id"),
-            F.col("node").alias("fail_node"))
-        done_parts.append(dead.unionByName(trailing).unionByName(too_far))
-        state = advanced.unionByName(jumped)
-        # finished rows of this step, computed while the state is persisted
-        done_parts[-2:] = [cut_lineage(done_parts[-2].unionByName(done_parts[-1]))]
-    out = done_parts[0]
-    for p in done_parts[1:]:
-        out = out.unionByName(p)
-    return out
+    done = spark.read.schema(_WALK).parquet(*steps).where("NOT walking")
+    ends = nodes.select(F.col("id").alias("node"), F.col("prefix"))
+    out = base.select("key", "system", "masked").join(done.select("key", "node", "template_id"), "key", "left")
+    # a system without templates has no tree: its keys fail at the root
+    return out.join(ends, "node", "left").select(
+        "system", "masked", F.col("template_id").isNotNull().alias("ok"), "template_id",
+        F.coalesce("prefix", _empty()).alias("fail_node"))
 
 
 # ---------------------------------------------------------------- J4, P4, M5

@@ -3,12 +3,14 @@
 1. Seed the catalog with the first ``shot`` labelled examples per system
    (not indexed for wildcard matching).
 2. Reduce the logs to distinct masked keys, each with its earliest message.
-3. Rounds: exact key (J1) -> literal rule (P3/J2) -> wildcard tree walk (J3)
-   -> similar template (J4). Keys still unmatched are labelled one
-   representative per (system, first token) per round, upserted (U1), and the
-   rest retry against the grown catalog. Stops when no key is left.
-4. Templates matched by J3/J4 are generalised (A11) and every log row gets
-   its template's final text (J8).
+3. Exact key (J1) and literal rule (P3/J2) decide their keys. Rounds then
+   match the open keys: wildcard tree walk (J3) -> similar template (J4). Of
+   the keys still open one representative per (system, first token, number of
+   tokens) is labelled and inserted (U1), and the rest retry against the grown
+   catalog. Stops when no key is left.
+4. Messages matched by J3/J4 add their values to the labels they meet, and
+   their templates are generalised (A11); every log row gets its template's
+   final text (J8).
 
 Deviation from the reference (order-dependent by nature): within a round all
 keys see the catalog as of the round start, and a template created later
@@ -20,18 +22,20 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import correct_message, mask_message, tokens
-from ..operators.catalog import generalise_templates, upsert_catalog, variable_units
+from ..operators.catalog import (generalise_templates, merged_values, positional_diff, unknown_labels,
+                                 unknown_values, upsert_catalog, variable_units)
 from ..operators.labelling import build_prompts, labelling_stats, truth_labeller
 from ..operators.matching import (literal_keys, match_exact, match_literal, match_similar,
-                                  match_wildcard, reference_example, relevant_variables, window_first)
+                                  match_wildcard, reference_example, relevant_variables)
 from ..operators.sampling import head_per_system
 from ..operators.tokens import uncommon_tokens
-from ..session import cap_plan_strings, cut_lineage, materialize
+from ..session import cap_plan_strings, written
 
 
 def distinct_keys(logs: DataFrame, words: DataFrame) -> DataFrame:
@@ -45,14 +49,26 @@ def distinct_keys(logs: DataFrame, words: DataFrame) -> DataFrame:
     return uncommon_tokens(keys, ["system", "masked"], "tokens", words)
 
 
-class CatalogState:
+class CatalogState(NamedTuple):
     """What the parse carries between rounds and between stream batches."""
 
-    def __init__(self, catalog: DataFrame, matching: DataFrame, units: DataFrame, next_round: int = 1):
-        self.catalog = catalog
-        self.matching = matching
-        self.units = units
-        self.next_round = next_round
+    catalog: DataFrame
+    matching: DataFrame
+    units: DataFrame
+    next_round: int = 1
+
+
+class Resolved(NamedTuple):
+    """Result of :func:`resolve_keys`; all frames are stored tables."""
+
+    keys: DataFrame  # system, masked, template_id
+    catalog: DataFrame
+    matching: DataFrame  # new entries of the matching table: system, masked, template_id
+    units: DataFrame  # new slot values
+    hits: DataFrame  # messages matched by tree or similarity: system, template_id, seq, msg
+    labels: DataFrame  # system, masked, tokens of the labelling calls
+    next_round: int
+    invoc_time: float
 
 
 def seed_state(examples: DataFrame, words: DataFrame, shot: int = 32) -> CatalogState:
@@ -60,92 +76,111 @@ def seed_state(examples: DataFrame, words: DataFrame, shot: int = 32) -> Catalog
     seeds = head_per_system(examples, shot).select(
         "system", "seq", F.col("Content").alias("msg"), F.col("EventTemplate").alias("response"))
     catalog, asg, units = upsert_catalog(None, seeds, words, 0, indexed=False)
-    return CatalogState(cut_lineage(catalog),
-                        cut_lineage(asg.select("system", "masked", "template_id").dropDuplicates(["system", "masked"])),
-                        cut_lineage(units), 1)
+    last = asg.groupBy("system", "masked").agg(F.max_by("template_id", "seq").alias("template_id"))
+    return CatalogState(catalog, written(last, "matching"), written(units, "units"), 1)
+
+
+def representatives(keys: DataFrame) -> DataFrame:
+    """The earliest key of each (system, first token, number of tokens). Keys of
+    different groups seldom share a template, so a round labels them side by side."""
+    group = ["system", F.get("tokens", 0).alias("_first"), F.size("tokens").alias("_n")]
+    first = keys.groupBy(*group).agg(F.min(F.struct("seq", "masked")).alias("f")).select("system", "f.masked")
+    return keys.join(first, ["system", "masked"], "left_semi")
+
+
+def _empty(df: DataFrame) -> bool:
+    return not df.limit(1).count()
 
 
 def resolve_keys(keys: DataFrame, state: CatalogState, words: DataFrame,
                  labeller: Callable[[DataFrame], DataFrame] = truth_labeller,
-                 max_rounds: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame, float]:
-    """The round loop of L3 over distinct ``keys``; updates ``state`` in place.
+                 max_rounds: int | None = None) -> Resolved:
+    """The round loop of L3 over distinct, stored ``keys``; ``state`` stays as it is.
 
-    Returns ``(resolved, hits, labels, invoc_time)``: key -> template_id, the
-    wildcard/similar hits for A11, and the labelling calls.
+    The exact key (J1) and the literal rule (P3, J2) decide once: a key they
+    leave open is not decided by them in a later round of the same call. A round
+    then matches the open keys (J3, J4), labels representatives of the rest and
+    adds their templates. Answers are stored before they are used.
     """
-    invoc_time = 0.0
-    catalog, matching, all_units = state.catalog, state.matching, state.units
-    unresolved = keys
-    resolved = []     # (system, masked, template_id)
-    hits = []         # tree/similar matches for A11: (system, template_id, msg)
-    labels = []       # (system, masked, tokens)
-    rnd = state.next_round
+    spark = keys.sparkSession
+    res = ["system", "masked", "template_id"]
+    catalog, rnd, invoc_time = state.catalog, state.next_round, 0.0
+    units, found, table, hits, labels = [state.units], [], [], [], []
+
+    def insert(rows: DataFrame) -> None:
+        nonlocal catalog
+        so_far = units[0]
+        for u in units[1:]:
+            so_far = so_far.unionByName(u)
+        catalog, asg, new = upsert_catalog(catalog, rows.select("system", "seq", "msg", "response"), words, rnd, units=so_far)
+        units.append(written(new, "units"))
+        got = written(rows.select("system", "masked", "seq").join(
+            asg.select("system", "seq", "template_id"), ["system", "seq"]).select(res), "inserted")
+        found.append(got)
+        table.append(got)
+
+    exact = written(match_exact(keys, state.matching).select(res), "exact")
+    found.append(exact)
+    todo = written(keys.join(exact, ["system", "masked"], "left_anti"), "open")
+    literal = literal_keys(todo)
+    old = match_literal(literal, catalog).select(res)
+    literal = written(literal.join(old, ["system", "masked"], "left"), "literal")
+    if not _empty(literal):
+        found.append(literal.where("template_id IS NOT NULL").select(res))
+        new = literal.where("template_id IS NULL").withColumn("response", F.col("msg"))
+        if not _empty(new):
+            insert(new)
+        todo = written(todo.join(literal, ["system", "masked"], "left_anti"), "open")
     first_round = rnd
-    while True:
-        unresolved = cut_lineage(unresolved)
-        if unresolved.limit(1).count() == 0:
-            break
+    while not _empty(todo):
         if max_rounds is not None and rnd - first_round >= max_rounds:
             raise RuntimeError(f"catalog parse did not converge in {max_rounds} rounds")
-        j1 = match_exact(unresolved, matching).select("system", "masked", "template_id")
-        resolved.append(materialize(j1))
-        u1 = unresolved.join(j1, ["system", "masked"], "left_anti")
-        lit = literal_keys(u1)
-        lit_hit = match_literal(lit, catalog).select("system", "masked", "template_id")
-        lit_new = lit.join(lit_hit, ["system", "masked"], "left_anti")
-        new_rows = lit_new.select("system", "seq", "msg", F.col("msg").alias("response"), "masked")
-        catalog, lit_asg, lit_units = upsert_catalog(catalog, new_rows.drop("masked"), words, rnd, indexed=True)
-        catalog = cut_lineage(catalog)
-        lit_res = new_rows.select("system", "seq", "masked").join(
-            lit_asg.select("system", "seq", "template_id"), ["system", "seq"]).select("system", "masked", "template_id")
-        resolved.append(materialize(lit_hit.unionByName(lit_res)))
-        all_units = cut_lineage(all_units.unionByName(lit_units))
-        u2 = materialize(u1.join(lit.select("system", "masked"), ["system", "masked"], "left_anti"))
-        walk = materialize(match_wildcard(u2, catalog))
-        tree_ok = walk.where("ok").select("system", "masked", "template_id")
+        walk = written(match_wildcard(todo, catalog), "walk")
         failed = walk.where(~F.col("ok")).select("system", "masked", "fail_node").join(
-            u2.select("system", "masked", "msg", "tokens"), ["system", "masked"])
-        similar = materialize(match_similar(failed, catalog))
-        matched = tree_ok.unionByName(similar)
-        resolved.append(materialize(matched))
-        hits.append(materialize(matched.join(u2.select("system", "masked", "msg"), ["system", "masked"])
-                                .select("system", "template_id", "msg")))
-        u3 = materialize(u2.join(matched, ["system", "masked"], "left_anti"))
-        if u3.limit(1).count() == 0:
-            unresolved = u3
+            todo.select("system", "masked", "msg", "tokens"), ["system", "masked"])
+        got = written(walk.where("ok").select(res).unionByName(match_similar(failed, catalog).select(res)), "matched")
+        met = written(got.join(todo.select("system", "masked", "seq", "msg"), ["system", "masked"])
+                      .select("system", "template_id", "seq", "msg"), "hits")
+        found.append(got)
+        table.append(got)
+        hits.append(met)
+        units.append(written(merged_values(positional_diff(met, catalog), rnd), "merged"))
+        rest = written(todo.join(got, ["system", "masked"], "left_anti"), "rest")
+        if _empty(rest):
             break
-        reps = window_first(u3.withColumn("_first", F.get("tokens", 0)), ["system", "_first"], "seq").drop("_first")
-        reps = materialize(reps)
+        reps = written(representatives(rest), "representatives")
         t0 = time.time()
-        unit_tab = variable_units(all_units)
-        prompts = build_prompts(reps, relevant_variables(reps, unit_tab), reference_example(reps, catalog))
-        answers = materialize(labeller(prompts))
+        known = units[0]
+        for u in units[1:]:
+            known = known.unionByName(u)
+        prompts = build_prompts(reps, relevant_variables(reps, variable_units(known)), reference_example(reps, catalog))
+        answers = written(labeller(prompts), "answers")
         invoc_time += time.time() - t0
         labels.append(answers.select("system", "masked", "tokens"))
-        lab_rows = reps.join(answers, ["system", "masked"]).select("system", "seq", "msg", "response", "masked")
-        catalog, lab_asg, lab_units = upsert_catalog(catalog, lab_rows.drop("masked"), words, rnd, indexed=True)
-        catalog = cut_lineage(catalog)
-        lab_res = lab_rows.select("system", "seq", "masked").join(
-            lab_asg.select("system", "seq", "template_id"), ["system", "seq"]).select("system", "masked", "template_id")
-        lab_res = materialize(lab_res)
-        resolved.append(lab_res)
-        all_units = cut_lineage(all_units.unionByName(lab_units))
-        matching = cut_lineage(matching.unionByName(lit_res.unionByName(lab_res)))
-        unresolved = u3.join(reps.select("system", "masked"), ["system", "masked"], "left_anti")
+        insert(reps.join(answers, ["system", "masked"]))
+        todo = written(rest.join(reps, ["system", "masked"], "left_anti"), "open")
         rnd += 1
-    state.catalog, state.matching, state.units, state.next_round = catalog, matching, all_units, rnd + 1
-    spark = keys.sparkSession
-    empty_res = spark.createDataFrame([], "system string, masked string, template_id bigint")
-    res = empty_res
-    for r in resolved:
-        res = res.unionByName(r)
-    h = spark.createDataFrame([], "system string, template_id bigint, msg string")
-    for x in hits:
-        h = h.unionByName(x)
-    lab = spark.createDataFrame([], "system string, masked string, tokens bigint")
-    for x in labels:
-        lab = lab.unionByName(x)
-    return cut_lineage(res), cut_lineage(h), cut_lineage(lab), invoc_time
+
+    def all_of(frames: list[DataFrame], schema: str) -> DataFrame:
+        out = spark.createDataFrame([], schema)
+        for f in frames:
+            out = out.unionByName(f)
+        return written(out, "resolved")
+
+    pairs = "system string, masked string, template_id bigint"
+    unit = "system string, round int, seq bigint, li int, label string, pos int, value string"
+    return Resolved(all_of(found, pairs), catalog, all_of(table, pairs), all_of(units[1:], unit),
+                    all_of(hits, "system string, template_id bigint, seq bigint, msg string"),
+                    all_of(labels, "system string, masked string, tokens bigint"), rnd + 1, invoc_time)
+
+
+def generalised(r: Resolved) -> tuple[DataFrame, DataFrame]:
+    """A11 over all hits of a call: the catalog with its final templates and unknown
+    labels, and the unknown labels' slot values."""
+    diff = written(positional_diff(r.hits, r.catalog), "diff")
+    unknown = written(unknown_labels(diff, r.catalog), "unknown")
+    catalog = written(generalise_templates(r.hits, r.catalog, unknown), "catalog")
+    return catalog, written(unknown_values(diff, unknown, r.next_round - 1), "units")
 
 
 def parse_logs(logs: DataFrame, examples: DataFrame, words: DataFrame,
@@ -161,19 +196,19 @@ def parse_logs(logs: DataFrame, examples: DataFrame, words: DataFrame,
     """
     t_start = time.time()
     cap_plan_strings(logs.sparkSession)
-    words = cut_lineage(words.select("word"))
+    words = written(words.select("word"), "words")
     logs = logs.select("system", "seq", correct_message("Content").alias("Content"),
                        correct_message("EventTemplate").alias("EventTemplate"))
     state = seed_state(examples, words, shot)
-    keys = cut_lineage(distinct_keys(logs, words))
-    res, hits, lab, invoc_time = resolve_keys(keys, state, words, labeller, max_rounds)
-    catalog = cut_lineage(generalise_templates(hits, state.catalog))
+    keys = written(distinct_keys(logs, words), "keys")
+    done = resolve_keys(keys, state, words, labeller, max_rounds)
+    catalog, _ = generalised(done)
     row_keys = logs.select("system", "seq", F.col("EventTemplate").alias("truth"), mask_message("Content").alias("masked"))
-    parsed = (row_keys.join(res, ["system", "masked"], "left")
+    parsed = (row_keys.join(done.keys, ["system", "masked"], "left")
               .join(catalog.select("system", "template_id", F.col("final_template").alias("parsed")),
                     ["system", "template_id"], "left")
               .select("system", "seq", "truth", "parsed"))
-    stats = labelling_stats(lab, time.time() - t_start, invoc_time)
+    stats = labelling_stats(done.labels, time.time() - t_start, done.invoc_time)
     all_systems = keys.select("system").distinct()
     stats = all_systems.join(stats, "system", "left").fillna(
         {"parse_time": time.time() - t_start, "invoc_time": 0.0, "invoc_num": 0, "invoc_token": 0.0})

@@ -349,7 +349,7 @@ def queries() -> dict[str, Query]:  # noqa: F811
 from ..operators import catalog as CT  # noqa: E402
 from ..operators import labelling as LB  # noqa: E402
 from ..operators import matching as MT  # noqa: E402
-from ..session import cut_lineage, written  # noqa: E402
+from ..session import written  # noqa: E402
 from .catalog_parse import distinct_keys, parse_logs  # noqa: E402
 
 
@@ -363,7 +363,7 @@ def _seed_catalog(spark, sf_dir, indexed=True):
     ex = fx.labelled_examples(spark, sf_dir).select(
         "system", "seq", F.col("Content").alias("msg"), F.col("EventTemplate").alias("response"))
     cat, assigned, units = CT.upsert_catalog(None, ex, _dictionary(spark, sf_dir), 0, indexed=indexed)
-    return cut_lineage(cat), assigned, units
+    return cat, assigned, units
 
 
 def _keys(spark, sf_dir):
@@ -372,7 +372,7 @@ def _keys(spark, sf_dir):
     rows = fx.log_view(spark, sf_dir).unionByName(texts)
     rows = rows.select("system", "seq", T.correct_message("Content").alias("Content"),
                        T.correct_message("EventTemplate").alias("EventTemplate"))
-    return cut_lineage(distinct_keys(rows, _dictionary(spark, sf_dir)))
+    return written(distinct_keys(rows, _dictionary(spark, sf_dir)), "keys")
 
 
 def q_slot_capture(spark, sf_dir):
@@ -443,8 +443,11 @@ def q_generalised_templates(spark, sf_dir):
     cat, _, _ = _seed_catalog(spark, sf_dir)
     keys = _keys(spark, sf_dir)
     walk = MT.match_wildcard(keys, cat).where("ok")
-    hits = walk.join(keys.select("system", "masked", "msg"), ["system", "masked"]).select("system", "template_id", "msg")
-    return CT.generalise_templates(hits, cat).select("system", "template_id", "template", "final_template")
+    hits = walk.join(keys.select("system", "masked", "seq", "msg"), ["system", "masked"]).select(
+        "system", "template_id", "seq", "msg")
+    out = CT.generalise_templates(written(hits, "hits"), cat)
+    names = F.filter(F.map_keys("label_positions"), lambda l: l.rlike("^unknown_[0-9]+$"))
+    return out.select("system", "template_id", "template", "final_template", F.array_join(names, ",").alias("unknown"))
 
 
 def _catalog_parse(spark, sf_dir):
