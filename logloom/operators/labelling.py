@@ -12,11 +12,14 @@ function ``DataFrame -> DataFrame``: it receives requests
   (e.g. a client for a language model) in ``mapInPandas``: Arrow batches per
   partition, so calls run in parallel on executors, never on the driver.
 
+:func:`durable_labeller` keeps the answers of any of them in a table.
+
 No network client is included.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 
 import pandas as pd
@@ -24,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import rule_label
+from ..session import read_if_any, written
 
 # Fixed instruction text of the prompt (L1).
 INSTRUCTION = ("As a log parsing expert, refer to historical examples and output, replace variables with the "
@@ -73,25 +77,73 @@ def rule_labeller(requests: DataFrame) -> DataFrame:
                            _tokens_estimate(F.col("prompt"), resp).alias("tokens"))
 
 
-def callable_labeller(fn: Callable[[str, str], str]) -> Callable[[DataFrame], DataFrame]:
+RETRIES = 10
+
+
+def callable_labeller(fn: Callable[[str, str], str], retries: int = RETRIES) -> Callable[[DataFrame], DataFrame]:
     """L2 around a user callable ``fn(prompt, msg) -> response``; the prompt begins
-    with the instruction's line, and back-ticks are stripped from the response."""
+    with the instruction's line, and back-ticks are stripped from the response.
+
+    A call that raises is made again, ``retries`` times at most; a request whose
+    calls all fail gets no answer (its key stays out of the result)."""
+
+    def ask(prompt: str, msg: str) -> str | None:
+        for _ in range(retries):
+            try:
+                return str(fn(prompt, msg)).strip("`")
+            except Exception as e:  # noqa: BLE001 — whatever the client raises is tried again
+                logging.getLogger(__name__).warning("labelling call failed: %s", e)
+        return None
 
     def run(batches):
         for pdf in batches:
             asked = [f"{i}\n{p}" for i, p in zip(pdf["instruction"], pdf["prompt"])]
-            out = [str(fn(p, m)).strip("`") for p, m in zip(asked, pdf["msg"])]
-            yield pd.DataFrame({
+            out = [ask(p, m) for p, m in zip(asked, pdf["msg"])]
+            got = pd.DataFrame({
                 "system": pdf["system"], "masked": pdf["masked"], "response": out,
-                "tokens": [len(p.split()) + len(r.split()) for p, r in zip(asked, out)]})
+                "tokens": [len(p.split()) + len((r or "").split()) for p, r in zip(asked, out)]})
+            yield got[got["response"].notna()]
 
     def labeller(requests: DataFrame) -> DataFrame:
-        return requests.select("system", "masked", "instruction", "prompt", "msg").mapInPandas(
-            run, "system string, masked string, response string, tokens bigint")
+        return requests.select("system", "masked", "instruction", "prompt", "msg").mapInPandas(run, ANSWERS)
 
     return labeller
 
 
+ANSWERS = "system string, masked string, response string, tokens bigint"
+
+
+def durable_labeller(labeller: Callable[[DataFrame], DataFrame], path: str) -> Callable[[DataFrame], DataFrame]:
+    """L2 with an answer table at ``path``, keyed by ``(system, masked)``.
+
+    Requests that the table answers are not asked again; the others are asked
+    in parts, and a part's answers are appended before the next part is asked
+    and before any of them is used. After a crash, or when a result is
+    recomputed because an executor was lost, only requests of the part that was
+    being asked can be asked a second time. ``path`` must be a folder that
+    driver and executors share.
+    """
+
+    def run(requests: DataFrame) -> DataFrame:
+        spark = requests.sparkSession
+        key = ["system", "masked"]
+        todo = written(requests.join(read_if_any(spark, path, ANSWERS), key, "left_anti"), "requests")
+        n = todo.count()
+        parts = -(-n // PART)
+        for i in range(parts):
+            part = todo.where(F.pmod(F.xxhash64(*key), F.lit(parts)) == i) if parts > 1 else todo
+            labeller(part).select("system", "masked", "response", F.col("tokens").cast("bigint").alias("tokens")) \
+                .write.mode("append").parquet(path)
+        answers = read_if_any(spark, path, ANSWERS).groupBy(*key).agg(F.min(F.struct("response", "tokens")).alias("a"))
+        return answers.select(*key, "a.*").join(requests.select(*key), key, "left_semi")
+
+    return run
+
+
+#: Requests asked between two appends to the answer table.
+PART = 10_000
+
+
 def labelling_stats(labels: DataFrame, parse_time: float = 0.0, invoc_time: float = 0.0) -> DataFrame:
     """Per system the number of labelling calls and mean tokens (0 without calls).
     Times are wall-clock for the whole run (all systems run together)."""

@@ -156,9 +156,12 @@ def resolve_keys(keys: DataFrame, state: CatalogState, words: DataFrame,
         prompts = build_prompts(reps, relevant_variables(reps, variable_units(known)), reference_example(reps, catalog))
         answers = written(labeller(prompts), "answers")
         invoc_time += time.time() - t0
+        if _empty(answers):
+            raise RuntimeError("the labeller answered none of the requests")
         labels.append(answers.select("system", "masked", "tokens"))
         insert(reps.join(answers, ["system", "masked"]))
-        todo = written(rest.join(reps, ["system", "masked"], "left_anti"), "open")
+        # a request without an answer stays open and is asked again in the next round
+        todo = written(rest.join(answers, ["system", "masked"], "left_anti"), "open")
         rnd += 1
 
     def all_of(frames: list[DataFrame], schema: str) -> DataFrame:

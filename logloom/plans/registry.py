@@ -506,5 +506,24 @@ def q_stream_first_messages(spark, sf_dir):
     return _first_messages(spark, fx.log_view(spark, sf_dir))
 
 
+def q_stream_parse(spark, sf_dir):
+    """Every row of the log view with the template that the streaming parse gives it:
+    the log table is read as a file stream, a third of its files a batch."""
+    import uuid
+    from ..session import ensure_checkpoint_dir
+    from ..streaming import StreamState, start_parse_stream
+    from .catalog_parse import seed_state
+    base = f"{ensure_checkpoint_dir(spark)}/stream_parse_{uuid.uuid4().hex}"
+    logs = fx.log_view(spark, sf_dir)
+    logs.write.parquet(f"{base}/logs")
+    files = len(spark.read.parquet(f"{base}/logs").inputFiles())
+    words = _dictionary(spark, sf_dir)
+    stream = spark.readStream.schema(logs.schema).option("maxFilesPerTrigger", -(-files // 3)).parquet(f"{base}/logs")
+    start_parse_stream(stream, seed_state(fx.labelled_examples(spark, sf_dir), words), words, f"{base}/out",
+                       f"{base}/state").awaitTermination()
+    return StreamState(spark, f"{base}/out").parsed()
+
+
+_MORE["stream_parse"] = q_stream_parse
 _MORE["stream_first_messages"] = q_stream_first_messages
 _MORE["stream_first_seen"] = q_stream_first_seen

@@ -11,6 +11,7 @@ import tempfile
 import uuid
 
 from pyspark import StorageLevel
+from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 
 
@@ -115,6 +116,16 @@ def written(df, name: str = "step"):
     return spark.read.schema(df.schema).parquet(path)
 
 
+def read_if_any(spark: SparkSession, path: str, schema):
+    """The Parquet table at ``path``, or an empty one when nothing was written there."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def materialize(df):
     """Persist and compute once; for intermediates used several times within
     one step of an iterative job (state carried across steps uses

@@ -1,3 +1,3 @@
-from .parse_stream import first_seen_keys, start_parse_stream
+from .parse_stream import StreamState, first_seen_keys, parse_batch, start_parse_stream
 
-__all__ = ["first_seen_keys", "start_parse_stream"]
+__all__ = ["StreamState", "first_seen_keys", "parse_batch", "start_parse_stream"]

@@ -1,18 +1,19 @@
 """Structured Streaming parse (ST1) and first-seen key state (ST2).
 
-ST2 keeps, per ``(system, masked)`` key, the earliest message seen so far in
-``applyInPandasWithState`` state and emits a key the first time it appears —
-the streaming form of the reference's matching table.
+ST2 keeps every ``(system, masked)`` key in ``applyInPandasWithState`` state and
+emits it in the batch in which it first appears, with that batch's earliest
+message — the streaming form of the reference's matching table.
 
 ST1 parses a stream of log messages with ``foreachBatch``: each micro-batch
-is reduced to distinct masked keys, resolved against the catalog carried
-from earlier batches (exact key, literal rule, wildcard walk, similar
-template, then labelling of what is left), and its rows are written with
-their template ids under ``<output>/parsed/batch_id=<id>``. The catalog is
-written as a new version ``<output>/catalog/v=<id>`` after every batch, so
-readers pin a version and a replayed batch overwrites only its own output
-(idempotent by batch id). No event-time semantics are involved: the
-reference has none.
+is reduced to distinct masked keys, resolved against the catalog of the batches
+before it (exact key, literal rule, wildcard walk, similar template, then
+labelling of what is left), and its rows are written with their template ids
+under ``<output>/parsed/batch_id=<id>``. What a batch adds to the state — its
+catalog, new entries of the matching table, new slot values — goes to folders
+of its own, and last a row to ``<output>/commits``. A batch begins from the
+state of the commits before it, on a restart too; a replayed batch that was
+committed does nothing, and one that was not overwrites what it left behind. No
+event-time semantics are involved: the reference has none.
 """
 
 from __future__ import annotations
@@ -20,14 +21,16 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..functions.text import correct_message, mask_message
 from ..operators.labelling import truth_labeller
-from ..plans.catalog_parse import CatalogState, distinct_keys, resolve_keys
+from ..operators.matching import resolve_templates
+from ..plans.catalog_parse import CatalogState, distinct_keys, generalised, resolve_keys
+from ..session import read_if_any, written
 
 FIRST_SEEN_OUT = StructType([
     StructField("system", StringType()), StructField("masked", StringType()),
@@ -66,6 +69,72 @@ def first_seen_keys(messages: DataFrame) -> DataFrame:
         _first_seen, FIRST_SEEN_OUT, FIRST_SEEN_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+_COMMITS = "batch bigint, next_round int"
+_UNITS = "system string, round int, seq bigint, li int, label string, pos int, value string"
+_MATCHING = "system string, masked string, template_id bigint"
+
+
+class StreamState:
+    """The state of a streaming parse, as committed under a folder.
+
+    ``commits``: a row per committed batch (the seed is -1); ``catalog/batch=<id>``
+    the catalog after a batch; ``matching/batch=<id>`` and ``units/batch=<id>`` what
+    the batch added. Folders of batches without a commit are not read.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+
+    def commits(self) -> dict[int, int]:
+        """Committed batches and the number of the next round after each; one small row a batch."""
+        rows = read_if_any(self.spark, f"{self.folder}/commits", _COMMITS).collect()
+        return {r.batch: r.next_round for r in rows}
+
+    def before(self, batch: int) -> CatalogState:
+        """The state that ``batch`` begins from."""
+        done = {b: r for b, r in self.commits().items() if b < batch}
+        if not done:
+            raise RuntimeError(f"no committed state under {self.folder}")
+        last = max(done)
+        parts = {t: self.spark.read.schema(s).parquet(*(f"{self.folder}/{t}/batch={b}" for b in sorted(done)))
+                 for t, s in (("matching", _MATCHING), ("units", _UNITS))}
+        catalog = self.spark.read.parquet(f"{self.folder}/catalog/batch={last}")
+        return CatalogState(catalog, parts["matching"], parts["units"], done[last])
+
+    def commit(self, batch: int, catalog: DataFrame, matching: DataFrame, units: DataFrame, next_round: int) -> None:
+        for name, df in (("catalog", catalog), ("matching", matching), ("units", units)):
+            df.write.mode("overwrite").parquet(f"{self.folder}/{name}/batch={batch}")
+        self.spark.createDataFrame([(batch, next_round)], _COMMITS).coalesce(1).write.mode("append").parquet(f"{self.folder}/commits")
+
+    def templates(self) -> DataFrame:
+        """``system, template_id, parsed``: the templates after the last commit."""
+        return self.before(1 << 62).catalog.select("system", "template_id", F.col("final_template").alias("parsed"))
+
+    def parsed(self) -> DataFrame:
+        """``system, seq, parsed`` of the rows of all committed batches."""
+        done = [b for b in sorted(self.commits()) if b >= 0]
+        rows = [f"{self.folder}/parsed/batch_id={b}" for b in done]
+        if not rows:
+            return self.spark.createDataFrame([], "system string, seq bigint, parsed string")
+        return resolve_templates(self.spark.read.parquet(*rows), self.before(1 << 62).catalog).select("system", "seq", "parsed")
+
+
+def parse_batch(df: DataFrame, batch_id: int, folder: StreamState, words: DataFrame,
+                labeller: Callable[[DataFrame], DataFrame] = truth_labeller) -> None:
+    """One micro-batch of ST1 (also to be called by other drivers of batches)."""
+    if batch_id in folder.commits():
+        return
+    truth = correct_message("EventTemplate") if "EventTemplate" in df.columns else F.lit(None).cast("string")
+    rows = written(df.select("system", "seq", correct_message("Content").alias("Content"), truth.alias("EventTemplate"))
+                   .withColumn("masked", mask_message("Content")), "batch")
+    keys = written(distinct_keys(rows.drop("masked"), words), "keys")
+    done = resolve_keys(keys, folder.before(batch_id), words, labeller)
+    catalog, unknown = generalised(done)
+    (rows.select("system", "seq", "masked").join(done.keys, ["system", "masked"], "left")
+     .write.mode("overwrite").parquet(f"{folder.folder}/parsed/batch_id={batch_id}"))
+    folder.commit(batch_id, catalog, done.matching, done.units.unionByName(unknown), done.next_round)
+
+
 def start_parse_stream(messages: DataFrame, state: CatalogState, words: DataFrame, output: str,
                        checkpoint: str, labeller: Callable[[DataFrame], DataFrame] = truth_labeller,
                        trigger: dict | None = None):
@@ -73,22 +142,17 @@ def start_parse_stream(messages: DataFrame, state: CatalogState, words: DataFram
 
     ``messages``: streaming ``system, seq, Content[, EventTemplate]``;
     ``state``: seeded catalog (see :func:`logloom.plans.catalog_parse.seed_state`),
-    updated after every batch; ``output`` and ``checkpoint`` must be shared
-    folders on a cluster.
+    taken when nothing is committed under ``output`` yet; ``output`` and
+    ``checkpoint`` must be shared folders on a cluster. Read the results with
+    :class:`StreamState`.
     """
-    has_truth = "EventTemplate" in messages.columns
+    folder = StreamState(messages.sparkSession, output)
+    if not folder.commits():
+        folder.commit(-1, state.catalog, state.matching, state.units, state.next_round)
+    words = written(words.select("word"), "words")
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        rows = df.select("system", "seq", correct_message("Content").alias("Content"),
-                         (correct_message("EventTemplate") if has_truth else F.lit(None).cast("string"))
-                         .alias("EventTemplate"))
-        keys = distinct_keys(rows, words)
-        res, _, _, _ = resolve_keys(keys, state, words, labeller)
-        out = (rows.select("system", "seq", mask_message("Content").alias("masked"))
-               .join(res, ["system", "masked"], "left"))
-        out.write.mode("overwrite").parquet(f"{output}/parsed/batch_id={batch_id}")
-        state.catalog.write.mode("overwrite").parquet(f"{output}/catalog/v={batch_id}")
+        parse_batch(df, batch_id, folder, words, labeller)
 
     writer = messages.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
-    writer = writer.trigger(**(trigger or {"availableNow": True}))
-    return writer.start()
+    return writer.trigger(**(trigger or {"availableNow": True})).start()
