@@ -106,6 +106,19 @@ def _fold(e: str) -> str:
     return f"list_transform(string_split({e}, ' '), lambda t_: CASE WHEN contains(t_, '<*>') THEN '<*>' ELSE t_ END)"
 
 
+def alike(a: str, b: str) -> str:
+    """Character-set Jaccard of at least 0.8."""
+    ca, cb = d.characters(a), d.characters(b)
+    return (f"len(list_intersect({ca}, {cb})) > 0 AND 5 * len(list_intersect({ca}, {cb})) "
+            f">= 4 * len(list_distinct(list_concat({ca}, {cb})))")
+
+
+def first_fit(ordered: str) -> str:
+    """Leaders among one-element lists in order: each is kept unless it is like a leader before it."""
+    return (f"list_reduce({ordered}, lambda a_, x_: CASE WHEN len(list_filter(a_, lambda l_: {alike('l_', 'x_[1]')})) > 0 "
+            f"THEN a_ ELSE list_concat(a_, x_) END)")
+
+
 def _more() -> dict[str, str]:
     o: dict[str, str] = {}
     o["remove_punctuation"] = _per_row(f"{d.remove_punctuation('Content')} AS value")
@@ -145,12 +158,9 @@ x AS (SELECT token, {d.remove_punctuation('token')} AS s FROM toks)
 SELECT token, (NOT (s = upper(s) AND s <> lower(s))) AND (lower(s) IN (SELECT word FROM dict)
   OR (ends_with(lower(s), 'ed') AND left(lower(s), length(s) - 2) IN (SELECT word FROM dict))) AS is_common FROM x"""
     unc = f"""{DICT},
-tk AS (SELECT system, seq, Content, {msg_tok} AS tokens FROM logs),
-ex AS (SELECT system, seq, unnest(tokens) AS t, generate_subscripts(tokens, 1) AS i FROM tk),
-rare AS (SELECT ex.* FROM ex ANTI JOIN dict ON ex.t = dict.word),
-kept AS (SELECT system, seq, list(t ORDER BY i) AS unc FROM rare GROUP BY system, seq),
-u AS (SELECT tk.system, tk.seq, tk.tokens, coalesce(kept.unc, []) AS unc
-      FROM tk LEFT JOIN kept ON tk.system = kept.system AND tk.seq = kept.seq)"""
+dl AS (SELECT coalesce(list(word), []) AS dl FROM dict),
+tk AS (SELECT system, seq, {msg_tok} AS tokens FROM logs),
+u AS (SELECT system, seq, tokens, list_filter(tokens, lambda t_: NOT list_contains(dl, t_)) AS unc FROM tk, dl)"""
     o["uncommon_tokens"] = (f"WITH {LOGS}, {unc} SELECT system, seq, array_to_string(unc, {SEP}) AS value, "
                             f"len(unc)::BIGINT AS n, (len(tokens) = 1 OR len(unc) = 0) AS is_literal FROM u")
     o["distinct_uncommon_tokens"] = (f"WITH {LOGS}, {unc} SELECT system, seq, array_to_string(list_filter(unc, "
@@ -169,6 +179,21 @@ u AS (SELECT system, seq, list_filter(tokens, lambda t_: NOT list_contains(dl, t
 g AS (SELECT system, min(seq) AS seq, unc FROM u GROUP BY system, unc)"""
     o["candidate_groups"] = f"WITH {LOGS}, {groups} SELECT system, seq, array_to_string(unc, {SEP}) AS uncommon FROM g"
     o["distinct_uncommon"] = f"WITH {LOGS}, {groups} SELECT DISTINCT system, unnest(unc) AS token FROM g"
+    clusters = f"""{groups},
+toks AS (SELECT DISTINCT system, unnest(unc) AS token FROM g),
+led AS (SELECT system, {first_fit("list([token] ORDER BY token)")} AS leaders FROM toks GROUP BY system),
+cl AS (SELECT t.system, t.token, list_filter(leaders, lambda l_: {alike("l_", "t.token")})[1] AS leader
+  FROM toks t JOIN led ON t.system = led.system),
+occ AS (SELECT x.system, x.seq, x.token, list_position(tk.tokens, x.token) AS pos, cl.leader
+  FROM (SELECT system, seq, unnest(unc) AS token FROM g) x JOIN tk ON x.system = tk.system AND x.seq = tk.seq
+  JOIN cl ON x.system = cl.system AND x.token = cl.token),
+np AS (SELECT system, leader, count(DISTINCT pos) AS n_positions FROM occ GROUP BY system, leader)"""
+    o["token_clusters"] = f"WITH {LOGS}, {clusters} SELECT system, token, leader, token = leader AS is_leader FROM cl"
+    o["cluster_positions"] = f"WITH {LOGS}, {clusters} SELECT system, leader, n_positions FROM np"
+    o["contribution_scores"] = f"""WITH {LOGS}, {clusters}
+SELECT g.system, g.seq, coalesce(w.score, 0)::BIGINT AS score FROM g LEFT JOIN (SELECT occ.system, occ.seq, sum(n_positions) AS score
+  FROM occ JOIN np ON occ.system = np.system AND occ.leader = np.leader GROUP BY occ.system, occ.seq) w
+ON g.system = w.system AND g.seq = w.seq"""
     o["prefix_sample"] = (f"WITH {LOGS} SELECT system, seq FROM (SELECT system, seq, row_number() OVER "
                           f"(PARTITION BY system ORDER BY seq) AS rn, count(*) OVER (PARTITION BY system) AS n FROM logs) x "
                           f"WHERE rn <= floor(0.2::DOUBLE * n)")
@@ -253,94 +278,12 @@ SELECT system, masked, min(seq) AS seq, arg_min(c, seq) AS msg FROM m2 GROUP BY
     return o
 
 
-# Labelled rows with the repaired response (F11) as ``resp``.
-REPAIRED = f"""b AS ({branches_sql()}),
-r0 AS (SELECT system, seq, {d.correct_message('Content')} AS msg, Labelled AS resp FROM b),
-r1 AS (SELECT system, seq, msg, {d.words(d.rule_chain("CASE WHEN contains(resp, msg) THEN msg ELSE resp END"))} AS ws FROM r0),
-r2 AS (SELECT system, seq, msg, {d.rule_tokens('ws')} AS lab FROM r1),
-r3 AS (SELECT system, seq, msg, lab, {d.words('lab')} AS t, {d.words('msg')}[1] AS first FROM r2),
-rep AS (SELECT system, seq, msg, CASE WHEN len(t) > 0 AND len(list_filter(t, lambda x_: NOT regexp_matches(x_, '\\{{.*\\}}'))) = 0
-  AND first IS NOT NULL AND NOT regexp_matches(first, '\\p{{Nd}}')
-  THEN array_to_string(list_prepend(first, t[2:]), ' ') ELSE lab END AS resp FROM r3)"""
-
-
-def _captures(src: str) -> str:
-    """E1 as one anchored regex a slot: CTE ``caps(system, seq, k, label, value, start)`` of ``src(system, seq, msg, resp)``."""
-    any_ = "'[\\s\\S]*'"
-    esc = "lambda x_: regexp_escape(x_)"
-    return f"""c0 AS (SELECT system, seq, msg, regexp_extract_all(resp, '\\{{(.*?)\\}}', 1) AS labels,
-  list_transform(regexp_split_to_array(resp, '\\{{.*?\\}}'), {esc}) AS lits FROM {src}),
-c1 AS (SELECT * FROM c0 WHERE len(labels) BETWEEN 1 AND 30
-       AND regexp_matches(msg, '^' || array_to_string(lits, {any_}))),
-c2 AS (SELECT system, seq, msg, k, labels[k] AS label, '^(' || array_to_string(lits[:k], {any_}) || ')([\\s\\S]*)'
-  || array_to_string(lits[k + 1:], {any_}) AS pat FROM c1, generate_series(1, 30) g(k) WHERE k <= len(labels)),
-caps AS (SELECT system, seq, msg, CAST(k - 1 AS BIGINT) AS k, label, regexp_extract(msg, pat, 2) AS value,
-  CAST(length(regexp_extract(msg, pat, 1)) AS BIGINT) AS start FROM c2)"""
-
-
-def _corrected() -> str:
-    """CTEs ``slots`` (first value of each label, with ``err``) and ``fixed(system, seq, corrected, labels)``."""
-    return f"""{_captures('rep')},
-firsts AS (SELECT system, seq, label, min(k) AS k, arg_min(value, k) AS value FROM caps GROUP BY system, seq, label),
-vals AS (SELECT DISTINCT value, {d.remove_punctuation('value')} AS s FROM firsts),
-common AS (SELECT value FROM vals WHERE NOT (s = upper(s) AND s <> lower(s)) AND (lower(s) IN (SELECT word FROM dict)
-  OR (ends_with(lower(s), 'ed') AND left(lower(s), length(s) - 2) IN (SELECT word FROM dict)))),
-slots AS (SELECT *, lower(label) = lower(value) OR lower(label) = 'label' OR {d.remove_punctuation('label')} = ''
-  OR {d.remove_punctuation('value')} = '' OR len({d.words('value')}) >= 9
-  OR value IN (SELECT value FROM common) AS err FROM firsts),
-per AS (SELECT system, seq, list({{'l': label, 'v': value}} ORDER BY k) FILTER (WHERE err) AS bad,
-  list(label ORDER BY k) FILTER (WHERE NOT err) AS good FROM slots GROUP BY system, seq),
-fixed AS (SELECT rep.system, rep.seq, coalesce(good, []) AS good, CASE WHEN per.seq IS NULL THEN msg
-  ELSE list_reduce(list_prepend({{'l': '', 'v': resp}}, coalesce(bad, [])),
-    lambda a_, x_: {{'l': '', 'v': replace(a_.v, '{{' || x_.l || '}}', x_.v)}}).v END AS corrected
-  FROM rep LEFT JOIN per ON rep.system = per.system AND rep.seq = per.seq)"""
-
-
-def _catalog() -> dict[str, str]:
-    o: dict[str, str] = {}
-    raw = f"b AS ({branches_sql()}), raw AS (SELECT system, seq, {d.correct_message('Content')} AS msg, Labelled AS resp FROM b)"
-    o["slot_capture"] = f"""WITH {raw}, {_captures('raw')},
-w AS (SELECT system, seq, {d.words('msg')} AS ws FROM raw),
-tk AS (SELECT system, seq, i - 1 AS i, list_sum(list_transform(ws[:i - 1], lambda x_: length(x_) + 1)) AS ts, length(ws[i]) AS n
-  FROM w, LATERAL (SELECT unnest(generate_series(1, len(ws))) AS i)),
-spans AS (SELECT system, seq, i, coalesce(ts, 0) AS ts, coalesce(ts, 0) + n AS te FROM tk),
-hit AS (SELECT DISTINCT c.system, c.seq, l.label, spans.i FROM caps c JOIN spans ON c.system = spans.system AND c.seq = spans.seq
-  AND c.start <= spans.te AND c.start + length(c.value) >= spans.ts
-  JOIN caps l ON l.system = c.system AND l.seq = c.seq AND l.value = c.value),
-pos AS (SELECT system, seq, label, string_agg(CAST(i AS VARCHAR), ',' ORDER BY i) AS positions FROM hit GROUP BY system, seq, label)
-SELECT caps.system, caps.seq, caps.k, caps.label, caps.value, caps.start, pos.positions FROM caps
-LEFT JOIN pos ON caps.system = pos.system AND caps.seq = pos.seq AND caps.label = pos.label"""
-    o["slot_correction"] = f"""WITH {LOGS}, {DICT}, {REPAIRED}, {_corrected()},
-f1 AS (SELECT *, {d.words(d.rule_chain('corrected'))} AS ws FROM fixed),
-f2 AS (SELECT *, {d.rule_tokens('ws')} AS ruled FROM f1)
-SELECT system, seq, corrected AS labelled, {d.canonical_template('ruled')} AS template,
-  array_to_string(good, ',') AS labels FROM f2"""
-    chars = d.characters("value")
-    o["variable_units"] = f"""WITH {LOGS}, {DICT}, {REPAIRED}, {_corrected()},
-units AS (SELECT c.system, c.seq, c.label, c.value, row_number() OVER (PARTITION BY c.system, c.seq, c.label ORDER BY c.k) - 1 AS pos
-  FROM caps c JOIN slots s ON c.system = s.system AND c.seq = s.seq AND c.label = s.label WHERE NOT s.err),
-fst AS (SELECT system, label, min(seq) AS seq FROM units GROUP BY system, label),
-cand AS (SELECT u.system, u.label, u.value, min({{'seq': u.seq, 'pos': u.pos}}) AS pl FROM units u
-  JOIN fst ON u.system = fst.system AND u.label = fst.label WHERE u.seq <> fst.seq OR u.pos = 0 GROUP BY u.system, u.label, u.value),
-sets AS (SELECT system, label, value, pl, list_sort(list_distinct({chars})) AS cs FROM cand),
-one AS (SELECT system, label, arg_min(value, {{'pl': pl, 'value': value}}) AS value, min({{'pl': pl, 'value': value}}) AS o
-  FROM sets GROUP BY system, label, cs),
-seqs AS (SELECT system, label, list([value] ORDER BY o) AS vs FROM one GROUP BY system, label),
-led AS (SELECT system, label, list_reduce(vs, lambda a_, x_: CASE WHEN len(list_filter(a_, lambda l_:
-  5 * len(list_intersect(string_split(l_, ''), string_split(x_[1], '')))
-  >= 4 * len(list_distinct(list_concat(string_split(l_, ''), string_split(x_[1], '')))))) > 0
-  THEN a_ ELSE list_concat(a_, x_) END) AS symbols FROM seqs),
-n AS (SELECT system, label, count(DISTINCT lower(value)) AS n_values FROM units GROUP BY system, label)
-SELECT n.system, n.label, n.n_values::BIGINT AS n_values, array_to_string(led.symbols, {SEP}) AS symbols
-FROM n LEFT JOIN led ON n.system = led.system AND n.label = led.label"""
-    return o
-
-
 oracles_base = oracles
 
 
 def oracles() -> dict[str, str]:  # noqa: F811
     out = oracles_base()
     out.update(_more())
-    out.update(_catalog())
+    from .catalog_oracles import catalog_oracles
+    out.update(catalog_oracles())
     return out

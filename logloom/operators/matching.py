@@ -23,7 +23,7 @@ import uuid
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.similarity import edit_similarity, jaccard
+from ..functions.similarity import characters, edit_similarity, jaccard
 from ..functions.text import WILDCARD, star_digits
 from ..session import ensure_checkpoint_dir, written
 
@@ -234,25 +234,32 @@ def relevant_variables(keys: DataFrame, units: DataFrame, uncommon_col: str = "u
     ``unknown*`` labels and empty symbols are skipped; a later token overwrites
     a label's symbol.
 
-    ``units``: ``system, label, symbols, first_use`` (A10).
+    ``units``: ``system, label, symbols, first_use`` (A10), best stored. Each
+    distinct token of a system is compared once. Sets of n characters with a
+    Jaccard of 0.5 share one of their first n - ceil(n / 2) + 1 characters, in
+    any fixed order, and neither has over twice the other's size; the order is
+    from the highest code point, so digits' stars and ``e`` seldom decide.
     """
+    def with_prefix(df: DataFrame, text: str) -> DataFrame:
+        chars = F.sort_array(F.array_distinct(characters(text)), asc=False)
+        n = F.size("chars")
+        return df.withColumn("chars", chars).withColumn("n", n).withColumn(
+            "ch", F.explode(F.slice("chars", F.lit(1), n - F.ceil(n / 2).cast("int") + 1)))
+
     sym = (units.where(~F.col("label").startswith("unknown"))
            .select("system", "label", "first_use", F.posexplode("symbols").alias("spos", "symbol"))
-           .where(F.col("symbol") != "")
-           .withColumn("masked_symbol", star_digits("symbol")))
-    tok = keys.select("system", "masked", F.posexplode(uncommon_col).alias("tpos", "token"))
-    # blocking: Jaccard >= 0.5 needs a shared character
-    tch = tok.select("system", "masked", "tpos", "token", F.explode(F.array_distinct(F.split("token", ""))).alias("ch"))
-    sch = sym.select("system", "label", "first_use", "spos", "symbol", "masked_symbol",
-                     F.explode(F.array_distinct(F.split("masked_symbol", ""))).alias("ch"))
-    pairs = tch.join(sch, ["system", "ch"]).drop("ch").dropDuplicates(["system", "masked", "tpos", "label", "spos"])
-    chars = F.array_distinct(F.split("token", ""))
-    pairs = pairs.withColumn("score", jaccard(chars, F.array_distinct(F.split("masked_symbol", ""))))
-    best = (pairs.groupBy("system", "masked", "tpos")
-            .agg(F.min_by(F.struct("label", "symbol", "score"),
-                          F.struct(-F.col("score"), F.col("first_use"), F.col("label"), F.col("spos"))).alias("b"))
-            .where(F.col("b.score") >= 0.5))
-    last = (best.groupBy("system", "masked", F.col("b.label").alias("label"))
+           .where(F.col("symbol") != ""))
+    sch = with_prefix(sym.withColumn("starred", star_digits("symbol")), "starred").select(
+        "system", "ch", F.col("n").alias("sn"), F.col("chars").alias("schars"), "label", "first_use", "spos", "symbol")
+    tok = (keys.join(sym.select("system").distinct(), "system", "left_semi")
+           .select("system", "masked", F.posexplode(uncommon_col).alias("tpos", "token")))
+    tch = with_prefix(tok.select("system", "token").distinct(), "token")
+    # exploded sides look smaller to the planner than they are: no broadcast here
+    pairs = (tch.hint("merge").join(sch, ["system", "ch"]).where((F.col("sn") <= 2 * F.col("n")) & (F.col("n") <= 2 * F.col("sn")))
+             .withColumn("score", jaccard("chars", "schars")).where("score >= 0.5"))
+    best = pairs.groupBy("system", "token").agg(
+        F.min_by(F.struct("label", "symbol"), F.struct(-F.col("score"), F.col("first_use"), F.col("label"), F.col("spos"))).alias("b"))
+    last = (tok.hint("merge").join(best, ["system", "token"]).groupBy("system", "masked", F.col("b.label").alias("label"))
             .agg(F.max_by(F.col("b.symbol"), F.col("tpos")).alias("symbol"), F.min("tpos").alias("first_pos")))
     return (last.groupBy("system", "masked")
             .agg(F.transform(F.array_sort(F.collect_list(F.struct("first_pos", "label", "symbol"))),

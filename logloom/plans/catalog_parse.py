@@ -153,7 +153,7 @@ def resolve_keys(keys: DataFrame, state: CatalogState, words: DataFrame,
         known = units[0]
         for u in units[1:]:
             known = known.unionByName(u)
-        prompts = build_prompts(reps, relevant_variables(reps, variable_units(known)), reference_example(reps, catalog))
+        prompts = build_prompts(reps, relevant_variables(reps, written(variable_units(known), "symbols")), reference_example(reps, catalog))
         answers = written(labeller(prompts), "answers")
         invoc_time += time.time() - t0
         if _empty(answers):

@@ -427,7 +427,7 @@ def q_reference_example(spark, sf_dir):
 
 def q_relevant_variables(spark, sf_dir):
     _, _, units = _seed_catalog(spark, sf_dir)
-    hints = MT.relevant_variables(_keys(spark, sf_dir), CT.variable_units(units))
+    hints = MT.relevant_variables(_keys(spark, sf_dir), written(CT.variable_units(units), "symbols"))
     return hints.select("system", "masked", F.array_join(F.transform(
         "hints", lambda h: F.concat(h["label"], F.lit("="), h["symbol"])), SEP).alias("hints"))
 
@@ -435,7 +435,7 @@ def q_relevant_variables(spark, sf_dir):
 def q_labelling_prompts(spark, sf_dir):
     cat, _, units = _seed_catalog(spark, sf_dir)
     keys = _keys(spark, sf_dir)
-    p = LB.build_prompts(keys, MT.relevant_variables(keys, CT.variable_units(units)), MT.reference_example(keys, cat))
+    p = LB.build_prompts(keys, MT.relevant_variables(keys, written(CT.variable_units(units), "symbols")), MT.reference_example(keys, cat))
     return p.select("system", "masked", "instruction", "prompt")
 
 
