@@ -52,7 +52,8 @@ def oracles() -> dict[str, str]:
     o["rule_parse_metrics"] = f"WITH {RULE_PARSED},\n{_metrics_from('parsed_rows')}"
     o["log_view"] = log_view_sql()
     o["labelled_examples"] = examples_sql()
-    o["correct_message"] = f"WITH {TEXTS} SELECT system, seq, {d.correct_message('Content')} AS value FROM texts"
+    o["correct_message"] = f"""WITH {LOGS}, {TEXTS} SELECT system, seq, {d.correct_message('Content')} AS value
+FROM (SELECT system, seq, Content FROM logs UNION ALL SELECT system, seq, Content FROM texts) x"""
     o["mask_message"] = f"""WITH {LOGS}, {TEXTS},
 src AS (SELECT system, seq, Content FROM logs UNION ALL SELECT system, seq, Content FROM texts),
 m1 AS (SELECT system, seq, string_split(trim({d.mask_chain('Content')}), ' ') AS tk FROM src)
@@ -266,7 +267,7 @@ SELECT system, round(avg(i / (len(ta) + len(tb) - i))::DOUBLE, 6) AS SA FROM s3
 SELECT system AS Dataset, 0.0::DOUBLE AS parse_time, 0.0::DOUBLE AS invoc_time, 0::BIGINT AS invoc_num,
   0.0::DOUBLE AS invoc_token, identified_templates, ground_templates, GA, PA, FGA, PTA, RTA, FTA FROM base"""
     o["stream_first_seen"] = f"""WITH {LOGS},
-s AS (SELECT system, seq, {d.correct_message('Content')} AS c FROM logs WHERE system IN ('events', 'orders')),
+s AS (SELECT system, seq, {d.correct_message('Content')} AS c FROM logs),
 m1 AS (SELECT system, string_split(trim({d.mask_chain('c')}), ' ') AS tk FROM s),
 m2 AS (SELECT system, trim(array_to_string({d.dedup_adjacent('tk')}, ' ')) AS masked FROM m1)
 SELECT DISTINCT system, masked FROM m2"""

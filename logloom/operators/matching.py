@@ -158,28 +158,45 @@ def dfs_order(catalog: DataFrame) -> DataFrame:
                              lambda s: s["first_id"]).alias("dfs")))
 
 
+def similar_candidates(failed: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Pairs ``system, masked, template_id`` that J4 has to look at, and all it may take.
+
+    A masked similarity of 0.8 needs ``ceil(0.8 n)`` of the template's n different
+    tokens in the message; ``<*>`` may stand for masked ones, literals must occur.
+    So a pair shares one of the template's first literals, all but as many as may
+    be missing, in any fixed order: longest first, as long tokens are rare.
+    Templates without literals are the lone ``<*>``; P4 then wants an edit
+    similarity of 0.8, so lengths must agree within that.
+    """
+    t = catalog.where("indexed").select("system", "template_id", "example", F.array_distinct("tokens").alias("set"))
+    literals = F.filter("set", lambda x: x != WILDCARD)
+    ordered = F.transform(F.array_sort(F.transform(literals, lambda x: F.struct((-F.length(x)).alias("l"), x.alias("x")))),
+                          lambda s: s["x"])
+    n, star = F.size("set"), F.array_contains("set", WILDCARD).cast("int")
+    # 5 * found >= 4 * n, in integers
+    needed = F.floor((4 * n + 4) / 5).cast("int") - star
+    first = t.where(needed > 0).select("system", "template_id", F.explode(
+        F.slice(ordered, F.lit(1), n - star - needed + 1)).alias("token"))
+    words = failed.select("system", "masked", F.explode(F.array_distinct("tokens")).alias("token"))
+    by_token = words.hint("merge").join(first, ["system", "token"]).select("system", "masked", "template_id")
+    size = F.length("example")
+    lone = t.where(needed <= 0).select("system", "template_id", F.explode(F.sequence(
+        F.ceil(size * 0.8).cast("int"), F.floor(size / 0.8).cast("int"))).alias("size"))
+    by_size = failed.select("system", "masked", F.length("msg").alias("size")).join(lone, ["system", "size"])
+    return by_token.unionByName(by_size.select("system", "masked", "template_id")).distinct()
+
+
 def match_similar(failed: DataFrame, catalog: DataFrame) -> DataFrame:
     """For keys the tree failed on, the first template in DFS order under
     the failing node that passes P4 and has masked similarity (M5) >= 0.8.
 
-    ``failed``: ``system, masked, msg, tokens, fail_node``. Root failures are
-    blocked on the second token (the only P4 condition that can hold there)
-    plus the single-``<*>`` templates.
+    ``failed``: ``system, masked, msg, tokens, fail_node``.
     """
-    _, _, pref = tree_tables(catalog)
     order = dfs_order(catalog)
     cat = catalog.where("indexed").select(
         "system", "template_id", F.col("tokens").alias("ttok"), F.col("example"), "label_positions")
-    deep = failed.where(F.size("fail_node") > 0)
-    root = failed.where(F.size("fail_node") == 0)
-    sub = pref.select("system", F.col("node").alias("fail_node"), "template_id")
-    c_deep = deep.join(sub, ["system", "fail_node"])
-    second = cat.select("system", "template_id", F.get("ttok", 1).alias("t1")).where(F.col("t1").isNotNull())
-    c_root = root.withColumn("t1", F.get("tokens", 1)).join(second, ["system", "t1"]).drop("t1")
-    lone = cat.where(F.col("ttok") == F.array(F.lit(WILDCARD))).select("system", "template_id")
-    c_lone = root.join(lone, "system")
-    cand = (c_deep.unionByName(c_root).unionByName(c_lone).dropDuplicates(["system", "masked", "template_id"])
-            .join(cat, ["system", "template_id"]))
+    cand = (similar_candidates(failed, catalog).join(failed, ["system", "masked"]).join(cat, ["system", "template_id"])
+            .where(F.slice("ttok", F.lit(1), F.size("fail_node")) == F.col("fail_node")))
     lt, tt = F.col("tokens"), F.col("ttok")
     p4 = (F.get(lt, 0) == F.get(tt, 0)) | F.when(
         F.size(tt) == 1,

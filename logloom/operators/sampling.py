@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import written
 from .cluster import leader_cluster
 from .dedup import candidate_groups, distinct_uncommon
 
@@ -83,34 +83,39 @@ def diversified_sample(groups: DataFrame, clusters: DataFrame, max_shot: int = 3
 
     Round r picks, per system, the unpicked log with the largest gain (ties to
     the smallest ``seq``); a log's gain counts only clusters no picked log
-    covers. At most ``max_shot`` rounds; the per-round picks (one row per
-    system) are the only data brought to the driver.
+    covers. A round reads only the weights of clusters that are still uncovered
+    and stores those that stay so, so the table shrinks with every pick. When
+    nothing is left to gain in a system, its remaining picks are its first
+    unpicked logs: they are taken together, without further rounds. The
+    per-round picks (one row per system) are the only data brought to the driver.
     """
     spark = groups.sparkSession
-    weights = cut_lineage(contribution_weights(groups, clusters))
-    logs = cut_lineage(groups.select("system", "seq"))
+    left = written(contribution_weights(groups, clusters), "weights")
     picks: list[tuple[str, int, int]] = []
     schema = "system string, seq bigint, pick int"
     for r in range(max_shot):
-        picked = spark.createDataFrame(picks, schema)
-        covered = weights.join(F.broadcast(picked), ["system", "seq"], "left_semi").select("system", "leader").distinct()
-        gains = (weights.join(covered, ["system", "leader"], "left_anti")
-                 .groupBy("system", "seq").agg(F.sum("w").alias("gain")))
-        cand = (logs.join(F.broadcast(picked), ["system", "seq"], "left_anti")
-                .join(gains, ["system", "seq"], "left")
-                .select("system", "seq", F.coalesce("gain", F.lit(0)).alias("gain")))
-        best = cand.groupBy("system").agg(F.max_by("seq", F.struct(F.col("gain"), -F.col("seq"))).alias("seq"))
-        rows = best.collect()
+        gains = left.groupBy("system", "seq").agg(F.sum("w").alias("gain")).where("gain > 0")
+        rows = gains.groupBy("system").agg(F.max_by("seq", F.struct(F.col("gain"), -F.col("seq"))).alias("seq")).collect()
         if not rows:
             break
-        picks.extend((row["system"], row["seq"], r) for row in rows)
+        new = [(row["system"], row["seq"], r) for row in rows]
+        picks.extend(new)
+        # at most one row per system
+        covered = left.join(F.broadcast(spark.createDataFrame(new, schema)), ["system", "seq"], "left_semi")
+        left = written(left.join(covered.select("system", "leader").distinct(), ["system", "leader"], "left_anti"), "weights")
+    # at most max_shot rows per system
     picked = spark.createDataFrame(picks, schema)
-    return groups.join(F.broadcast(picked), ["system", "seq"])
+    done = picked.groupBy("system").agg(F.count(F.lit(1)).alias("_done"))
+    rest = groups.select("system", "seq").join(F.broadcast(picked), ["system", "seq"], "left_anti")
+    rest = head_per_system(rest, max_shot).join(F.broadcast(done), "system", "left")
+    place = F.row_number().over(Window.partitionBy("system").orderBy("seq")) - 1 + F.coalesce("_done", F.lit(0))
+    fill = rest.select("system", "seq", place.cast("int").alias("pick")).where(F.col("pick") < max_shot)
+    return groups.join(F.broadcast(picked.unionByName(fill)), ["system", "seq"])
 
 
 def sample_examples(logs: DataFrame, words: DataFrame, max_shot: int = 32, fraction: float = 0.2) -> DataFrame:
     """Entry B: prefix -> candidate groups -> clusters -> diversified sample."""
     prefix = prefix_sample(logs, fraction)
-    groups = cut_lineage(candidate_groups(prefix, words))
-    clusters = cut_lineage(token_clusters(groups))
+    groups = written(candidate_groups(prefix, words), "groups")
+    clusters = written(token_clusters(groups), "clusters")
     return diversified_sample(groups, clusters, max_shot)

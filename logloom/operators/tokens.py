@@ -48,18 +48,22 @@ def uncommon_tokens(df: DataFrame, keys: list[str], tokens_col: str, words: Data
     """The tokens of ``tokens_col`` not in the dictionary (case-sensitive),
     in order and with duplicates (``distinct`` keeps first occurrences).
 
-    Exploded tokens are flagged by a left join with the dictionary and folded
-    back per key; every input row survives (``posexplode_outer``).
+    ``keys`` identify a row. Exploded tokens are flagged by a left join with the
+    dictionary and folded back per key; the row itself travels with its first
+    token, so the input is read once and nothing is joined back. Every input row
+    survives (``posexplode_outer``).
     """
     w = words.select(F.col("word").alias("_tok"), F.lit(True).alias("_common")).distinct()
-    exploded = df.select(*keys, F.posexplode_outer(tokens_col).alias("_pos", "_tok"))
-    flagged = exploded.join(w, "_tok", "left")
+    rest = [c for c in df.columns if c not in keys]
+    exploded = df.select(*keys, F.struct(*rest).alias("_row"), F.posexplode_outer(tokens_col).alias("_pos", "_tok"))
+    row = F.when(F.coalesce("_pos", F.lit(0)) == 0, F.col("_row"))
+    flagged = exploded.select(*keys, "_pos", "_tok", row.alias("_row")).join(w, "_tok", "left")
     keep = F.when(F.col("_tok").isNotNull() & F.col("_common").isNull(), F.struct("_pos", "_tok"))
-    folded = flagged.groupBy(*keys).agg(F.collect_list(keep).alias("_u"))
+    folded = flagged.groupBy(*keys).agg(F.collect_list(keep).alias("_u"), F.first("_row", ignorenulls=True).alias("_row"))
     arr = F.transform(F.array_sort("_u"), lambda s: s["_tok"])
     if distinct:
         arr = F.array_distinct(arr)
-    return df.join(folded.select(*keys, arr.alias(out)), keys, "left")
+    return folded.select(*(F.col(c) if c in keys else F.col("_row")[c].alias(c) for c in df.columns), arr.alias(out))
 
 
 def literal_flag(tokens_col: str, uncommon_col: str) -> F.Column:

@@ -38,7 +38,7 @@ def q_labelled_examples(spark, sf_dir):
 
 
 def q_correct_message(spark, sf_dir):
-    return fx.text_view(spark, sf_dir).select("system", "seq", T.correct_message("Content").alias("value"))
+    return _logs_and_texts(spark, sf_dir).select("system", "seq", T.correct_message("Content").alias("value"))
 
 
 def q_mask_message(spark, sf_dir):
@@ -496,9 +496,8 @@ def _first_messages(spark, logs):
 
 
 def q_stream_first_seen(spark, sf_dir):
-    """Keys of events and orders, as the oracle has them."""
-    logs = fx.log_view(spark, sf_dir).where(F.col("system").isin("events", "orders"))
-    return _first_messages(spark, logs).select("system", "masked")
+    """Every key of the whole log view."""
+    return _first_messages(spark, fx.log_view(spark, sf_dir)).select("system", "masked")
 
 
 def q_stream_first_messages(spark, sf_dir):

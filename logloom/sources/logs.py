@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import correct_message
@@ -17,11 +17,21 @@ CSV_OPTIONS = {"header": "true", "escape": '"', "quote": '"', "mode": "PERMISSIV
 
 
 def _with_seq(df: DataFrame, system: str | None) -> DataFrame:
-    """Arrival order: file splits are read in order and ids grow within and
-    across partitions, so ``monotonically_increasing_id`` is a valid ``seq``
-    (dense numbering is never needed: only the order is used)."""
+    """Arrival order: rows count from 0 in each system, by path of the list, file
+    and place in the file.
+
+    Spark packs file splits into tasks by size, so row ids alone don't follow the
+    files. Ids do grow within a split: each split's smallest id and size are
+    counted (one row a split), and a running sum over the splits places them.
+    """
     sys_col = F.lit(system) if system else F.regexp_extract("_file", r"([^/]+?)(_[^/]*)?\.csv$", 1)
-    return df.select(sys_col.alias("system"), F.monotonically_increasing_id().alias("seq"), "Content", "EventTemplate")
+    rows = df.withColumn("system", sys_col).withColumn("_id", F.monotonically_increasing_id())
+    split = ["system", "_path", "_file", "_start"]
+    before = Window.partitionBy("system").orderBy(*split[1:]).rowsBetween(Window.unboundedPreceding, -1)
+    splits = rows.groupBy(*split).agg(F.min("_id").alias("_low"), F.count(F.lit(1)).alias("_n")).select(
+        *split, "_low", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return rows.join(splits, split).select(
+        "system", (F.col("_before") + F.col("_id") - F.col("_low")).alias("seq"), "Content", "EventTemplate")
 
 
 def read_structured_logs(spark: SparkSession, path: str | list[str], system: str | None = None,
@@ -30,11 +40,14 @@ def read_structured_logs(spark: SparkSession, path: str | list[str], system: str
     are kept, other columns are pruned), both normalised with F1.
 
     Each path of a list is read by its own header; files of one path must share
-    theirs (Spark raises an error where they don't). ``seq`` follows the list.
+    theirs (Spark raises an error where they don't). ``seq`` follows the list, then
+    the file names, then the rows of a file.
     """
     paths = [path] if isinstance(path, str) else list(path)
     reader = spark.read.options(**CSV_OPTIONS).option("multiLine", str(multiline).lower())
-    frames = [reader.csv(p).select("Content", "EventTemplate", F.input_file_name().alias("_file")) for p in paths]
+    frames = [reader.csv(p).select(
+        "Content", "EventTemplate", F.lit(i).alias("_path"), F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_start")) for i, p in enumerate(paths)]
     df = _with_seq(reduce(DataFrame.unionByName, frames), system)
     if normalise:
         df = df.withColumn("Content", correct_message("Content")).withColumn(
