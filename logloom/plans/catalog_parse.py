@@ -45,8 +45,9 @@ def distinct_keys(logs: DataFrame, words: DataFrame) -> DataFrame:
         F.min_by(F.struct("seq", "Content", "EventTemplate"), F.col("seq")).alias("f"))
     keys = first.select("system", "masked", F.col("f.seq").alias("seq"), F.col("f.Content").alias("msg"),
                         F.col("f.EventTemplate").alias("truth"))
-    keys = keys.withColumn("tokens", tokens("msg"))
-    return uncommon_tokens(keys, ["system", "masked"], "tokens", words)
+    # a masked key can be a whole text: its tokens go by a number
+    keys = written(keys.withColumn("tokens", tokens("msg")).withColumn("_key", F.monotonically_increasing_id()), "first")
+    return uncommon_tokens(keys, ["_key"], "tokens", words).drop("_key")
 
 
 class CatalogState(NamedTuple):
