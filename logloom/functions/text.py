@@ -30,14 +30,16 @@ MESSAGE_REWRITES = [
     ("invalid user from", "invalid_user from"),
 ]
 # mask_message patterns, in this order (path, email, direction, MAC,
-# digit-bearing word, site, weekday, month):
+# digit-bearing word, site, weekday, month). A match of the three with a
+# lookbehind can only begin where it says; saying so spares a long word a new
+# attempt at each of its characters.
 MASK_PATTERNS = [
     r"/\S+",
-    r"\w+@\S+",
+    r"(?<!\w)\w+@\S+",
     r"(\w\+|\w-)",
     r"(\w{2}:){5}\w{2}",
-    r"\S*\d\S*",
-    r"\S+\.(com|net|\w{2})",
+    r"(?<!\S)\S*\d\S*",
+    r"(?<!\S)\S+\.(com|net|\w{2})",
     "(" + "|".join(WEEKDAYS) + ")",
     "(" + "|".join(MONTHS) + ")",
 ]

@@ -38,15 +38,19 @@ from ..operators.tokens import uncommon_tokens
 from ..session import cap_plan_strings, written
 
 
-def distinct_keys(logs: DataFrame, words: DataFrame) -> DataFrame:
-    """Distinct masked keys with their earliest message, its tokens and uncommon tokens."""
+def masked_keys(logs: DataFrame) -> DataFrame:
+    """Distinct masked keys with their earliest message and its tokens."""
     keyed = logs.withColumn("masked", mask_message("Content"))
     first = keyed.groupBy("system", "masked").agg(
         F.min_by(F.struct("seq", "Content", "EventTemplate"), F.col("seq")).alias("f"))
-    keys = first.select("system", "masked", F.col("f.seq").alias("seq"), F.col("f.Content").alias("msg"),
-                        F.col("f.EventTemplate").alias("truth"))
+    return first.select("system", "masked", F.col("f.seq").alias("seq"), F.col("f.Content").alias("msg"),
+                        F.col("f.EventTemplate").alias("truth"), tokens("f.Content").alias("tokens"))
+
+
+def distinct_keys(logs: DataFrame, words: DataFrame) -> DataFrame:
+    """:func:`masked_keys` with their uncommon tokens. ``words`` is best stored."""
     # a masked key can be a whole text: its tokens go by a number
-    keys = written(keys.withColumn("tokens", tokens("msg")).withColumn("_key", F.monotonically_increasing_id()), "first")
+    keys = written(masked_keys(logs).withColumn("_key", F.monotonically_increasing_id()), "first")
     return uncommon_tokens(keys, ["_key"], "tokens", words).drop("_key")
 
 

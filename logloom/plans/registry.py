@@ -350,7 +350,7 @@ from ..operators import catalog as CT  # noqa: E402
 from ..operators import labelling as LB  # noqa: E402
 from ..operators import matching as MT  # noqa: E402
 from ..session import written  # noqa: E402
-from .catalog_parse import distinct_keys, parse_logs  # noqa: E402
+from .catalog_parse import distinct_keys, masked_keys, parse_logs  # noqa: E402
 
 
 def _labelled_rows(spark, sf_dir):
@@ -366,13 +366,21 @@ def _seed_catalog(spark, sf_dir, indexed=True):
     return cat, assigned, units
 
 
-def _keys(spark, sf_dir):
-    """Distinct masked keys of the log view and the text tables (these have no truth)."""
+def _all_rows(spark, sf_dir):
+    """The log view and the text tables, normalised (the texts have no truth)."""
     texts = fx.text_view(spark, sf_dir).withColumn("EventTemplate", F.lit(None).cast("string"))
     rows = fx.log_view(spark, sf_dir).unionByName(texts)
-    rows = rows.select("system", "seq", T.correct_message("Content").alias("Content"),
+    return rows.select("system", "seq", T.correct_message("Content").alias("Content"),
                        T.correct_message("EventTemplate").alias("EventTemplate"))
-    return written(distinct_keys(rows, _dictionary(spark, sf_dir)), "keys")
+
+
+def _keys(spark, sf_dir):
+    """Distinct masked keys of the log view and the text tables."""
+    return written(masked_keys(_all_rows(spark, sf_dir)), "keys")
+
+
+def _uncommon_keys(spark, sf_dir):
+    return written(distinct_keys(_all_rows(spark, sf_dir), written(_dictionary(spark, sf_dir), "words")), "keys")
 
 
 def q_slot_capture(spark, sf_dir):
@@ -407,7 +415,7 @@ def q_variable_units(spark, sf_dir):
 
 def q_wildcard_match(spark, sf_dir):
     cat, _, _ = _seed_catalog(spark, sf_dir)
-    return MT.match_wildcard(_keys(spark, sf_dir), cat).select(
+    return MT.match_wildcard(masked_keys(_all_rows(spark, sf_dir)), cat).select(
         "system", "masked", "ok", "template_id", _joined("fail_node").alias("fail_node"))
 
 
@@ -427,14 +435,14 @@ def q_reference_example(spark, sf_dir):
 
 def q_relevant_variables(spark, sf_dir):
     _, _, units = _seed_catalog(spark, sf_dir)
-    hints = MT.relevant_variables(_keys(spark, sf_dir), written(CT.variable_units(units), "symbols"))
+    hints = MT.relevant_variables(_uncommon_keys(spark, sf_dir), written(CT.variable_units(units), "symbols"))
     return hints.select("system", "masked", F.array_join(F.transform(
         "hints", lambda h: F.concat(h["label"], F.lit("="), h["symbol"])), SEP).alias("hints"))
 
 
 def q_labelling_prompts(spark, sf_dir):
     cat, _, units = _seed_catalog(spark, sf_dir)
-    keys = _keys(spark, sf_dir)
+    keys = _uncommon_keys(spark, sf_dir)
     p = LB.build_prompts(keys, MT.relevant_variables(keys, written(CT.variable_units(units), "symbols")), MT.reference_example(keys, cat))
     return p.select("system", "masked", "instruction", "prompt")
 
