@@ -6,6 +6,8 @@ kept, and returns the columns of documents; the last returns packed pieces.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,16 +19,27 @@ from logloom.llm.queries import labelled_languages
 TOXIC = 0.7
 
 
+def _apart(docs: DataFrame, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``work`` on doc_id, text and one column that holds all others, so that no
+    name of theirs meets one that is used inside; the columns come back as they were."""
+    own = ("doc_id", "text")
+    others = [c for c in docs.columns if c not in own]
+    if not others:
+        return work(docs).select(*own)
+    done = work(docs.select(*own, F.struct(*(F.col(f"`{c}`") for c in others)).alias("others")))
+    return done.select(*(F.col(c) if c in own else F.col("others")[c].alias(c) for c in docs.columns))
+
+
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the factorization machine scores as toxic go."""
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    scored = toxicity.score(docs, toxicity.train(docs, labels), "_toxicity")
-    return scored.where(F.col("_toxicity") < TOXIC).select(docs.columns)
+    model = toxicity.train(docs.select("doc_id", "text"), labels)
+    return _apart(docs, lambda d: toxicity.score(d, model, "toxicity").where(F.col("toxicity") < TOXIC))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by similar five-word shingle sets the smallest doc_id stays."""
-    return jaccard.distinct_documents(docs)
+    return _apart(docs, jaccard.distinct_documents)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +50,8 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def mix_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are repeated or left out by their fitted rates, for even languages."""
     labelled = labelled_languages(docs, table(spark, sf_dir, "labels"))
-    return mixing.mixed(docs, mixing.fit(docs, labelled))
+    fitted = mixing.fit(docs.select("doc_id", "text"), labelled)
+    return _apart(docs, lambda d: mixing.mixed(d, fitted))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
