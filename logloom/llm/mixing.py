@@ -2,18 +2,22 @@
 
 A classifier learnt from a labelled table says how much of each document belongs
 to each domain: the mean over its words of P(domain | word) (hashed words, add-one
-counts, equal priors). Of all nonnegative document rates whose expected token
-totals meet the targets, those nearest to 1 are taken (least squares, a document
-counting by its words). They are max(0, 1 + posterior . pull) with one number per
-domain, the minimum of
+counts, equal priors). Projected-gradient least squares then fits nonnegative
+document rates r, from rates of 1 on, that minimise
 
-    1/2 sum_d n_d/N rate_d(pull)^2 - target . pull + RIDGE/2 |pull|^2
+    1/2 (total(r) - target)' W (total(r) - target),  total(r) = sum_d n_d/N r_d p_d
 
-which Newton steps with a line search find. A step needs from the corpus only
-totals per domain and pair of domains, so nothing per document is kept between
-steps and a lost executor costs only its own rows. Steps go on until the totals
-are within ``CLOSE`` of the targets; targets that no rates meet are missed as
-little as possible, ``Mix.residual`` says by how much, and a warning is given.
+with n_d words and posterior p_d of document d, N words in all, and W the inverse of
+sum_d n_d/N p_d p_d' (plus RIDGE), which makes 1 the right step length and a rare
+domain's miss count as much as a common one's. A step adds p_d . push to every rate
+and sets negative ones to 0; the push, -W (total - target), is one number per domain.
+Steps carry momentum, dropped whenever the value rises.
+
+The corpus sends totals per domain. Rates are not kept between steps: a rate follows
+from the posterior and the list of pushes, so a lost executor costs only its own rows.
+Steps go on until the totals are within ``CLOSE`` of the targets; targets that no
+rates meet are neared until steps gain next to nothing (``PATIENCE``, ``GAIN``),
+``Mix.residual`` says by how much they are missed, and a warning is given.
 
 Rows: null or empty texts have no words, rate 1 and even posteriors; repeated
 rows count each. Without labelled rows there is one domain, "".
@@ -36,8 +40,10 @@ from .text import parts, word_hashes
 BITS = 17
 #: At most so many labelled rows are learnt from, those with the smallest hash of doc_id.
 MAX_TRAIN = 20_000
-#: CLOSE is of the share of tokens; RIDGE bounds the pull where no rates meet the targets.
+#: CLOSE is of the share of tokens; RIDGE is for domains that no document tells apart.
 RIDGE, STEPS, CLOSE = 1e-6, 200, 2e-3
+#: Fitting ends if this many steps lower the value by less than this share.
+PATIENCE, GAIN = 10, 1e-2
 
 
 @dataclass
@@ -47,7 +53,8 @@ class Mix:
     domains: list[str]
     share: np.ndarray  # P(domain | word bucket), a row per bucket
     target: np.ndarray = field(default_factory=lambda: np.zeros(0))  # of the tokens, sums to 1
-    pull: np.ndarray = field(default_factory=lambda: np.zeros(0))  # per domain, none: rates are 1
+    #: Steps taken: the push of each domain, then the momentum that follows.
+    steps: list[tuple[np.ndarray, float]] = field(default_factory=list)
     residual: float = 0.0  # largest difference of expected and target share
 
     def posteriors(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -59,9 +66,17 @@ class Mix:
         p = np.stack([np.bincount(row, self.share[bucket, d], len(n)) for d in range(k)], 1)
         return n, np.where(n[:, None] > 0, p / np.maximum(n, 1)[:, None], 1 / k)
 
+    def walked(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rates of documents by their posteriors, and where the next step starts."""
+        rate = start = np.ones(len(p))
+        for push, momentum in self.steps:
+            new = np.maximum(start + p @ push, 0)
+            start = new + momentum * (new - rate)
+            rate = new
+        return rate, start
+
     def rates(self, p: np.ndarray) -> np.ndarray:
-        """Rates of documents by their posteriors."""
-        return np.maximum(1 + p @ self.pull, 0) if len(self.pull) else np.ones(len(p))
+        return self.walked(p)[0]
 
 
 def classifier(docs: DataFrame, labelled: DataFrame, max_train: int = MAX_TRAIN) -> Mix:
@@ -116,47 +131,44 @@ def fit(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None =
     schema = "n long, " + ", ".join(f"p{d} float" for d in range(k))
     table = stored(map_arrow(docs.select("text"), narrow, schema), "posteriors")
 
-    def at(pull: np.ndarray) -> tuple[float, np.ndarray, np.ndarray] | None:
-        """Value, shares of the domains and second derivatives; None without words."""
-        sent = spark.sparkContext.broadcast(pull)
+    def summed(make) -> np.ndarray:
+        """Sums over all rows of what make(words, posteriors) gives."""
 
         def totals(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            n = b.column("n").to_numpy().astype(float)
             p = np.stack([b.column(f"p{d}").to_numpy() for d in range(k)], 1).astype(float)
-            rate = np.maximum(1 + p @ sent.value, 0)
-            active = p * (n * (rate > 0))[:, None]
-            v = np.concatenate([[n.sum(), (n * rate**2).sum() / 2], p.T @ (n * rate), (p.T @ active).ravel()])
+            v = make(b.column("n").to_numpy().astype(float), p)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(v))), pa.array(v)], ["i", "v"])
 
-        got = map_arrow(table, totals, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow()
-        v = np.zeros(2 + k + k * k)
-        v[got["i"].to_numpy()] = got["v"].to_numpy()
-        if not v[0]:
-            return None
-        v[1:] /= v[0]
-        value = v[1] - m.target @ pull + RIDGE / 2 * pull @ pull
-        return value, v[2 : 2 + k], v[2 + k :].reshape(k, k)
-
-    pull = np.zeros(k)
-    now = at(pull)
-    for _ in range(STEPS):
-        if now is None or np.abs(now[1] - m.target).max() < CLOSE:
-            break
-        slope = now[1] - m.target + RIDGE * pull
-        step = np.linalg.solve(now[2] + RIDGE * np.eye(k), -slope)
-        size, new = 1.0, at(pull + step)
-        while new[0] > now[0] + 1e-4 * size * (slope @ step) and size > 1e-6:
-            size /= 2
-            new = at(pull + size * step)
-        if now[0] - new[0] <= 1e-12 * abs(now[0]):  # nothing is nearer
-            break
-        pull, now = pull + size * step, new
-    m.pull = pull
-    if now is not None:
-        m.residual = float(np.abs(now[1] - m.target).max())
-        if m.residual >= CLOSE:
-            got = ", ".join(f"{d} {x:.3f} of {t:.3f}" for d, x, t in zip(m.domains, now[1], m.target))
-            warnings.warn(f"no rates meet the target shares: {got}", stacklevel=2)
+        got = map_arrow(table, totals, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").toArrow()
+        return got["v"].to_numpy()
+
+    first = summed(lambda n, p: np.concatenate([[n.sum()], p.T @ n, (p.T @ (p * n[:, None])).ravel()]))
+    if not len(first) or not first[0]:
+        return m
+    words = first[0]
+    metric = np.linalg.inv(first[1 + k :].reshape(k, k) / words + RIDGE * np.eye(k))
+    total = start = first[1 : 1 + k] / words  # of the rates, and of where the next step starts
+    run, values = 0, [(total - m.target) @ metric @ (total - m.target)]
+    while np.abs(total - m.target).max() >= CLOSE and len(m.steps) < STEPS:
+        m.steps.append((-metric @ (start - m.target), run / (run + 3)))
+        sent = spark.sparkContext.broadcast(m)
+
+        def both(n: np.ndarray, p: np.ndarray) -> np.ndarray:
+            rate, begin = sent.value.walked(p)
+            return np.concatenate([p.T @ (n * rate), p.T @ (n * begin)])
+
+        total, start = summed(both).reshape(2, k) / words
+        values.append((total - m.target) @ metric @ (total - m.target))
+        run += 1
+        if values[-1] > values[-2]:  # momentum leads astray: the next step starts from the rates themselves
+            m.steps[-1] = (m.steps[-1][0], 0.0)
+            run, start = 0, total
+        if len(values) > PATIENCE and min(values[-PATIENCE:]) > (1 - GAIN) * min(values[:-PATIENCE]):
+            break  # nothing is nearer
+    m.residual = float(np.abs(total - m.target).max())
+    if m.residual >= CLOSE:
+        got = ", ".join(f"{d} {x:.3f} of {t:.3f}" for d, x, t in zip(m.domains, total, m.target))
+        warnings.warn(f"no rates meet the target shares: {got}", stacklevel=2)
     return m
 
 

@@ -293,4 +293,36 @@ def test_mixing_of_a_rare_domain(spark):
     mixed_up = df.withColumn("domain", F.when(F.col("doc_id") % 3 == 0, "x").otherwise("y"))
     with pytest.warns(UserWarning, match="no rates meet"):
         m = mixing.fit(df, mixed_up, {"x": 1.0})
-    assert m.residual > mixing.CLOSE and np.isfinite(m.pull).all()
+    assert m.residual > mixing.CLOSE
+    assert len(m.steps) < mixing.STEPS
+
+
+def test_mixing_misses_targets_by_the_least_squares(spark):
+    rows = [(i, ["a a a b", "a b b"][i % 2], "xy"[i % 2]) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, domain string")
+    with pytest.warns(UserWarning, match="no rates meet"):
+        m = mixing.fit(df, df, {"x": 1.0})
+    got = mixing.rated(df, m).select("_n_words", "_posterior", "_rate").toPandas()
+    p, w, rate = np.array(got._posterior.tolist()), got._n_words.to_numpy() / got._n_words.sum(), got._rate.to_numpy()
+    metric = np.linalg.inv(p.T @ (p * w[:, None]) + mixing.RIDGE * np.eye(2))
+    slope = p @ metric @ (p.T @ (w * rate) - m.target)
+    assert rate[1::2].max() == 0 and slope[1::2].min() > 0 and abs(slope[::2]).max() < 0.02
+
+
+def test_mixing_steps_meet_a_dense_solution(spark):
+    rng = random.Random(3)
+    kind = lambda i: "xyz"[min(i % 7, 2)]
+    rows = [(i, " ".join(f"{kind(i) if rng.random() < 0.7 else 'q'}{rng.randint(0, 30)}" for _ in range(1 + i % 60)), kind(i)) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, domain string")
+    want = {"x": 0.4, "y": 0.35, "z": 0.25}
+    m = mixing.fit(df, df, want)
+    got = mixing.rated(df, m).select("_n_words", "_posterior", "_rate").toPandas()
+    p, w = np.array(got._posterior.tolist()), got._n_words.to_numpy() / got._n_words.sum()
+    metric = np.linalg.inv(p.T @ (p * w[:, None]) + mixing.RIDGE * np.eye(3))
+    dense = np.ones(len(p))
+    for _ in range(5000):
+        dense = np.maximum(dense - p @ metric @ (p.T @ (w * dense) - m.target), 0)
+    total = lambda r: p.T @ (w * r)
+    assert total(dense) == pytest.approx(m.target, abs=1e-6) and list(m.target) == pytest.approx([0.4, 0.35, 0.25])
+    assert total(got._rate.to_numpy()) == pytest.approx(total(dense), abs=mixing.CLOSE)
+    assert got._rate.min() >= 0
