@@ -267,6 +267,44 @@ def test_pages_keep_whole_articles(spark):
     assert got == want
 
 
+def test_pages_drop_template_text(spark):
+    rng = random.Random(4)
+    words = lambda n: " ".join(f"w{rng.randint(0, 999)}" for _ in range(n))
+    top, foot = "<div class=top>Home About Contact Login</div>", "<div class=z><p>All rights reserved Example Corp</p></div>"
+    one = lambda k: f"<body>{top}<div class=x><h1>{k}</h1><p>{words(30)}<p>{words(20)}</div><ul class=q><li>One<li>Two</ul>{foot}"
+    rows = [(i, f"http://plain.example/{i}", one(words(3))) for i in range(4)]
+    copy = f"<article><h1>Same</h1><div class=b>{words(60)}</div></article>"  # near copies of one article
+    rows += [(10 + i, f"http://copies.example/{i}", f"<body>{top}{copy}<p>{words(4)}") for i in range(4)]
+    parts = lambda: f"<article><h1>{words(3)}</h1><h2>Summary</h2><p>{words(40)}</article>"
+    rows += [(20 + i, f"http://heads.example/{i}", f"<body>{top}{parts()}{foot}") for i in range(4)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in pages.extract(df).collect()}
+    import re
+
+    for i, _, page in rows:
+        body = page.partition("<div class=x>")[2].partition("</div>")[0] if i < 10 else page.partition("<article>")[2].partition("</article>")[0]
+        assert got[i].split() == re.sub("<[^>]*>", " ", body).split()
+    for r in pages.slots(df).where("page_id < 4").groupBy("page_id").agg(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda x: x["text"])).alias("t")).collect():
+        assert r.t == got[r.page_id]
+    found = pages.classes(df).where("host = 'plain.example'").collect()
+    frame = next(r for r in found if r.within is None)
+    assert frame.pages == 4 and frame.tokens >= 8 and all(r.within is not None for r in found if r is not frame)
+
+
+def test_pages_read_hostile_html_in_linear_time(spark):
+    import time
+
+    for page in ("<a" * 500_000, "<!" * 500_000, "<div>" * 100_000 + "x", "<a '" * 200_001 + ">", "<ul>" + "<div>" * 50_000 + "<li>x</li>" * 50_000,
+                 "</p>" * 200_000, f"<div class='{'advert_' * 5000}!'>x</div>", "<p>" * 100_000):
+        began = time.time()
+        pages.main_text(page, None)
+        assert time.time() - began < 5, page[:20]
+    edge = [(1, None, None), (1, None, None), (None, "u", ""), (2, "http://h/", "<div>" * 3000 + "deep"), (3, "http://h/", "<p>a<P>b</p>c &lt;")]
+    df = spark.createDataFrame(edge, "page_id long, url string, html string").withColumns({c: F.lit("x") for c in ("host", "path", "main", "fixed", "text", "m")})
+    got = sorted((str(r.page_id), r.text, r.n_chars) for r in pages.extract(df).collect())
+    assert got == [("1", "", 0), ("1", "", 0), ("2", "deep", 4), ("3", "a\nb\nc <", 7), ("None", "", 0)]
+
+
 def test_mixing(spark, edge, none):
     rng = random.Random(1)
     rows = [(i, " ".join(f"{'ab'[i % 4 == 0]}{rng.randint(0, 50)}" for _ in range(40)), "xy"[i % 4 == 0]) for i in range(400)]
