@@ -117,10 +117,11 @@ def parsing_accuracy(df: DataFrame, truth: str = "truth", parsed: str = "parsed"
         rows = rows.join(_stratum_keys(stratum).withColumnRenamed("truth", truth),
                          ["system", truth], "left_semi")
     if folded:
-        eq = fold_wildcards(truth) == F.split(F.col(parsed), " ")
+        eq = fold_wildcards("truth") == F.split(F.col("parsed"), " ")
     else:
-        eq = F.col(truth) == F.col(parsed)
-    return rows.groupBy("system").agg(_r(F.avg(F.coalesce(eq, F.lit(False)).cast("double"))).alias("PA"))
+        eq = F.col("truth") == F.col("parsed")
+    right = F.sum(F.when(F.coalesce(eq, F.lit(False)), F.col("n")).otherwise(0))
+    return template_pairs(rows, truth, parsed).groupBy("system").agg(_r(right / F.sum("n")).alias("PA"))
 
 
 def template_accuracy(df: DataFrame, truth: str = "truth", parsed: str = "parsed",
@@ -165,8 +166,11 @@ def template_accuracy(df: DataFrame, truth: str = "truth", parsed: str = "parsed
 
 
 def similarity_accuracy(df: DataFrame, truth: str = "truth", parsed: str = "parsed") -> DataFrame:
-    """Q9: mean template similarity (M6) between truth and parsed per system."""
-    return df.groupBy("system").agg(_r(F.avg(template_similarity(truth, parsed))).alias("SA"))
+    """Q9: mean template similarity (M6) between truth and parsed per system,
+    scored once per pair; pairs without a similarity do not count."""
+    scored = template_pairs(df, truth, parsed).withColumn("s", template_similarity("truth", "parsed"))
+    rows = F.sum(F.when(F.col("s").isNotNull(), F.col("n")))
+    return scored.groupBy("system").agg(_r(F.try_divide(F.sum(F.col("s") * F.col("n")), rows)).alias("SA"))
 
 
 def evaluate(df: DataFrame, truth: str = "truth", parsed: str = "parsed",

@@ -37,3 +37,15 @@ def test_null_truth_dropped_for_grouping(spark):
     r = Q.grouping_accuracy(df).collect()[0]
     assert r.GA == 1.0 and r.rows == 1
     assert Q.parsing_accuracy(df).collect()[0].PA == 0.5
+
+
+def test_pairs_weigh_as_their_rows(spark):
+    rows = [("s", i, ["a b <*>", "a c", "", None][i % 4], ["a b c", "a c", "", "x"][i % 4 if i % 5 else 1]) for i in range(60)]
+    df = spark.createDataFrame(rows, "system string, seq int, truth string, parsed string")
+    each = df.agg(F.avg(Q.template_similarity("truth", "parsed")).alias("s"), F.avg(F.expr("cast(truth <=> parsed as double)")).alias("p")).first()
+    assert abs(Q.similarity_accuracy(df).first().SA - each.s) < 1e-6
+    assert abs(Q.parsing_accuracy(df).first().PA - each.p) < 1e-6
+    none = spark.createDataFrame([("s", 1, "", ""), ("s", 2, None, "a")], df.schema)
+    want = none.agg(F.avg(Q.template_similarity("truth", "parsed")).alias("s")).first().s
+    assert Q.similarity_accuracy(none).first().SA == want
+    assert Q.similarity_accuracy(df.limit(0)).count() == Q.parsing_accuracy(df.limit(0), folded=True).count() == 0
