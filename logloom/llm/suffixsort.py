@@ -1,4 +1,4 @@
-"""Suffix array of a sequence of numbers by grouping, in linear time.
+"""Suffix array of a sequence of numbers by grouping.
 
 First, suffixes are grouped by their Lyndon prefix. Groups start as the first
 symbols and are processed from the greatest down; a suffix's previous-smaller
@@ -7,7 +7,8 @@ suffixes pointed at leave their groups for new ones right behind, those pointed
 at more often further behind. Then one pass over the growing suffix array emits
 each group's order: every suffix placed puts the chain of previous-smaller
 pointers before it at the fronts of their groups. Nothing is renamed or sorted
-recursively.
+recursively. The groups are linear work, but first symbols, members and counts are
+put in order by comparison sorts, so the whole takes n log n steps at worst.
 """
 
 from __future__ import annotations
