@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from logloom.functions import similarity as S
 from logloom.functions import text as T
+from logloom.operators import catalog as CT
 from logloom.operators import matching as MT
 from logloom.operators import metrics as Q
 from logloom.plans.rule_parse import rule_pairs, rule_parse
@@ -95,3 +96,14 @@ def test_masked_texts_are_not_repeated_by_token(spark):
     walk = MT.match_wildcard(keys.where("masked is not null"), cat, "msg").collect()
     assert {(r.system, r.masked): (r.msg, r.template_id) for r in walk} == {
         ("s", "open it now"): ("open it now", 1), ("s", ""): ("", None), ("t", "open it now"): ("open it now", None)}
+
+
+def test_slot_values_move_no_rows_while_few_are_common(spark):
+    rows = [("s", 1, "open a.txt now", "open {file} now"), ("s", 2, "open user now", "open {name} now"),
+            ("s", 3, None, None), ("s", 4, "", "{x}")]
+    df = spark.createDataFrame(rows, "system string, seq bigint, msg string, response string")
+    words = spark.createDataFrame([("user",), ("user",)], "word string").groupBy("word").agg(F.count("*").alias("n"))
+    got = CT.correct_slots(df, words)
+    assert "SortMergeJoin" not in _plan(got)
+    assert {r.seq: r.corrected for r in got.collect()}[2] == "open user now"
+    assert {r.seq: r.corrected for r in got.collect()}[1] == "open {file} now"
