@@ -107,3 +107,55 @@ def test_slot_values_move_no_rows_while_few_are_common(spark):
     assert "SortMergeJoin" not in _plan(got)
     assert {r.seq: r.corrected for r in got.collect()}[2] == "open user now"
     assert {r.seq: r.corrected for r in got.collect()}[1] == "open {file} now"
+
+
+def _tables(spark, folder):
+    """Small tables with a few repeated and null values under ``folder``."""
+    kinds = ["view", "signup", "error", "click", "buy", None]
+    frames = {
+        "events": ([(i, i % 5, kinds[i % 6], i / 3) for i in range(60)], "event_id bigint, user_id bigint, event_type string, value double"),
+        "orders": ([(i, i % 7, "OFP"[i % 3], f"{i % 4}-P") for i in range(60)],
+                   "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_orderpriority string"),
+        "lineitem": ([(i // 3, i % 3, i, i % 4, i / 2, "RAN"[i % 3], "OF"[i % 2]) for i in range(180)],
+                     "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_suppkey bigint, l_extendedprice double,"
+                     " l_returnflag string, l_linestatus string"),
+    }
+    for name, (rows, schema) in frames.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+def test_logs_are_read_once_for_words_groups_and_clusters(spark, tmp_path):
+    from logloom.plans.registry import queries
+
+    sf = _tables(spark, tmp_path)
+    for name in ("uncommon_tokens", "distinct_uncommon_tokens", "cluster_positions", "contribution_scores"):
+        df = queries()[name](spark, sf)
+        # what is left to run reads stored steps, none of the log tables
+        assert not any("lineitem" in f for f in df.inputFiles()), name
+        assert df.count() > 0
+
+
+def test_fold_keeps_rows_whose_later_tokens_are_common(spark):
+    from logloom.operators.tokens import uncommon_tokens
+
+    rows = [(1, ["a", "b", "x", "b"]), (2, ["x", "a"]), (3, ["a", "b"]), (4, []), (5, None), (6, ["x", None, "x"])]
+    df = spark.createDataFrame(rows, "k int, tokens array<string>")
+    words = spark.createDataFrame([("a",), ("b",), ("b",)], "word string")
+    got = uncommon_tokens(df, ["k"], "tokens", words)
+    assert {r.k: (r.tokens, r.uncommon) for r in got.collect()} == {
+        1: (rows[0][1], ["x"]), 2: (rows[1][1], ["x"]), 3: (rows[2][1], []), 4: ([], []), 5: (None, []), 6: (rows[5][1], ["x", "x"])}
+    # common later tokens go before rows are exchanged for the fold
+    assert any("Filter" in line and "isnull(_common" in line for line in _plan(got).splitlines())
+
+
+def test_earliest_of_a_batch_stays_in_arrow():
+    import pyarrow as pa
+
+    from logloom.streaming.parse_stream import _earliest
+
+    rows = {"system": ["a", "a", "b", None, None, "a"], "seq": [3, 1, None, 5, 2, 1], "msg": list("uvwxyz"), "masked": ["m", "m", "m", None, None, "m"]}
+    empty = pa.record_batch(rows).slice(0, 0)
+    got = [r for b in _earliest(iter([empty, pa.record_batch(rows)])) for r in b.to_pylist()]
+    assert [(r["system"], r["masked"], r["seq"], r["msg"]) for r in got] == [
+        ("a", "m", 1, "v"), (None, None, 2, "y"), ("b", "m", None, "w")]
