@@ -4,6 +4,7 @@ import hashlib
 import html
 import lzma
 import random
+import tracemalloc
 import zlib
 import base64
 from urllib.parse import quote, quote_plus
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from logloom.llm import chains, jaccard, lzprint, mixing, packing, pages, repeats, secrets, topk, toxicity
 from logloom.llm.suffixsort import suffix_array
+from logloom.llm.text import _POWERS, parts, word_hashes
 from logloom.llm.tokens import Encoder
 
 #: Null and empty texts, ties, repeated rows, null ids, long text and extra columns with names used inside.
@@ -34,6 +36,18 @@ def none(edge):
     return edge.limit(0)
 
 
+def test_hashing_takes_little_memory():
+    """Five megabytes of short texts are hashed with tables of some megabytes at a time."""
+    column = pa.array([f"w{i} " * 1500 for i in range(700)])
+    _POWERS.clear()
+    tracemalloc.start()
+    for _, data, off in parts(column):
+        chains.seeds(*word_hashes(data, off))
+    held, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert held < 8e6 and peak < 24e6
+
+
 def test_suffix_array():
     rng = random.Random(5)
     for _ in range(3000):
