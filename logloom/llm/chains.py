@@ -18,12 +18,12 @@
    are hashed; a string of two documents is a passage, and each document's chains
    with the string's hub are aligned as before. So of equal stretches of
    MIN_WORDS words or more no word is missed.
-6. Seeds that are still not covered meet again by pairs of seeds that follow
-   one another (with at most two between, at most ``NEAR`` words apart), each
-   pair with a hub of its own, drawn anew.
+6. Seeds that are still not covered meet again by pairs of seeds at most ``NEAR``
+   words apart, however many lie between, each pair with a hub of its own, drawn anew.
 
 Passages with edits are found if their documents share two seeds with a hub that
-has them alike, too: the seed's, or a seed pair's.
+has them alike, too: the seed's, or a seed pair's. Documents of one seed pair meet
+its hub, not each other.
 
 Rows: null text is empty; texts of under 5 words have no seeds; repeated rows
 (same doc_id and text) are one document, reported for each; rows without doc_id
@@ -37,7 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import BitFilter, map_arrow, ragged, stored
@@ -51,8 +51,8 @@ GAP_COST = 0.04
 CELLS = 200 * 200
 #: Shingles before an anchor in each of its strings, and words from the anchor on.
 _BEFORE, _AFTER = WINDOW - 1, MIN_WORDS - 2 * (WINDOW - 1)
-#: Words between the beginnings of two seeds of a pair, and seeds further on that it takes.
-NEAR, AHEAD = 64, 3
+#: Words between the beginnings of two seeds of a pair, at most.
+NEAR = 64
 #: Rows of a seed that meet its hub in one task.
 SALT = 4096
 _U = np.uint64
@@ -312,7 +312,14 @@ def _open(places: DataFrame, runs: DataFrame, start: str, end: str) -> DataFrame
     return places.join(runs, "r", "left").withColumn("open", ~F.coalesce(inside, F.lit(False))).drop("runs")
 
 
-def _aligned(docs: DataFrame, matches: DataFrame, least: int) -> DataFrame:
+def _once(rows: DataFrame, again: BitFilter) -> DataFrame:
+    """``rows``, each r once; ``again`` holds the r of repeated rows. All others stay where they are."""
+    rows = rows.withColumn("again", again.holds("r"))
+    first = rows.where("again").dropDuplicates(["r"])
+    return rows.where("not again").unionByName(first).drop("again")
+
+
+def _aligned(docs: DataFrame, again: BitFilter, matches: DataFrame, least: int) -> DataFrame:
     """Passages of the matches (r, hub, at, hub_at) of documents and hubs, by chains of at least so many."""
     pairs = (
         matches.groupBy("r", "hub")
@@ -334,7 +341,7 @@ def _aligned(docs: DataFrame, matches: DataFrame, least: int) -> DataFrame:
     linked = stored(map_arrow(pairs, chain, "r long, hub long, x array<int>, y array<int>"), "chains")
     ends = linked.select(F.explode(F.array("r", "hub")).alias("r")).distinct()
     some = BitFilter(ends, "r", 23).keep(docs.select("r", "text"), "r")
-    texts = stored(map_arrow(some, _hashes, "r long, w binary").dropDuplicates(["r"]), "words")
+    texts = _once(stored(map_arrow(some, _hashes, "r long, w binary"), "words"), again)
 
     def fit(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         out = []
@@ -347,14 +354,18 @@ def _aligned(docs: DataFrame, matches: DataFrame, least: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names)
 
     names = ["r", "hub", "s", "e", "hub_s", "hub_e", "equal"]
-    both = linked.join(texts.withColumnRenamed("w", "wa"), "r").join(
-        texts.select(F.col("r").alias("hub"), F.col("w").alias("wb")), "hub"
-    )
+
+    def side(column: str, words: str) -> DataFrame:
+        own = BitFilter(linked.select(column).distinct(), column, 23)
+        return own.keep(texts.select(F.col("r").alias(column), F.col("w").alias(words)), column)
+
+    both = linked.join(side("r", "wa"), "r").join(side("hub", "wb"), "hub")
     return map_arrow(both.select("r", "hub", "x", "y", "wa", "wb"), fit, ", ".join(f"{n} long" for n in names))
 
 
-def _met(docs: DataFrame) -> DataFrame:
-    """Places of seeds that occur more than once, with the strings they anchor and their hub."""
+def _met(docs: DataFrame) -> tuple[DataFrame, BitFilter]:
+    """Places of seeds that several documents have, with the strings they anchor and
+    their hub; and a filter of the r of repeated rows."""
 
     def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for i, data, off in parts(b.column("text")):
@@ -380,11 +391,12 @@ def _met(docs: DataFrame) -> DataFrame:
     kinds = "at array<int>, nth array<int>, lo array<int>, hi array<int>, key array<long>, seed array<long>"
     rows = map_arrow(docs.select("r", "text"), run, f"r long, {kinds}")
     rows = stored(rows.where(F.size("at") > 0), "seeds")
-    shared = rows.select(F.explode("seed").alias("seed")).groupBy("seed").count().where("count > 1")
+    again = BitFilter(rows.groupBy("r").count().where("count > 1"), "r", 23)
+    shared = rows.select(F.explode(F.array_distinct("seed")).alias("seed")).groupBy("seed").count().where("count > 1")
     single = rows.select("r", F.explode(F.arrays_zip(*columns)).alias("x")).select("r", "x.*")
     near = BitFilter(shared, "seed", 25).keep(single, "seed")
-    hubs = near.groupBy("seed").agg(F.count("*").alias("c"), F.min("r").alias("hub")).where("c > 1")
-    return stored(near.join(hubs, "seed"), "seed-hubs")
+    hubs = near.groupBy("seed").agg(F.count("*").alias("c"), F.min("r").alias("hub"), F.max("r").alias("last"))
+    return stored(near.join(hubs.where("hub <> last").drop("last"), "seed"), "seed-hubs"), again
 
 
 def _by_seeds(met: DataFrame) -> DataFrame:
@@ -454,24 +466,63 @@ def _equal(strings: DataFrame) -> tuple[DataFrame, DataFrame]:
     return exact, first.agg(F.min("at").alias("at"), F.min("hub_at").alias("hub_at")).drop("d", "g")
 
 
-def _by_pairs(met: DataFrame, runs: DataFrame) -> DataFrame:
+def _pairs(met: DataFrame, runs: DataFrame) -> DataFrame:
+    """(r, at, at2, nth, open, pair): pairs of seeds at most NEAR words apart that several
+    documents have, if a place of one of them is not covered (open: in this document).
+    nth numbers a document's places of a pair."""
+    places = met.select("r", "at", "seed").join(runs, "r", "left")
+    inside = F.exists("runs", lambda x: (x["s"] <= F.col("at")) & (x["e"] >= F.col("at") + WORDS))
+    places = places.select("r", F.struct("at", "seed", (~F.coalesce(inside, F.lit(False))).alias("open")).alias("x"))
+    lists = stored(places.groupBy("r").agg(F.sort_array(F.collect_set("x")).alias("x")), "open-seeds")
+    alive = lists.select(F.explode("x").alias("x")).where("x.open").select("x.seed").distinct()
+    alive = BitFilter(alive, "seed", 25)
+    near = lists.select("r", F.explode("x").alias("x")).select("r", "x.*").where(alive.holds("seed"))
+    # texts without such a seed have nothing to meet
+    some = BitFilter(near.select("r").distinct(), "r", 23).keep(lists, "r")
+    some = some.select("r", F.col("x.at").alias("at"), F.col("x.seed").alias("seed"), F.col("x.open").alias("open"))
+    spots = some.select("r", "at", "seed", "open", F.transform("seed", alive.spot).alias("spot"))
+    bits = alive.shared
+
+    def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for i in range(0, b.num_rows, 256):
+            cols = [b.column(c).slice(i, 256) for c in ("at", "seed", "open", "spot")]
+            counts = np.diff(cols[0].offsets.to_numpy())
+            row = np.repeat(np.arange(len(counts)), counts)
+            at, seed, open_, spot = (c.flatten().to_numpy(zero_copy_only=False) for c in cols)
+            on = (bits.value[spot >> 6] >> (spot & 63)) & 1 == 1
+            found, d = [np.zeros((2, 0), np.int64)], 1
+            while len(k := np.flatnonzero((row[d:] == row[:-d]) & (at[d:] - at[:-d] <= NEAR))):
+                k = k[on[k] | on[k + d]]
+                found.append(np.stack([k, k + d]))
+                d += 1
+            x, y = np.concatenate(found, axis=1)
+            if not len(x):
+                continue
+            pair = mix(seed[x].view(_U) + mix(seed[y].view(_U) ^ _U(0x5EED)))
+            order = np.lexsort((y, x, pair, row[x]))
+            x, y, pair = x[order], y[order], pair[order]
+            # of a place and another seed the nearest
+            first = np.concatenate([[True], (pair[1:] != pair[:-1]) | (x[1:] != x[:-1])])
+            x, y, pair = x[first], y[first], pair[first]
+            new = np.concatenate([[True], (pair[1:] != pair[:-1]) | (row[x][1:] != row[x][:-1])])
+            nth = np.arange(len(x)) - np.maximum.accumulate(np.where(new, np.arange(len(x)), 0))
+            r = b.column("r").slice(i, 256).to_numpy()[row[x]]
+            out = (r, at[x], at[y], nth, open_[x] | open_[y], pair.view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names)
+
+    names = ["r", "at", "at2", "nth", "open", "pair"]
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.int64())
+    pairs = stored(map_arrow(spots, run, "r long, at int, at2 int, nth int, open boolean, pair long"), "seed-pairs")
+    several = pairs.groupBy("pair").agg(F.min("r").alias("a"), F.max("r").alias("b"), F.max("open").alias("some"))
+    several = stored(several.where("some and a <> b").select("pair"), "pairs")
+    return stored(BitFilter(several, "pair", 25).keep(pairs, "pair").join(several, "pair"), "pair-places")
+
+
+def _by_pairs(pairs: DataFrame) -> DataFrame:
     """Matches of seeds that no run covers, by pairs of seeds near each other: all
     documents of a pair meet one of them, drawn anew."""
-    seeds_ = _open(met.select("r", "at", "seed"), runs, "at", f"at + {WORDS}").distinct()
-    text = Window.partitionBy("r").orderBy("at")
-    ahead = [
-        F.struct(*(F.lead(c, d).over(text).alias(n) for c, n in (("at", "at2"), ("seed", "seed2"), ("open", "open2"))))
-        for d in range(1, AHEAD + 1)
-    ]
-    pairs = (
-        seeds_.withColumn("x", F.array(*ahead)).withColumn("x", F.explode("x"))
-        .where(f"x.at2 - at <= {NEAR}")
-        .select("r", "at", "x.at2", F.expr("open or x.open2").alias("open"), F.xxhash64("seed", "x.seed2").alias("pair"))
-    )
-    pairs = stored(pairs, "seed-pairs")
     drawn = F.struct(F.xxhash64("r", F.lit(1)).alias("draw"), "r", "at", "at2", "open")
-    hubs = pairs.groupBy("pair").agg(F.max("open").alias("some"), F.min(drawn).alias("hub"), F.max(drawn).alias("last"))
-    hubs = stored(hubs.where("some and hub.r <> last.r").drop("some"), "pair-hubs")
+    hubs = stored(pairs.groupBy("pair").agg(F.min(drawn).alias("hub"), F.max(drawn).alias("last")), "pair-hubs")
     ends = [F.struct(F.col(c).alias("at"), F.col(f"hub.{c}").alias("hub_at")) for c in ("at", "at2")]
     # covered documents are there to be met: an open hub needs one of them
     return (
@@ -485,13 +536,13 @@ def _by_pairs(met: DataFrame, runs: DataFrame) -> DataFrame:
 def passages(docs: DataFrame) -> DataFrame:
     """(r, hub, s, e, hub_s, hub_e, equal): passages in words, r and hub the hashes of two rows."""
     docs = _keyed(docs)
-    met = _met(docs)
-    found = stored(_aligned(docs, _by_seeds(met), 2), "passages")
+    met, again = _met(docs)
+    found = stored(_aligned(docs, again, _by_seeds(met), 2), "passages")
     runs = stored(_runs(_sides(found)), "runs")
     exact, matches = _equal(_strings(docs, met, runs))
-    found = found.unionByName(stored(exact, "equal")).unionByName(stored(_aligned(docs, matches, 1), "passages"))
+    found = found.unionByName(stored(exact, "equal")).unionByName(stored(_aligned(docs, again, matches, 1), "passages"))
     runs = stored(_runs(_sides(found)), "runs")
-    return found.unionByName(_aligned(docs, _by_pairs(met, runs), 2))
+    return found.unionByName(_aligned(docs, again, _by_pairs(_pairs(met, runs)), 2))
 
 
 def shared_words(docs: DataFrame) -> DataFrame:

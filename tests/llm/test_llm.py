@@ -151,6 +151,25 @@ def test_chains_by_other_hubs(spark):
     assert set(got.values()) == {("", None)}
 
 
+def test_seed_pairs_over_seeds_between(spark):
+    """Seeds within NEAR words make a pair however many lie between them, of each two
+    seeds the nearest places; seeds that one document alone holds make none."""
+    at = [0, 10, 20, 30, 40, 50, 104]
+    rows = [(1, a, s) for a, s in zip(at, [7, 101, 102, 103, 104, 8, 9])]
+    rows += [(2, a, s) for a, s in zip(at, [7, 201, 202, 203, 204, 8, 9])] + [(2, 60, 8)]
+    rows += [(r, a, s) for r in (3, 4) for a, s in ((0, 11), (10, 12))]
+    met = spark.createDataFrame(rows, "r long, at int, seed long")
+    runs = spark.createDataFrame([(3, [(0, 40)]), (4, [(0, 40)])], "r long, runs array<struct<s:long,e:long>>")
+    got = {(p.r, p.at, p.at2, p.nth, p.open) for p in chains._pairs(met, runs).collect()}
+    assert got == {(1, 0, 50, 0, True), (1, 50, 104, 0, True), (2, 0, 50, 0, True), (2, 50, 104, 0, True), (2, 60, 104, 1, True)}
+
+
+def test_repeated_rows_are_joined_once(spark):
+    again = chains.BitFilter(spark.createDataFrame([(1,)], "r long"), "r", 23)
+    rows = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b"), (3, "c")], "r long, w string")
+    assert sorted(map(tuple, chains._once(rows, again).collect())) == [(1, "a"), (2, "b"), (3, "c")]
+
+
 def test_chains_against_brute_force(spark):
     """Documents of frequent lines: no word of an equal stretch of 50 words in two documents
     is missed, and all that is found is alike enough to text of another document."""
