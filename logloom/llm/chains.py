@@ -363,9 +363,10 @@ def _aligned(docs: DataFrame, again: BitFilter, matches: DataFrame, least: int)
     return map_arrow(both.select("r", "hub", "x", "y", "wa", "wb"), fit, ", ".join(f"{n} long" for n in names))
 
 
-def _met(docs: DataFrame) -> tuple[DataFrame, BitFilter]:
-    """Places of seeds that several documents have, with the strings they anchor and
-    their hub; and a filter of the r of repeated rows."""
+def _met(docs: DataFrame) -> tuple[DataFrame, DataFrame, BitFilter]:
+    """Places of seeds that several documents have, with their hub and its first place;
+    the anchors among them, and a few that one document alone has; and a filter of the
+    r of repeated rows. Anchors do not travel with the seeds: they meet by their key."""
 
     def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for i, data, off in parts(b.column("text")):
@@ -393,34 +394,37 @@ def _met(docs: DataFrame) -> tuple[DataFrame, BitFilter]:
     rows = stored(rows.where(F.size("at") > 0), "seeds")
     again = BitFilter(rows.groupBy("r").count().where("count > 1"), "r", 23)
     shared = rows.select(F.explode(F.array_distinct("seed")).alias("seed")).groupBy("seed").count().where("count > 1")
-    single = rows.select("r", F.explode(F.arrays_zip(*columns)).alias("x")).select("r", "x.*")
-    near = BitFilter(shared, "seed", 25).keep(single, "seed")
-    hubs = near.groupBy("seed").agg(F.count("*").alias("c"), F.min("r").alias("hub"), F.max("r").alias("last"))
-    return stored(near.join(hubs.where("hub <> last").drop("last"), "seed"), "seed-hubs"), again
+    several = BitFilter(shared, "seed", 25)
+
+    def single(*names: str) -> DataFrame:
+        return rows.select("r", F.explode(F.arrays_zip(*names)).alias("x")).select("r", "x.*")
+
+    near = several.keep(single("at", "nth", "seed"), "seed")
+    hubs = near.groupBy("seed").agg(F.count("*").alias("c"), F.min(F.struct("r", "at")).alias("first"), F.max("r").alias("last"))
+    hubs = hubs.where("first.r <> last").select("seed", "c", F.col("first.r").alias("hub"), F.col("first.at").alias("hub_at"))
+    anchors = several.keep(single("lo", "hi", "key", "seed").where("hi >= lo"), "seed").drop("seed")
+    return stored(near.join(hubs, "seed"), "seed-hubs"), anchors, again
 
 
 def _by_seeds(met: DataFrame) -> DataFrame:
-    """Matches of documents with the hubs of their seeds. A hub's places are repeated
-    for every SALT rows of the seed, so that a frequent seed is many small tasks."""
+    """Matches of documents with the hubs of their seeds. The hub's first place is at
+    hand; only later ones meet. Those are repeated for every SALT rows of the seed, so
+    that a frequent seed is many small tasks."""
     salts = F.expr(f"c div {SALT} + 1")
+    later = met.where("nth > 0")
     # repeated rows share r: each of the hub's places once
     place = (
-        met.where("r = hub").groupBy("seed", "hub", "nth").agg(F.min("at").alias("hub_at"), F.max("c").alias("c"))
+        later.where("r = hub").groupBy("seed", "hub", "nth").agg(F.min("at").alias("hub_at"), F.max("c").alias("c"))
         .withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).drop("c")
     )
-    return (
-        met.where("r <> hub")
-        .withColumn("salt", F.pmod(F.xxhash64("r"), salts))
-        .select("seed", "hub", "salt", "r", "at", F.explode(F.array_distinct(F.array("nth", F.lit(0)))).alias("nth"))
-        .join(place, ["seed", "hub", "nth", "salt"])
-        .select("r", "hub", "at", "hub_at")
-    )
+    others = later.where("r <> hub").withColumn("salt", F.pmod(F.xxhash64("r"), salts)).select("seed", "hub", "salt", "r", "at", "nth")
+    first = met.where("r <> hub").select("r", "hub", "at", "hub_at")
+    return first.unionByName(others.join(place, ["seed", "hub", "nth", "salt"]).select("r", "hub", "at", "hub_at"))
 
 
-def _strings(docs: DataFrame, met: DataFrame, runs: DataFrame) -> DataFrame:
+def _strings(docs: DataFrame, anchors: DataFrame, runs: DataFrame) -> DataFrame:
     """(r, at, nth, w): the strings of MIN_WORDS words, with their hashes, of anchors
     that no run covers and of all anchors alike."""
-    anchors = met.where("hi >= lo").select("r", "lo", "hi", "key")
     keys = stored(_open(anchors, runs, "lo", f"hi + {MIN_WORDS}").where("open").select("key").distinct(), "keys")
     alike = stored(BitFilter(keys, "key", 25).keep(anchors, "key").join(keys, "key"), "anchors")
     many = stored(alike.groupBy("key").agg(F.min("r").alias("a"), F.max("r").alias("b")).where("a <> b").select("key"), "keys")
@@ -452,15 +456,19 @@ def _equal(strings: DataFrame) -> tuple[DataFrame, DataFrame]:
     with the last's, all others' with the first's), and matches to align."""
     ends = strings.groupBy("w").agg(F.min(F.struct("r", "at")).alias("a"), F.max(F.struct("r", "at")).alias("b"))
     ends = stored(ends.where("a.r <> b.r"), "string-ends")
-    both = strings.join(ends, "w").withColumn("other", F.expr("if(r = a.r, b, a)"))
-    end = F.col("at") + MIN_WORDS
-    other_end = F.col("other.at") + MIN_WORDS
-    exact = both.select(
-        "r", F.col("other.r").alias("hub"), F.col("at").alias("s"), end.alias("e"),
-        F.col("other.at").alias("hub_s"), other_end.alias("hub_e"), F.lit(MIN_WORDS).cast("long").alias("equal"),
+    other = F.expr("if(r = a.r, b, a)")
+    both = strings.join(ends, "w").select(
+        "r", F.col("at").alias("s"), "nth", other["r"].alias("hub"), other["at"].alias("hub_s"), F.expr("r <> a.r").alias("later")
     )
-    place = strings.join(ends, "w").where("r = a.r").select("w", "nth", F.col("r").alias("hub"), F.col("at").alias("hub_at"))
-    matches = both.where("r <> a.r").select("w", "nth", "r", "at").join(stored(place, "string-hubs"), ["w", "nth"])
+    both = stored(both, "equal")
+    end = lambda c: (F.col(c) + MIN_WORDS).alias(c.replace("s", "e"))
+    exact = both.select("r", "hub", "s", end("s"), "hub_s", end("hub_s"), F.lit(MIN_WORDS).cast("long").alias("equal"))
+    # the first document's first place is at hand; only a string's later places in a document meet
+    first = both.where("later and nth = 0").select("r", "hub", F.col("s").alias("at"), F.col("hub_s").alias("hub_at"))
+    again = strings.where("nth > 0").join(ends.select("w", F.col("a.r").alias("hub")), "w")
+    place = again.where("r = hub").select("w", "nth", "hub", F.col("at").alias("hub_at"))
+    again = again.where("r <> hub").drop("hub").join(stored(place, "string-hubs"), ["w", "nth"])
+    matches = first.unionByName(again.select("r", "hub", "at", "hub_at"))
     # of a diagonal the first match of each window of words
     first = matches.groupBy("r", "hub", (F.col("hub_at") - F.col("at")).alias("d"), F.expr(f"at div {MIN_WORDS}").alias("g"))
     return exact, first.agg(F.min("at").alias("at"), F.min("hub_at").alias("hub_at")).drop("d", "g")
@@ -536,11 +544,11 @@ def _by_pairs(pairs: DataFrame) -> DataFrame:
 def passages(docs: DataFrame) -> DataFrame:
     """(r, hub, s, e, hub_s, hub_e, equal): passages in words, r and hub the hashes of two rows."""
     docs = _keyed(docs)
-    met, again = _met(docs)
+    met, anchors, again = _met(docs)
     found = stored(_aligned(docs, again, _by_seeds(met), 2), "passages")
     runs = stored(_runs(_sides(found)), "runs")
-    exact, matches = _equal(_strings(docs, met, runs))
-    found = found.unionByName(stored(exact, "equal")).unionByName(stored(_aligned(docs, again, matches, 1), "passages"))
+    exact, matches = _equal(_strings(docs, anchors, runs))
+    found = found.unionByName(exact).unionByName(stored(_aligned(docs, again, matches, 1), "passages"))
     runs = stored(_runs(_sides(found)), "runs")
     return found.unionByName(_aligned(docs, again, _by_pairs(_pairs(met, runs)), 2))
 

@@ -164,6 +164,27 @@ def test_seed_pairs_over_seeds_between(spark):
     assert got == {(1, 0, 50, 0, True), (1, 50, 104, 0, True), (2, 0, 50, 0, True), (2, 50, 104, 0, True), (2, 60, 104, 1, True)}
 
 
+def test_only_later_places_are_joined(spark):
+    """A seed's or a string's first place in the hub is known without a join: all rows of a
+    frequent one used to meet it by (seed, nth) or (w, nth)."""
+    places = {9: [40, 60, 90], 10: [5], 11: [1, 2, 3, 4], 12: [7, 8]}
+    rows = [(5, r, at, n, 10, 9, 40) for r, x in places.items() for n, at in enumerate(x)] + [(5, 9, 40, 0, 10, 9, 40)]
+    met = spark.createDataFrame(rows, "seed long, r long, at int, nth int, c long, hub long, hub_at int")
+    seeds = chains._by_seeds(met)
+    hub = places[9]
+    want = {(r, 9, at, hub[k]) for r, x in places.items() if r > 9 for n, at in enumerate(x) for k in {n, 0} if k < 3}
+    assert {tuple(m) for m in seeds.collect()} == want
+    strings = spark.createDataFrame([(r, 100 * at, n, 77) for r, x in places.items() for n, at in enumerate(x)], "r long, at long, nth long, w long")
+    exact, matches = chains._equal(strings)
+    assert {tuple(m) for m in matches.collect()} == {(r, 9, 100 * at, 100 * hub[n]) for r, x in places.items() if r > 9 for n, at in enumerate(x) if n < 3}
+    want = {(r, 12 if r == 9 else 9, 100 * at, 100 * at + 50, o, o + 50, 50) for r, x in places.items() for at in x for o in [800 if r == 9 else 4000]}
+    assert {tuple(m) for m in exact.select("r", "hub", "s", "e", "hub_s", "hub_e", "equal").collect()} == want
+    for df in (seeds, matches):
+        plan = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        assert any("Join Inner" in line and "nth#" in line for line in plan)
+        assert any("Filter" in line and "nth#" in line and "> 0" in line for line in plan)
+
+
 def test_repeated_rows_are_joined_once(spark):
     again = chains.BitFilter(spark.createDataFrame([(1,)], "r long"), "r", 23)
     rows = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b"), (3, "c")], "r long, w string")
