@@ -8,8 +8,9 @@ candidates. Candidates are scored term by term and leave as soon as the bounds
 of what is left cannot lift them to that score.
 
 Vectors and queries are dealt into blocks of bounded size; every query block
-meets every vector block once, in its own task, and the shards' lists are
-merged. Vectors that are null or hold null or non-finite components, or that
+meets every vector block once, and the shards' lists are merged. Blocks are
+copied for that, by a plan that Spark takes for as small as the vectors, so the
+join is told to shuffle: broadcast, all copies would meet in the driver. Vectors that are null or hold null or non-finite components, or that
 have no id, take no part. Rows sharing an id count as one (the smallest
 vector). Shorter vectors count as padded with zeros. Components are expected
 to keep scores within a long.
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow
 
-VECTOR_BLOCK, QUERY_BLOCK = 4096, 1024
+VECTOR_BLOCK, QUERY_BLOCK = 4096, 4096
 _STEP = 8
 
 
@@ -163,7 +164,8 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
                 }
             )
 
-    found = map_arrow(left.join(right, ["block", "q_block"]), search, "query_id long, vec_id long, score long")
+    pairs = left.hint("merge").join(right.hint("merge"), ["block", "q_block"])
+    found = map_arrow(pairs, search, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
         found.withColumn("rank", F.row_number().over(order))

@@ -310,6 +310,21 @@ def test_topk(spark):
     assert len(got) == 30 and topk.top_k(df.limit(0)).count() == 0
 
 
+def test_topk_blocks_are_not_broadcast(spark, monkeypatch):
+    """The copies of the blocks never meet in the driver, however small Spark takes them for."""
+    monkeypatch.setattr(topk, "VECTOR_BLOCK", 16)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 2)
+    rng = random.Random(9)
+    df = spark.createDataFrame([(i, [rng.uniform(-1, 1) for _ in range(4)]) for i in range(300)], "vec_id long, embedding array<float>")
+    x = {r.vec_id: np.floor(256 * np.array(r.embedding, float)) for r in df.collect()}
+    found = topk.top_k(df)
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in found.collect()}
+    for q in range(0, 300, 50):
+        best = sorted(((-int(x[q] @ v), i) for i, v in x.items() if i != q))[:5]
+        assert [got[q, k + 1] for k in range(5)] == [(i, -s) for s, i in best]
+    assert "BroadcastExchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_packing(spark, edge, none):
     rows = packing.pack(edge, partitions=2, ids=True).collect()
     encoder = Encoder()
