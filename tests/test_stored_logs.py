@@ -1,9 +1,12 @@
 """Log tables that are built once (labelling prompts, relevant variables, catalog parse) on rows made here."""
 import pytest
+from pyspark.sql import functions as F
 
 from logloom.functions import text as T
+from logloom.operators import tokens as TK
+from logloom.operators.metrics import template_pairs
 from logloom.plans import registry as R
-from logloom.plans.catalog_parse import distinct_keys, masked_keys
+from logloom.plans.catalog_parse import distinct_keys, masked_keys, parse_logs, parse_pairs
 from logloom.sources import fixtures as fx
 
 KINDS = ("view", "signup", "error", "click", "buy")
@@ -37,7 +40,7 @@ def test_views_of_stored_logs(spark, tables):
     assert _rows(logs.labelled_examples()) == _rows(fx.labelled_examples(spark, tables))
 
 
-@pytest.mark.parametrize("name", ["relevant_variables", "labelling_prompts"])
+@pytest.mark.parametrize("name", ["relevant_variables", "labelling_prompts", "catalog_parse_metrics"])
 def test_log_tables_are_built_once(spark, tables, monkeypatch, name):
     read, table = [], fx.table
     monkeypatch.setattr(fx, "table", lambda s, d, t: read.append(t) or table(s, d, t))
@@ -54,3 +57,16 @@ def test_raw_messages_give_the_same_keys(spark):
     words = spark.createDataFrame([("b",)], "word string")
     want = distinct_keys(normal, words).select("system", "masked", "uncommon")
     assert _rows(distinct_keys(raw, words, raw=True, carry=())) == _rows(want)
+
+
+def test_pairs_are_the_counted_rows(spark, tables):
+    logs = fx.log_view(spark, tables).unionByName(spark.createDataFrame(
+        [("events", 9000 + i, t, None if i == 2 else "odd  <*>") for i, t in enumerate(["odd 1", "odd  2...", "odd 3", "0x1 odd"])], LOGS)).cache()
+    examples, words = fx.labelled_examples(spark, tables), TK.corpus_dictionary(fx.log_view(spark, tables), "Content", 50)
+    rows, _, stats = parse_logs(logs, examples, words)
+    pairs, _, counted = parse_pairs(logs, examples, words)
+    assert _rows(pairs) == _rows(template_pairs(rows).select(*pairs.columns))
+    keep = ["system", "invoc_num", "invoc_token"]
+    assert _rows(stats.select(keep)) == _rows(counted.select(keep))
+    assert pairs.select(F.sum("n")).first()[0] == logs.count()
+    logs.unpersist()
